@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def text_or_empty(column: str | Column = "text") -> Column:
 def pieces(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of batches with about size bytes of text each (one very long text is a slice of its own)."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             total += n or 0

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.packing import pack
+from corpusloom.llm.repair import read_grammars, write_grammars
 from corpusloom.llm.url_filter import filter_urls
 
 
@@ -14,16 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
+
+
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_grammars(write_grammars(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), terminals=50_257))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op6_url_filter": op6_url_filter}
+    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
