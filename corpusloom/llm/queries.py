@@ -10,6 +10,7 @@ from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.packing import pack
 from corpusloom.llm.repair import read_grammars, write_grammars
+from corpusloom.llm.substring_dedup import find_repeats
 from corpusloom.llm.url_filter import filter_urls
 
 
@@ -44,8 +45,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter)
+    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
