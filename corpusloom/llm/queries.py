@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.bpe import round_trip
+from corpusloom.llm.chosen_path import jaccard_join
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.packing import pack
 from corpusloom.llm.repair import read_grammars, write_grammars
@@ -45,12 +46,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op10_substring_dedup)
+    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -141,7 +141,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A row a region, and a row a document (anchor null, first: its words): texts are read and split once for both.
     scanned = scratch(rows.mapInArrow(scan, "row long, anchor long, first int, n int, doc_id long, sha string"), "substring-scan")
     found = scanned.where("anchor is not null").select("row", "anchor", "first", "n")
-    often = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    often = scratch(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "substring-anchors")
     hits = found.join(often, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "first", "n", "times")).alias("hits"))  # bounded by the text
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
