@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.chosen_path import jaccard_join
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack
 from corpusloom.llm.repair import read_grammars, write_grammars
 from corpusloom.llm.substring_dedup import find_repeats
@@ -50,12 +51,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op10_substring_dedup)
+    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op9_line_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
