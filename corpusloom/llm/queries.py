@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.chosen_path import jaccard_join
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.kneser_ney import judge
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack
 from corpusloom.llm.repair import read_grammars, write_grammars
@@ -35,6 +36,15 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_grammars(write_grammars(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), terminals=50_257))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that labels call good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir)).drop("row_key")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op9_line_dedup, op10_substring_dedup)
+    found = (op1_packing, op2_repair, op3_kneser_ney, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op9_line_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
