@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pieces, text_or_empty
-from corpusloom.llm.tokens import CachedEncoder, space_chunks
+from corpusloom.llm.tokens import CachedEncoder, space_chunks, space_text
 
 #: Fixed value: the pre-tokenization pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,7 +135,7 @@ _WORKER: dict[str, tuple[StreamingBpe, CachedEncoder]] = {}
 def worker(path: str) -> tuple[StreamingBpe, CachedEncoder]:
     if path not in _WORKER:
         bpe = StreamingBpe(path)
-        _WORKER[path] = bpe, CachedEncoder(lambda part: [list(bpe.encode(c)) for c in part], space_chunks)
+        _WORKER[path] = bpe, CachedEncoder(lambda part: [list(bpe.encode(space_text(c))) for c in part], space_chunks)
     return _WORKER[path]
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from struct import pack
 
-import numpy as np
-
-CACHE_ENTRIES, CACHED_LENGTH = 600_000, 64
+CACHE_ENTRIES, CACHED_LENGTH = 900_000, 64
 _SEPARATORS, _RUN_OF_SPACE, _CUT = re.compile("[\x1c-\x1f]"), re.compile(r"\s |^ |\x00"), re.compile(r"(?<=\S)(?= )")
 
 
@@ -17,26 +16,43 @@ def word_chunks(text: str) -> list[str]:
 
 
 def space_chunks(text: str) -> list[str]:
-    """For byte-level tokenizers: cuts before each space that follows no white space, where a new pre-token always begins."""
-    return _CUT.split(text) if _RUN_OF_SPACE.search(text) else text.replace(" ", "\x00 ").split("\x00")
+    """For byte-level tokenizers: cuts before each space that follows no white space, where a new pre-token always begins. The first
+    chunk is marked by a NUL before it, the others come without their space: see space_text()."""
+    if not _RUN_OF_SPACE.search(text):
+        first, *rest = text.split(" ")
+        return ["\0" + first, *rest]
+    if "\0" in text:
+        return ["\0" + text]
+    first, *rest = _CUT.split(text)
+    return ["\0" + first, *(c[1:] for c in rest)]
+
+
+def space_text(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == "\0" else " " + chunk
 
 
 class CachedEncoder:
-    """Little-endian uint32 ids of texts. encode: from a list of distinct chunks to a list of id lists."""
+    """Little-endian uint32 ids of texts. encode: from a list of distinct chunks to a list of id lists.
+
+    Chunks are remembered in two generations of bounded size: when the younger is full, it replaces the older, so that
+    frequent chunks stay."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], chunks: Callable[[str], list[str]]):
-        self.encode, self.chunks, self.cache = encode, chunks, {}
+        self.encode, self.chunks, self.cache, self.older = encode, chunks, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        missing = list(set().union(*cut).difference(cache)) if cut else []
+        if len(self.cache) > CACHE_ENTRIES // 2:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = set().union(*cut).difference(cache)
+        for chunk in missing.intersection(older):
+            cache[chunk] = older[chunk]
+        missing = list(missing.difference(cache))
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             for chunk, ids in zip(part, self.encode(part), strict=True):
-                cache[chunk] = np.array(ids, dtype="<u4").tobytes()
+                cache[chunk] = pack(f"<{len(ids)}I", *ids)
         out = [b"".join(map(cache.__getitem__, c)) for c in cut]
         for chunk in missing:
             if len(chunk) > CACHED_LENGTH:
@@ -45,6 +61,38 @@ class CachedEncoder:
 
 
 _ENCODERS: dict = {}
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+_SIMPLE = re.compile(f"[^\u0130\u0250-\U0010ffff]*")
+#: The pre-tokenization patterns of the two kinds of tokenizer, for characters below U+0250.
+_WORD = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9²³¹¼½¾]|[^\s{_LETTERS}0-9²³¹¼½¾]+")
+_SPACE = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9²³¹¼½¾]+| ?[^\s{_LETTERS}0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
+
+
+def _library(tok, chunks: Callable[[str], list[str]]) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of chunks by the tokenizers library. Chunks of characters below U+0250, which are composed already and whose classes and
+    lower case are fixed, skip its normalizer and pre-tokenizer and go to its model at once; all others, and those that may
+    hold special tokens, take the whole way."""
+    from corpusloom.llm.bpe import byte_letters
+
+    model, words = tok.model, chunks is word_chunks
+    letters = {b: c for c, b in byte_letters().items()}
+
+    def plain(chunk: str) -> list[int]:
+        if words:
+            chunk = chunk.lower()
+        parts = [chunk] if chunk.isalpha() or not words and chunk[1:].isalpha() and chunk[0] == " " else (_WORD if words else _SPACE).findall(chunk)
+        if len(parts) == 1:
+            return [t.id for t in model.tokenize(parts[0].encode().decode("latin-1").translate(letters))]
+        return [t.id for p in parts for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]
+
+    def run(part: list[str]) -> list[list[int]]:
+        part = part if words else list(map(space_text, part))
+        odd = [c for c in part if not _SIMPLE.fullmatch(c) or "<|" in c or _SEPARATORS.search(c)]
+        whole = dict(zip(odd, (x.ids for x in tok.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        return [whole[c] if c in whole else plain(c) for c in part]
+
+    return run
 
 
 def public_encoder(path: str, chunks: Callable[[str], list[str]]) -> CachedEncoder:
@@ -58,5 +106,5 @@ def public_encoder(path: str, chunks: Callable[[str], list[str]]) -> CachedEncod
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _ENCODERS[path] = CachedEncoder(lambda part: [x.ids for x in tok.encode_batch_fast(part, add_special_tokens=False)], chunks)
+        _ENCODERS[path] = CachedEncoder(_library(tok, chunks), chunks)
     return _ENCODERS[path]
