@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.chosen_path import jaccard_join
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.hnsw import near_vectors
 from corpusloom.llm.kneser_ney import judge
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack
@@ -61,6 +62,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -70,7 +75,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op3_kneser_ney, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op9_line_dedup, op10_substring_dedup)
+    found = (op1_packing, op2_repair, op3_kneser_ney, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op8_hnsw, op9_line_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
