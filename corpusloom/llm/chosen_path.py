@@ -96,6 +96,13 @@ def choose_paths(classes: DataFrame, runs: int, limit: int = BLOCK, depth: int =
     return out
 
 
+def distinct_buckets(leaves: DataFrame) -> DataFrame:
+    """leaves without buckets that have the same classes as another one: the copies of a pair meet in most runs, once is enough."""
+    members = leaves.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(class, 1))").alias("x"), F.expr("bit_xor(xxhash64(class, 2))").alias("y"))
+    one = scratch(members.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "paths-distinct")
+    return scratch(leaves.join(one, "bucket", "left_semi"), "paths-leaves")
+
+
 def _overlaps(rows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """For each row i: how many values it shares with each later row."""
     values, which, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
@@ -149,7 +156,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = scratch(classes.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "paths-classes")
     # One row a class: its members share their sketches, and repeated (id, class) rows fall together in distinct paths.
     single = classes.join(copies, (classes["class"] == copies["class"]) & classes.doc_id.eqNullSafe(copies["first"])).select(classes["class"], "least").dropDuplicates(["class"])
-    leaves = scratch(choose_paths(scratch(single, "paths-single"), runs, block), "paths-leaves")
+    leaves = distinct_buckets(scratch(choose_paths(scratch(single, "paths-single"), runs, block), "paths-all"))
     paths = leaves.groupBy("class").agg(F.collect_set("bucket").alias("buckets"))  # bounded by runs x FAN ^ DEPTH
     wanted = scratch(paths.join(copies, "class"), "paths-wanted")
 
