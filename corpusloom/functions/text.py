@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,7 +97,13 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.replace(text, F.lit(P.ZWNJ), F.lit(" ")), r"(?U)\s+"), lambda w: w != ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use() refers to it inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trigrams(text: Column) -> Column:
     """array<string>: distinct 3-character substrings of the text with white space collapsed."""
-    t = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(strip(F.regexp_replace(text, r"(?U)\s+", " ")), "")
+    three = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
+    return let(F.filter(chars, lambda c: c != ""), lambda c: F.when(F.size(c) >= 3, F.array_distinct(three(c))).otherwise(F.array().cast("array<string>")))

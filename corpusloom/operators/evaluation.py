@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 SPAN = "array<struct<start:int,end:int,src:string,tgt:string,type:string>>"
 
 
@@ -112,18 +114,15 @@ def m2_edits(a: list[str], b: list[str], fixed: bool = False) -> set[tuple[int,
     return out
 
 
-@F.pandas_udf(SPAN)
-def span_edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
+def _span_edits(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([span_edits((a or "").split(), (b or "").split()) for a, b in zip(source, target, strict=True)])
 
 
-@F.pandas_udf("array<struct<start:int,end:int,correction:string>>")
-def m2_edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
+def _m2_edits(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([sorted(m2_edits((a or "").split(), (b or "").split())) for a, b in zip(source, target, strict=True)])
 
 
-@F.pandas_udf("struct<tp:int,fp:int,fn:int>")
-def edit_counts_udf(source: pd.Series, hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+def _edit_counts(source: pd.Series, hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Edits matched as multisets of (source word, target word)."""
     rows = []
     for s, h, r in zip(source, hypothesis, reference, strict=True):
@@ -133,6 +132,18 @@ def edit_counts_udf(source: pd.Series, hypothesis: pd.Series, reference: pd.Seri
     return pd.DataFrame(rows, columns=["tp", "fp", "fn"])
 
 
+def span_edits_udf(*columns: str) -> Column:
+    return F.pandas_udf(_span_edits, SPAN)(*columns)
+
+
+def m2_edits_udf(*columns: str) -> Column:
+    return F.pandas_udf(_m2_edits, "array<struct<start:int,end:int,correction:string>>")(*columns)
+
+
+def edit_counts_udf(*columns: str) -> Column:
+    return F.pandas_udf(_edit_counts, "struct<tp:int,fp:int,fn:int>")(*columns)
+
+
 def edit_scores(pairs: DataFrame, *by: str) -> DataFrame:
     """tp, fp, fn, precision, recall, f05 of columns source, hypothesis, reference, in groups if asked for."""
     counts = pairs.select(*by, edit_counts_udf("source", "hypothesis", "reference").alias("c"))
@@ -162,14 +173,15 @@ def span_scores(pairs: DataFrame) -> DataFrame:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """array<string>: n-grams, words joined by U+0001."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\x01"))).otherwise(F.array().cast("array<string>"))
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x01"))
+    return let(tokens, lambda t: F.when(F.size(t) >= n, one(t)).otherwise(F.array().cast("array<string>")))
 
 
 def sentence_gleu(df: DataFrame, *key: str, most: int = 4) -> DataFrame:
     """key, gleu of columns source, hypothesis, reference (arrays of tokens)."""
     def tagged(who: str, n: int) -> Column:
         g = ngrams(F.col(who), n)
-        return F.arrays_zip(g.alias("g"), F.array_repeat(F.lit(n), F.size(g)).alias("n"), F.array_repeat(F.lit(who[0]), F.size(g)).alias("who"))
+        return F.transform(g, lambda x: F.struct(x.alias("g"), F.lit(n).alias("n"), F.lit(who[0]).alias("who")))
 
     grams = [tagged(who, n) for who in ("source", "hypothesis", "reference") for n in range(1, most + 1)]
     rows = df.select(*key, F.explode(F.concat(*grams)).alias("x")).select(*key, "x.n", "x.who", "x.g")
