@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,28 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: str
             yield batch.slice(start)
 
 
+BITMAP_BITS = 26
+
+
+def bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap of fixed size (8 MB) of a long column, to skip rows map-side before an exact join: see in_bitmap().
+
+    Its words are combined in Spark; at most 2 ** 20 of them reach the driver. With many keys it lets more rows through, never
+    fewer.
+    """
+    place = f"`{column}` & {(1 << BITMAP_BITS) - 1}L"
+    words = keys.where(F.col(column).isNotNull()).groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each long may be among the keys."""
+    at = keys.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b), both long: rows (id, root), root being the smallest id of the component.
 

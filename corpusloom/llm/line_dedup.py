@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.buckets import BLOCK, Union, dealt, in_blocks, tasks
-from corpusloom.llm.common import components, pieces, scratch, text_or_empty
+from corpusloom.llm.common import bitmap, components, in_bitmap, pieces, scratch, text_or_empty
 from corpusloom.llm.words import mix
 
 THRESHOLD, LEAST_LENGTH = 2, 20
@@ -154,27 +154,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, place int, line long, digest binary")
 
 
-def near_lines(docs: DataFrame, found: DataFrame, threshold: int, least_length: int, block: int) -> DataFrame:
-    """id, root: lines (hashes) that edits connect. found: of occurrences()."""
+def near_lines(docs: DataFrame, threshold: int, least_length: int, block: int) -> DataFrame:
+    """id, root: lines (hashes) that edits connect. Texts are read again for the lines that share a bucket, and only those move."""
     by_key = Window.partitionBy("key")
     rows = signatures(docs, threshold, least_length)
     rows = rows.withColumns({"low": F.min("line").over(by_key), "high": F.max("line").over(by_key), "any": F.max("indexed").over(by_key)})
     shared = scratch(rows.where("low <> high and any").groupBy(F.col("key").alias("bucket"), "line").agg(F.max("indexed").alias("indexed")), "lines-buckets")
     sizes = scratch(shared.groupBy("bucket").agg(F.count("*").alias("n")), "lines-sizes")
     wanted = scratch(shared.select("line").distinct(), "lines-wanted")
-    places = scratch(found.join(wanted, "line").groupBy("line").agg(F.min(F.struct("row", "place")).alias("at")).select("line", "at.row", "at.place").groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("places")), "lines-places")
+    marks = bitmap(wanted, "line")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            names, texts = [], []
-            for t, places_ in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
-                cut = t.split("\n")
-                for x in places_:
-                    names.append(x["line"])
-                    texts.append(cut[x["place"]])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], ["line", "content"])
+            texts = list({x for t in b.column("text").to_pylist() for x in t.split("\n") if len(x) >= least_length})
+            names = np.array([xxhash.xxh3_128_intdigest(x.encode()) & 0xFFFFFFFFFFFFFFFF for x in texts], dtype=np.uint64).view(np.int64)
+            use = np.flatnonzero(in_bitmap(marks.value, names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[use]), pa.array([texts[i] for i in use.tolist()], pa.string())], ["line", "content"])
 
-    content = scratch(docs.select("row", "text").join(places, "row").mapInArrow(read, "line long, content string").dropDuplicates(["line"]), "lines-content")
+    content = docs.select("text").mapInArrow(read, "line long, content string").join(wanted, "line", "left_semi")
+    content = scratch(content.dropDuplicates(["line"]), "lines-content")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tasks(batches):
@@ -207,7 +205,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
     found = scratch(occurrences(rows), "lines-found")
-    near = scratch(near_lines(rows, found, threshold, least_length, block), "lines-near")
+    near = scratch(near_lines(rows, threshold, least_length, block), "lines-near")
     named = found.join(near, found["line"] == near["id"], "left").select("row", "doc_id", "place", F.when(F.col("root").isNotNull(), F.unhex(F.hex("root"))).otherwise(F.col("digest")).alias("line"))
     named = scratch(named, "lines-named")
     first = named.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
