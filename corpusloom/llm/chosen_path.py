@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.buckets import BLOCK, Union, dealt, in_blocks, tasks
-from corpusloom.llm.common import components, pieces, scratch
+from corpusloom.llm.common import bitmap, components, in_bitmap, pieces, scratch
 from corpusloom.llm.words import grams, hashes, mix, split, text_bytes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -160,16 +160,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     paths = leaves.groupBy("class").agg(F.collect_set("bucket").alias("buckets"))  # bounded by runs x FAN ^ DEPTH
     wanted = scratch(paths.join(copies, "class"), "paths-wanted")
 
+    marks = bitmap(wanted, "first")
+    any_null = not wanted.where("first is null").isEmpty()
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
+            ids = b.column("doc_id")
+            may = in_bitmap(marks.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            nulls = ids.is_null().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(np.where(nulls, any_null, may)))
             flat, at = shingle_sets(split(b.column("text")), k)
-            names, rows = b.column("class").to_pylist(), [flat[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            fits = [i for i, s in enumerate(rows) if len(s) and _class(s) == names[i]]
-            yield pa.RecordBatch.from_arrays([b.column("class").take(pa.array(fits, pa.int64())), pa.array([rows[i].tobytes() for i in fits], pa.binary())], ["class", "set"])
+            rows = [flat[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            full = [s for s in rows if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in full], pa.int64()), pa.array([s.tobytes() for s in full], pa.binary())], ["class", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    texts = texts.join(wanted.select("class", "first"), texts.doc_id.eqNullSafe(F.col("first"))).select("class", "text")
-    found = scratch(texts.mapInArrow(sets, "class long, set binary").dropDuplicates(["class"]), "paths-sets")
+    found = texts.mapInArrow(sets, "class long, set binary").join(wanted.select("class"), "class", "left_semi")
+    found = scratch(found.dropDuplicates(["class"]), "paths-sets")
     rows = in_blocks(leaves, "class", "n", block).join(wanted.select("class", "buckets", "copies"), "class").join(found, "class")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
