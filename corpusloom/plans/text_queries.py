@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import filters as S
 from corpusloom.functions import profile as P
 from corpusloom.functions import text as T
+from corpusloom.operators.augment import random_deletion, random_swap
+from corpusloom.operators.unicode import nfc
 from corpusloom.plans.tables import AR, SENTS, script_sentences, sentences, table
 
 Q: dict = {}
@@ -217,10 +219,10 @@ def _detect_sql() -> str:
     g as (select *, (0.35::double * script + 0.40::double * words + 0.25::double * morph) * case when len(w) < 2 then 0.7::double else 1 end * case when ko = 0 and len(w) > 5 then 0.5::double else 1 end as conf from f)"""
 
 
-@query(f"with {_detect_sql()} select doc_id, pos, round(round_even(conf, 4) * 10000)::bigint as confidence, round(round_even(script, 4) * 10000)::bigint as script_score, round(round_even(words, 4) * 10000)::bigint as word_score, round(round_even(morph, 4) * 10000)::bigint as morph_score from g")
+@query(f"with {_detect_sql()} select doc_id, pos, floor(round_even(conf, 4) * 1000 + 1e-6)::bigint as confidence, floor(round_even(script, 4) * 1000 + 1e-6)::bigint as script_score, floor(round_even(words, 4) * 1000 + 1e-6)::bigint as word_score, floor(round_even(morph, 4) * 1000 + 1e-6)::bigint as morph_score from g")
 def detect_scores(spark, sf):
     rows = script_sentences(spark, sf).withColumn("d", S.detect(F.col("s")))
-    whole = lambda c: F.round(F.col(f"d.{c}") * 10_000).cast("long")
+    whole = lambda c: F.floor(F.col(f"d.{c}") * 1000 + 1e-6).cast("long")
     return rows.select(*KEY, whole("confidence").alias("confidence"), whole("script_score").alias("script_score"), whole("function_word_score").alias("word_score"), whole("morphology_score").alias("morph_score"))
 
 
@@ -249,3 +251,21 @@ def _category_sql() -> str:
 def infer_category(spark, sf):
     names = spark.createDataFrame([(n,) for n in _NAMES], "name string").union(table(spark, sf, "documents").select("source").distinct())
     return names.select("name", S.infer_category(F.col("name")).alias("category"))
+
+
+@query("select doc_id, nfc_normalize(text) as out from documents")
+def nrm_nfc(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", nfc(F.col("text")).alias("out"))
+
+
+_DRAW = "('0x' || substr(md5('{}:42:' || doc_id || ':' || pos || ':' || {}), 1, 8))::bigint"
+
+
+@query(f"with {SENTS}, w as (select doc_id, pos, {_WORDS.format('s')} as w from sents), k as (select *, list_filter(list_transform(range(1, len(w) + 1), lambda i: case when {_DRAW.format('delete', '(i - 1)')} >= 429496729 then w[i] end), lambda x: x is not null) as k from w) select doc_id, pos, array_to_string(case when len(k) > 0 then k else w[1:1] end, ' ') as out from k")
+def augment_deletion(spark, sf):
+    return sentences(spark, sf).select(*KEY, random_deletion(F.col("s"), F.concat_ws(":", *KEY)).alias("out"))
+
+
+@query(f"with {SENTS}, w as (select doc_id, pos, {_WORDS.format('s')} as w from sents), i as (select *, {_DRAW.format('swap', '0')} % greatest(len(w) - 1, 1) + 1 as i from w) select doc_id, pos, array_to_string(case when len(w) > 1 then list_transform(range(1, len(w) + 1), lambda k: case when k = i then w[i + 1] when k = i + 1 then w[i] else w[k] end) else w end, ' ') as out from i")
+def augment_swap(spark, sf):
+    return sentences(spark, sf).select(*KEY, random_swap(F.col("s"), F.concat_ws(":", *KEY)).alias("out"))
