@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, PARTICIPLES, PREPOSITIONS, inject
+from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, VERB_BEGINNINGS, connectors, word_order
 from corpusloom.plans.tables import AR, script_sentences
 
 Q: dict = {}
@@ -31,9 +32,31 @@ def _query(kind: str):
     return run
 
 
+def _sentence_query(rows, generator, rate: float):
+    out = rows.withColumn("e", generator(F.col("s"), F.concat_ws(":", "doc_id", "pos"), rate))
+    return out.select("doc_id", "pos", F.col("e.corrupted").alias("corrupted"), F.size("e.errors").cast("long").alias("n_errors"))
+
+
+def inject_word_order(spark, sf):
+    return _sentence_query(_sentences(spark, sf), word_order, 1.0)
+
+
+def inject_missing_adversative_connector(spark, sf):
+    """Each sentence follows a connector, so that there is something to change."""
+    pick = F.element_at(F.array(*map(F.lit, OPENERS + CLOSERS)), (F.pmod("doc_id", F.lit(len(OPENERS + CLOSERS))) + 1).cast("int"))
+    return _sentence_query(_sentences(spark, sf).withColumn("s", F.concat_ws(" ", pick, "s")), connectors, 0.15)
+
+
+Q |= {f.__name__: f for f in (inject_word_order, inject_missing_adversative_connector)}
 for _kind in GENERATORS:
     Q[f"inject_{_kind}"] = _query(_kind)
 for _kind, _forms in _ONE.items():
     _case = "case w " + " ".join(f"when '{k}' then '{v}'" for k, v in _forms.items()) + " end"
     SQL[f"inject_{_kind}"] = f"""with {AR}, t as (select doc_id, pos, string_split(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g') || ' ' || ([{', '.join(f"'{w}'" for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1], ' ') as ws from ar)
       select doc_id, pos, array_to_string(list_transform(ws, lambda w: coalesce({_case}, w)), ' ') as corrupted, len(list_filter(ws, lambda w: {_case} is not null)) as n_errors from t"""
+SQL["inject_word_order"] = f"""with {AR}, t as (select doc_id, pos, list_filter(string_split(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g') || ' ' || ([{', '.join(f"'{w}'" for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1], ' '), lambda w: w <> '') as ws from ar),
+  u as (select *, len(ws) >= 3 and ({' or '.join(f"starts_with(ws[-1], '{p}')" for p in VERB_BEGINNINGS)}) as verb,
+      cast('0x' || substr(md5('42:word_order:at:' || doc_id || ':' || pos || ':0'), 1, 8) as bigint) % greatest(len(ws) - 2, 1) + 1 as i from t)
+  select doc_id, pos, case when verb then array_to_string(ws[1:1] || ws[-1:] || ws[2:-2], ' ')
+      when len(ws) >= 4 then array_to_string(ws[1:i-1] || [ws[i+1], ws[i]] || ws[i+2:], ' ') else array_to_string(ws, ' ') end as corrupted,
+    cast(verb or (len(ws) >= 4 and ws[i] <> ws[i+1]) as bigint) as n_errors from u"""
