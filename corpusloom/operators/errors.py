@@ -23,6 +23,9 @@ ORTHOGRAPHY = (("ح", "ه"), ("غ", "خ"), ("ع", "ئ"), ("ڵ", "ل"), ("ڕ", "
 MARKS = {"،": [",", ""], ",": ["،", ""], "؛": [";", "،"], ";": ["؛", ","], "؟": ["?", ""], "?": ["؟", ""], ".": ["،", ""]}
 NOT_PARTICIPLES = ("ئە", "ئێ", "لێ", "پێ", "پیا")
 POSSESSIVES = {"م": ["ت", "ی", "مان"], "ت": ["م", "ی", "تان"], "ی": ["م", "ت", "یان"], "مان": ["تان", "یان", "م"], "تان": ["مان", "یان", "ت"], "یان": ["مان", "تان", "ی"]}
+PREFIX_ORDER = {"نادە": "دەنا", "نەدە": "دەنە", "نەب": "بنە", "ناب": "بنا"}
+PARTICLES = {"دەچمەوە": ["دەوەچم"], "دەگەڕێتەوە": ["دەوەگەڕێت"], "دەنێرێتەوە": ["دەوەنێرێت"]}
+VOWELS, COMPLETIVE = "اەئێۆوی", "ەوە"
 VERB_PREFIXES = ("دە", "ب", "نا", "نە", "مە")
 
 Generator = Callable[[Column], Column]
@@ -82,9 +85,21 @@ def _possessive(word: Column) -> Column:
     return out
 
 
+def _morphemes(word: Column) -> Column:
+    """Prefixes in the wrong order, a particle out of place, and the completive ending moved behind the first vowels (behind the third
+    letter, where no consonant follows them or they are one letter in all)."""
+    prefixes = F.coalesce(*(F.when(word.startswith(a), F.concat(F.lit(b), F.substring(word, len(a) + 1, 1 << 30))) for a, b in PREFIX_ORDER.items()))
+    stem = F.substring(word, F.lit(1), F.length(word) - len(COMPLETIVE))
+    at = F.length(F.regexp_extract(stem, f"^([^{VOWELS}]*[{VOWELS}]+)[^{VOWELS}]", 1))
+    at = F.when(at < 2, F.least(F.lit(3), F.length(stem))).otherwise(at)
+    moved = F.concat(F.substring(stem, F.lit(1), at), F.lit(COMPLETIVE), F.substring(stem, at + 1, F.length(stem)))
+    moved = F.when(word.endswith(COMPLETIVE) & (F.length(word) > 5) & (moved != word), moved)
+    return F.concat(F.filter(F.array(prefixes, moved), lambda f: f.isNotNull()), table(PARTICLES)(word))
+
+
 GENERATORS: dict[str, Generator] = {
     "case_role_preposition": table(PREPOSITIONS), "preposition_fusion": table(FUSED), "demonstrative_contraction": table(CONTRACTED), "participle_voice_swap": table({k: [v] for k, v in PARTICIPLES.items()} | {v: [k] for k, v in PARTICIPLES.items()}),
-    "spelling_confusion": letters(*CONFUSED), "orthography": letters(*ORTHOGRAPHY), "dialectal_participle": _participle, "punctuation": _marks, "whitespace": _split, "possessive_clitic": _possessive,
+    "spelling_confusion": letters(*CONFUSED), "orthography": letters(*ORTHOGRAPHY), "dialectal_participle": _participle, "punctuation": _marks, "whitespace": _split, "possessive_clitic": _possessive, "morpheme_order": _morphemes,
 }
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators.errors import GENERATORS
 from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, connectors, word_order
 
 ORDER = ["من نان دەخۆم", "من  نان دەخۆم", "ئەو زۆر جوان هات", "یەک دوو", "", None, "a  b c d e"]
@@ -46,3 +47,11 @@ def test_connectors(spark):
     assert [len(e or []) for _, e in got] == [2, 1, 1, 2, 0, 0, 0]
     for _, errors in got:
         assert all(e.error == "" or (e.error in CLOSERS) == (e.original in OPENERS) for e in errors or [])
+
+
+@pytest.mark.parametrize(("word", "want"), [
+    ("نادەچم", ["دەناچم"]), ("نەبوو", ["بنەوو"]), ("دەچمەوە", ["دەەوەچم", "دەوەچم"]), ("کردنەوە", ["کردەوەن"]), ("ئاوەوە", []), ("ەوە", []), ("کتێب", []), ("", []),
+])
+def test_morpheme_order(spark, word, want):
+    rows = spark.createDataFrame([(word,)], "w string")
+    assert rows.select(GENERATORS["morpheme_order"](F.col("w")).alias("f")).first().f == want
