@@ -23,9 +23,8 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def _replace_text(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    """docs with the texts of changes (doc_id, kept) where a text changed. Ids that repeat or are null keep all their rows."""
-    changed = changes.where("kept is not null").select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"])
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    """docs with the texts of changes (row_key, kept) where a text changed. Rows that repeat id and text change alike."""
+    joined = _with_row(docs).join(changes.dropDuplicates(["row_key"]), "row_key", "left")
     text = F.coalesce("kept", "text")
     return joined.select(*(text.alias(c) if c == "text" else F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
@@ -38,18 +37,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur before, equal or nearly so, go; every document stays."""
-    return _replace_text(docs, scratch(dedup_lines(docs).select("doc_id", "kept").where("kept is not null"), "pipeline-lines"))
+    return _replace_text(docs, scratch(dedup_lines(docs).select("row_key", "kept").where("kept is not null"), "pipeline-lines"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents, the one with the least id stays."""
-    dropped = jaccard_join(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = jaccard_join(docs).where(~F.col("kept")).select("row_key").distinct()
+    return _with_row(docs).join(dropped, "row_key", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur anywhere else go; every document stays."""
-    return _replace_text(docs, scratch(find_repeats(docs).select("doc_id", "kept").where("kept is not null"), "pipeline-passages"))
+    return _replace_text(docs, scratch(find_repeats(docs).select("row_key", "kept").where("kept is not null"), "pipeline-passages"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("substring_dedup", passages), ("packing", packing)]
-#: SQL can't express the language model, the edit join or tokenizers; tests hold the stages against brute force.
+#: SQL can't express the language model, the edit join or tokenizers; tests/llm/test_pipeline.py holds the stages after the first against brute force.
 ORACLE_SQL = None
 
 

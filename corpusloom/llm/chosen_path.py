@@ -46,7 +46,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, n: int) -> DataFrame:
-    """doc_id, class (of equal sets; null: no words), least: n tokens, one for each of n hashes."""
+    """row (hash of id and text), doc_id, class (of equal sets; null: no words), least: n tokens, one for each of n hashes."""
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +60,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, n: int) -> Dat
                     least[full, j] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at[full])
             names = [_class(flat[a:z]) if z > a else None for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * n, pa.int32()), pa.array(least.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.int64()), values], ["doc_id", "class", "least"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(names, pa.int64()), values], ["row", "doc_id", "class", "least"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, class long, least array<long>")
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, class long, least array<long>")
 
 
 def choose_paths(classes: DataFrame, runs: int, limit: int = BLOCK, depth: int = DEPTH) -> DataFrame:
@@ -143,7 +143,7 @@ def verify(task: dict[str, list], threshold: float) -> tuple[list, list, list]:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id_col, class_id (least id of the documents reachable by links, itself included), n_links (other
-    rows with Jaccard similarity of at least threshold), kept (id_col = class_id).
+    rows with Jaccard similarity of at least threshold), kept (id_col = class_id), row_key (a hash of id and text).
 
     Words are runs of bytes other than ASCII white space, unchanged. Texts of 1 to k - 1 words have one shingle. Null and
     empty texts, or texts without words, link with nothing. Null ids are least only among null ids; a class of them only is
@@ -195,7 +195,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = scratch(linked.select("class", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root")), "paths-linked")
     least = scratch(linked.groupBy("root").agg(F.min("first").alias("class_id")), "paths-least")
     of = scratch(linked.join(least, "root").select("class", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "paths-of")
-    some = classes.select("doc_id", "class").join(of, "class").select("doc_id", "class_id", "n_links")
-    none = sketched.where("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    some = classes.select("row", "doc_id", "class").join(of, "class").select("row", "doc_id", "class_id", "n_links")
+    none = sketched.where("class is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     out = some.unionByName(none)
-    return out.select(F.col("doc_id").alias(id_col), "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("row").alias("row_key"))

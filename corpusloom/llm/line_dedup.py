@@ -195,8 +195,8 @@ def near_lines(docs: DataFrame, threshold: int, least_length: int, block: int) -
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_length: int = LEAST_LENGTH, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: id_col, n_lines, n_removed, kept_sha256, and kept: the text that is left where lines were removed
-    (else null).
+    """One row per row of docs: id_col, n_lines, n_removed, kept_sha256, kept: the text that is left where lines were removed
+    (else null), and row_key: a hash of id and text.
 
     A line goes if an equal one, or one connected with it by steps of at most `threshold` edits (lines of at least
     least_length characters), occurs at a smaller (id, line number); null ids come first. Blank lines stay. A null text counts
@@ -221,6 +221,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept = "\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else t
                 for c, v in zip(out, (len(lines), len(drop), hashlib.sha256(kept.encode()).hexdigest(), kept if drop else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.string())], [id_col, "n_lines", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.string()), b.column("row")], [id_col, "n_lines", "n_removed", "kept_sha256", "kept", "row_key"])
 
-    return rows.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(cut, f"`{id_col}` long, n_lines long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(gone, "row", "left").select("row", "doc_id", "text", "gone").mapInArrow(cut, f"`{id_col}` long, n_lines long, n_removed long, kept_sha256 string, kept string, row_key long")

@@ -59,7 +59,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,11 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept", "row_key")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return find_repeats(table(spark, sf_dir, "documents")).drop("kept", "row_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

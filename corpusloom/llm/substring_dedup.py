@@ -114,8 +114,8 @@ def regions(h: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GRA
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_removed, kept_sha256, and kept: the words left, joined by one space, where
-    words were removed (else null).
+    """One row per row of docs: id_col, n_words, n_removed, kept_sha256, kept: the words left, joined by one space, where words
+    were removed (else null), and row_key: a hash of id and text.
 
     Null texts have no words; texts of fewer words than a window lose none. Rows are told apart by id and text: rows that
     repeat both are documents of their own whose windows repeat each other, so they lose them, and each is reported. Null
@@ -232,4 +232,4 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     changed = with_text.select("row", "doc_id", "text").join(spans, "row").mapInArrow(remove, "row long, id long, n_removed long, kept_sha256 string, kept string").dropDuplicates(["row", "id"])
     every = scanned.where("anchor is null").select("row", "doc_id", F.col("first").cast("long").alias("n_words"), "sha")
     out = every.join(changed, (every.row == changed.row) & every.doc_id.eqNullSafe(changed.id), "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+    return out.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept", every.row.alias("row_key"))
