@@ -3,7 +3,8 @@
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds a graph. Every class queries every shard,
 in blocks: a beam search goes down the layers and is widened for each query until the beam holds something below the
 threshold. The first width is the least at which audit queries, compared with all vectors by brute force, reach the target
-recall. Pairs that the graphs propose are verified by cosine in double precision; linked classes make up components.
+recall; where none does, every block is compared with every shard exactly. Audit queries are drawn until true links are among
+them. Pairs that the graphs propose are verified by cosine in double precision; linked classes make up components.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ THRESHOLD, RECALL, AUDITS = 0.95, 0.99, 512
 SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 16_384
 LINKS, BUILD_BEAM, BATCH = 16, 64, 128
 WIDTHS = (32, 64, 128, 256, 512)
+#: Times as many vectors are audited where those audited have no link. Similarities that an exact comparison holds at once.
+MORE_AUDITS, HELD = 8, 4_000_000
 
 
 class Graph:
@@ -136,6 +139,15 @@ class Graph:
                 todo, at, w = todo[full], ids[full, 0], 2 * w
 
 
+def exact(units: np.ndarray, q: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """As Graph.search(), without a graph: for each query, its number and all rows that may be at least threshold similar."""
+    step = max(1, HELD // len(units))
+    for start in range(0, len(q), step):
+        near = q[start : start + step] @ units.T >= threshold - 1e-4
+        for k in range(len(near)):
+            yield start + k, np.flatnonzero(near[k])
+
+
 def _units(b: pa.RecordBatch) -> tuple[list, list, list]:
     """class, unit vector (doubles) and dimension of each row; nulls for vectors that link with nothing."""
     names, data, dims = [], [], []
@@ -182,8 +194,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sharded = classes.withColumn("shard", F.col("dim") * F.lit(shards).cast("long") + F.pmod("class", F.lit(shards)))
     graphs = scratch(sharded.groupBy("shard").applyInArrow(build, "shard long, graph binary"), "vectors-graphs")
 
-    def queried(asking: DataFrame, width: int) -> DataFrame:
-        """a, b, copies_a, copies_b of verified links, in both directions as they were found."""
+    def queried(asking: DataFrame, width: int | None) -> DataFrame:
+        """a, b, copies_a, copies_b of verified links, in both directions as they were found; width None: of all links."""
 
         def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             out: list[list] = [[], [], [], []]
@@ -191,7 +203,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 graph, units, names, copies = pickle.loads(right.column("graph")[0].as_py())
                 q = np.frombuffer(b"".join(left.column("unit").to_pylist()), dtype=np.float64).reshape(left.num_rows, -1)
                 own, own_copies = left.column("class").to_numpy(), left.column("copies").to_numpy()
-                for k, found in graph.search(q, threshold, width):
+                for k, found in exact(units, q, threshold) if width is None else graph.search(q, threshold, width):
                     found = found[(units[found] @ q[k] >= threshold) & (names[found] != own[k])]
                     for c, v in zip(out, (np.full(len(found), own[k]), names[found], np.full(len(found), own_copies[k]), copies[found]), strict=True):
                         c.append(v)
@@ -220,9 +232,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
 
     true = scratch(classes.select("class", "dim", "unit").mapInArrow(brute, "a long, b long"), "vectors-true")
-    n_true, width = true.count(), WIDTHS[0]
-    for width in WIDTHS:
-        if not n_true or queried(audits, width).select("a", "b").distinct().join(true, ["a", "b"], "left_semi").count() >= recall * n_true:
+    n_true, drawn = true.count(), min(AUDITS, n)
+    while not n_true and drawn < n:  # at the end all vectors are drawn: then nothing links
+        drawn = min(MORE_AUDITS * drawn, n)
+        audits = classes.where(F.pmod(F.xxhash64("class", F.lit(7)), F.lit(1 << 30)) < -(-(drawn << 30) // n))
+        true = scratch(queried(audits, None).select("a", "b").distinct(), "vectors-true")
+        n_true = true.count()
+    width: int | None = None
+    for w in WIDTHS:
+        if not n_true or queried(audits, w).select("a", "b").distinct().join(true, ["a", "b"], "left_semi").count() >= recall * n_true:
+            width = w
             break
 
     found = queried(classes, width)

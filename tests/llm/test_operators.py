@@ -185,6 +185,30 @@ def test_vectors(spark):
     assert hnsw.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("audits", [512, 1])
+def test_vectors_that_graphs_do_not_reach(spark, monkeypatch, audits):
+    """Graphs without links fail every audit; with one audit vector, which has no link, the first audit finds nothing."""
+
+    def cut(units):
+        from corpusloom.llm.hnsw import Graph  # in the worker
+
+        graph = Graph(units)
+        for near in graph.near:
+            if near is not None:
+                near[:] = -1
+        return graph
+
+    monkeypatch.setattr(hnsw, "Graph", cut)
+    monkeypatch.setattr(hnsw, "AUDITS", audits)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(60, 8))
+    v[40:] = v[0] + 0.05 * r.normal(size=(20, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert {x.vec_id: x.n_links for x in hnsw.near_vectors(df, shards=2).collect()} == dict(enumerate(links.tolist()))
+
+
 def distance(a: str, b: str) -> int:
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
