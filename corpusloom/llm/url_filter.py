@@ -127,14 +127,14 @@ def fit_trees(rows: DataFrame, label: str, features: tuple[str, ...], rounds: in
 
 @dataclass
 class UrlFilter:
-    """A fitted filter; suffixes: suffix, suffix_share, suffix_blocked for the suffixes of the training rows, so a bounded table."""
+    """A fitted filter; suffixes: suffix, suffix_share, suffix_blocked (0.5 where no training row has the suffix) of every suffix."""
 
     model: BoostedTrees
     suffixes: DataFrame
     rules: tuple = RULES
 
     def apply(self, parts: DataFrame) -> DataFrame:
-        known = lexical(parts).join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5})
+        known = lexical(parts).join(self.suffixes, "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5})
         return known.withColumn("score", 1 / (1 + F.exp(-self.model.margin())))
 
 
@@ -157,8 +157,8 @@ def fit_url_filter(parts: DataFrame, labelled: DataFrame | None = None, rules=RU
     blocked = rows.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_blocked"))
     total = parts.count()
     counts = parts.groupBy("suffix").agg((F.count("*") / F.lit(float(max(total, 1)))).alias("suffix_share"))
-    suffixes = scratch(counts.join(F.broadcast(blocked), "suffix"), "url-suffixes")
-    training = rows.join(F.broadcast(suffixes), "suffix")
+    suffixes = scratch(counts.join(blocked, "suffix", "full").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5}), "url-suffixes")
+    training = rows.join(suffixes, "suffix", "left")
     return UrlFilter(fit_trees(training, "label", FEATURES), suffixes, rules)
 
 

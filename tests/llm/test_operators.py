@@ -153,6 +153,14 @@ def test_url_trees_learn(spark):
     assert held > 0.95
 
 
+def test_url_suffix_shares(spark):
+    """Every suffix has its share of all rows, also one that no rule decides; only its blocked share is the prior."""
+    urls = ["http://a.org/x"] * 3 + ["http://x.com/fr/9"] * 2 + ["http://b.net/en/3"] * 4 + [None]
+    parts = url_filter.split_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    got = {(r.suffix, r.suffix_share, r.suffix_blocked) for r in url_filter.fit_url_filter(parts).apply(parts).collect()}
+    assert got == {("org", 0.3, 0.2), ("com", 0.2, 0.25), ("net", 0.4, 0.5), ("", 0.1, 0.5)}
+
+
 def sets_of(docs) -> list:
     out = []
     for d, t in rows_of(docs):
