@@ -25,6 +25,8 @@ ORDER, START = 5, "\x01"
 SHARD_ROWS, BROADCAST_IDS = 2_000_000, 4_000_000
 #: Of 16 hash classes of trusted documents, those that set the limits and are not trained on.
 HELD_OUT = 2
+#: Held-out documents at least for limits: with fewer, no quantile of LOW or HIGH lies inside their range.
+LEAST_HELD = 20
 #: Limits: the held-out quantiles (in log perplexity), and by how much of their distance from the median they are widened.
 LOW, HIGH, SLACK = 0.05, 0.95, 3.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,8 +165,9 @@ def score(docs: DataFrame, p: DataFrame, order: int, shard_rows: int = SHARD_ROW
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, low: float = LOW, high: float = HIGH, slack: float = SLACK) -> DataFrame:
     """One row per row of docs: id_col, lang, n_chars, perplexity, low_limit, high_limit, kept. trusted: doc_id of trusted documents.
 
-    Limits are those of the document's language, or of all languages where none of its documents was held out. Documents
-    without text have perplexity null and are kept, as are all if there are no trusted documents. Repeated rows are judged
+    Limits are those of the document's language. Where fewer than LEAST_HELD of its documents were held out, they are those of
+    all languages, widened to the language's own where these reach further; with fewer than LEAST_HELD in all, there are none
+    and all are kept. Documents without text have perplexity null and are kept. Repeated rows are judged
     alike. Null ids are not trusted. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
@@ -179,12 +182,13 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     known = scores.join(trusted.where(held), "doc_id", "left_semi").where("log_ppl is not null")
 
     def limits(by: list[str]) -> DataFrame:
-        q = known.groupBy(*by).agg(F.percentile_approx("log_ppl", [low, 0.5, high], 10_000).alias("q"))
-        return q.select(*by, (F.col("q")[0] - slack * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + slack * (F.col("q")[2] - F.col("q")[1])).alias("hi"))
+        q = known.groupBy(*by).agg(F.percentile_approx("log_ppl", [low, 0.5, high], 10_000).alias("q"), F.count("*").alias("held"))
+        return q.select(*by, "held", (F.col("q")[0] - slack * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + slack * (F.col("q")[2] - F.col("q")[1])).alias("hi"))
 
     every = limits([]).first()  # one row
-    lo, hi = (every.lo, every.hi) if every.lo is not None else (-math.inf, math.inf)
+    lo, hi = (every.lo, every.hi) if every.held >= LEAST_HELD else (-math.inf, math.inf)
     found = scores.join(limits(["lang"]), "lang", "left")
-    found = found.withColumns({"lo": F.coalesce("lo", F.lit(lo)), "hi": F.coalesce("hi", F.lit(hi))})
+    own = F.coalesce("held", F.lit(0)) >= LEAST_HELD
+    found = found.withColumns({"lo": F.when(own, F.col("lo")).otherwise(F.least("lo", F.lit(lo))), "hi": F.when(own, F.col("hi")).otherwise(F.greatest("hi", F.lit(hi)))})
     kept = F.col("log_ppl").isNull() | F.col("log_ppl").between(F.col("lo"), F.col("hi"))
     return found.select(F.col("doc_id").alias(id_col), F.col("lang"), F.col("n").alias("n_chars"), F.exp("log_ppl").alias("perplexity"), F.exp("lo").alias("low_limit"), F.exp("hi").alias("high_limit"), kept.alias("kept"), F.col("row").alias("row_key"))

@@ -312,6 +312,21 @@ def test_language_model(spark, docs, empty):
     assert few.where("not kept").count() == 0 and kneser_ney.judge(empty, trusted).count() == 0
 
 
+def test_limits_of_few_held_out(spark):
+    """A language with one held-out document keeps its clean documents, not its junk; few held-out documents in all set no limits."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    held = {x.id for x in spark.range(2000).where("pmod(xxhash64(id), 16) < 2").collect()}
+    rare = [min(i for i in held if i >= 1000), *[i for i in range(1000, 1100) if i not in held][:30]]
+    rows = [(i, " ".join(r.choices(words, k=40)), "en") for i in range(400)] + [(i, " ".join(r.choices(words, k=40)), "xx") for i in rare]
+    junk = (5000, "#@!~ %^&* " * 20, "xx")
+    docs = spark.createDataFrame([*rows, junk], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long")
+    got = {x.doc_id: x.kept for x in kneser_ney.judge(docs, trusted).collect()}
+    assert all(got[i] for i in rare) and not got[5000]
+    assert kneser_ney.judge(docs, trusted.where("doc_id >= 1000")).where("not kept").count() == 0
+
+
 def test_shards_of_the_model(spark, docs):
     rows = docs.selectExpr("xxhash64(doc_id, text) as row", "doc_id", "lang", "coalesce(text, '') as text")
     p = kneser_ney.probabilities(kneser_ney.count_grams(rows, 3), kneser_ney.count_grams(rows, 3).select("gram"), 3)
