@@ -287,6 +287,14 @@ def bootstrap_ci(spark, sf):
     return E.bootstrap(counts, 100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@query()
+def bootstrap_ci_all_pairs(spark, sf):
+    """Interval of the edits of every pair from 1,000 resamples; bootstrap_ci() has a part of them, for SQL."""
+    rows = pairs(spark, sf).select(*KEY, E.edit_counts_udf("source", "hypothesis", "reference").alias("c"))
+    counts = M._numbered(rows, [*KEY]).select((F.col("_rn") - 1).alias("i"), "c.tp", "c.fp", "c.fn")
+    return E.bootstrap(counts).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("select sha256(string_agg(h, '' order by h)) as digest, count(*) as n from (select sha256(text) as h from documents)")
 def dataset_hash(spark, sf):
     """Order-independent digest of a dataset: digests of rows, sorted in Spark, then hashed together."""
