@@ -208,6 +208,12 @@ def cer(spark, sf):
     return E.char_error_rate(rows).select(F.round("cer", 6).alias("cer"), F.round("mean_cer", 6).alias("mean_cer"))
 
 
+@query()
+def cer_all_pairs(spark, sf):
+    """cer() of every pair; that one has the ASCII pairs, which DuckDB measures alike."""
+    return E.char_error_rate(pairs(spark, sf)).select(F.round("cer", 6).alias("cer"), F.round("mean_cer", 6).alias("mean_cer"))
+
+
 _KAPPA = """c as (select quality::varchar as a, toxic::varchar as b, count(*) as n from labels group by all), t as (select sum(n)::bigint as n, sum(case when a = b then n end) as same from c),
   e as (select sum(x * y::double) as c from (select a as k, sum(n) as x from c group by 1) join (select b as k, sum(n) as y from c group by 1) using (k))"""
 

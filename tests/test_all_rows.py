@@ -49,3 +49,31 @@ def test_bootstrap(spark, sf, counted):
     scores.sort()
     (got,) = run(spark, sf, "bootstrap_ci_all_pairs")
     assert (got.low, got.high) == pytest.approx((scores[25], scores[975]), abs=1e-6)
+
+
+def distance(a: str, b: str) -> int:
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_cer(spark, sf):
+    each = [(distance(r.hypothesis, r.reference), len(r.reference)) for r in pairs(spark, sf).collect()]
+    (got,) = run(spark, sf, "cer_all_pairs")
+    assert got.cer == pytest.approx(sum(d for d, _ in each) / sum(n for _, n in each), abs=1e-6)
+    assert got.mean_cer == pytest.approx(sum(d / n for d, n in each) / len(each), abs=1e-6)
+
+
+def test_join_tokens(spark, sf):
+    want = {}
+    for r in catalog.queries()["regex_tokens"](spark, sf).collect():
+        text = ""
+        for i, t in enumerate(r.out.split("|")):
+            text += t if i == 0 or t in P.NO_SPACE_BEFORE else f" {t}"
+        want[r.doc_id, r.pos] = text
+    got = {(r.doc_id, r.pos): r.out for r in run(spark, sf, "join_tokens_all")}
+    assert got == want and any(")]" in x for x in got.values())
