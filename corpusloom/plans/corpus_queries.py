@@ -278,6 +278,16 @@ def f05_all_pairs(spark, sf):
     return _rounded(E.edit_scores(pairs(spark, sf), "error_type"), "error_type")
 
 
+@query()
+def f05_corpus_all_pairs(spark, sf):
+    return _rounded(E.edit_scores(pairs(spark, sf)))
+
+
+@query()
+def m2_f05_all_pairs(spark, sf):
+    return _rounded(E.m2_scores(pairs(spark, sf)))
+
+
 _COUNTS = f"{PAIRS}, c as (select row_number() over (order by doc_id, pos) - 1 as i, (source <> reference and hypothesis = reference)::int as tp, 0 as fp, (source <> reference and hypothesis <> reference)::int as fn from pairs where pos = 0)"
 
 

@@ -51,6 +51,13 @@ def test_bootstrap(spark, sf, counted):
     assert (got.low, got.high) == pytest.approx((scores[25], scores[975]), abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["f05_corpus_all_pairs", "m2_f05_all_pairs"])
+def test_scores(spark, sf, counted, name):
+    tp, fn = sum(x for x, _ in counted), sum(x for _, x in counted)
+    (got,) = run(spark, sf, name)
+    assert (got.tp, got.fp, got.fn) == (tp, 0, fn) and got.f05 == pytest.approx(f05(tp, fn), abs=1e-6)
+
+
 def distance(a: str, b: str) -> int:
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
