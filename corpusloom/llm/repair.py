@@ -21,21 +21,20 @@ from corpusloom.llm.common import pieces, scratch, text_or_empty
 from corpusloom.llm.tokens import public_encoder, space_chunks
 
 END, MAGIC, VERSION = 2, 0x31525052, 1
-BLOCK_IDS, ROUNDS, RULES_A_ROUND, LEAST_COUNT = 1_000_000, 6, 4096, 4
+BLOCK_IDS, RULES_A_ROUND, LEAST_COUNT = 1_000_000, 4096, 4
 _SLOTS = 1 << 18
 
 
-def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their last marks, rules, expansion lengths). last: marks the last id of each document; no pair crosses it.
 
     Each round replaces the most frequent pairs, left to right, as long as pairs occur `least` times. Pairs are found by
-    hashed counts and then counted exactly, so that a round costs a few passes and no sorting.
+    hashed counts and then counted exactly, so that a round costs a few passes and no sorting; only where that finds none are
+    all pairs sorted.
     """
     seq, last, rules, lengths = ids.astype(np.int64), last.copy(), [], []
     size = np.ones(terminals, dtype=np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code = (seq[:-1] << 32) | seq[1:]
         slot = ((code * np.int64(-7046029254386353131)) >> 40) & (_SLOTS - 1)
         free = np.flatnonzero(~last[:-1])
@@ -49,8 +48,18 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
         pos, at = pos[fits], at[fits]
         n = np.bincount(at, minlength=_SLOTS)
         chosen = np.flatnonzero(n >= least)
-        if not len(chosen):
-            break
+        if not len(chosen):  # frequent pairs may have lost their slots to rare ones
+            kinds, n = np.unique(code[free], return_counts=True)
+            kinds = kinds[n >= least][np.argsort(-n[n >= least], kind="stable")]
+            if not len(kinds):
+                break
+            slots = ((kinds * np.int64(-7046029254386353131)) >> 40) & (_SLOTS - 1)
+            chosen, one = np.unique(slots, return_index=True)
+            chosen, one = chosen[:rules_a_round], one[:rules_a_round]
+            pair[:] = -1
+            pair[chosen] = kinds[one]
+            pos = free[pair[slot[free]] == code[free]]
+            at = slot[pos]
         number = np.full(_SLOTS, -1, dtype=np.int64)
         number[chosen] = len(size) + np.arange(len(chosen))
         name = number[at]

@@ -104,6 +104,23 @@ def test_repair(docs, empty):
     assert repair.read_grammars(repair.write_grammars(empty, BYTE, 50_257)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1 << 18, 8])
+def test_repair_leaves_no_frequent_pair(monkeypatch, slots):
+    """Copies of a long passage need more than six rounds; with few slots, pairs lose theirs to others."""
+    monkeypatch.setattr(repair, "_SLOTS", slots)
+    r = np.random.default_rng(2)
+    passage = r.integers(3, 900, 400)
+    ids = np.concatenate([np.append(np.append(passage, r.integers(3, 900, 50)), 2) for _ in range(8)])
+    symbols, last, rules, lengths = repair.compress(ids, ids == 2, 1000, rules_a_round=min(4096, slots))
+    pairs = Counter((a, b) for a, b, end in zip(symbols[:-1].tolist(), symbols[1:].tolist(), last[:-1], strict=True) if not end)
+    assert max(pairs.values()) < 4 and lengths.max() > 64
+
+    def expand(x):
+        return [x] if x < 1000 else expand(rules[x - 1000][0]) + expand(rules[x - 1000][1])
+
+    assert sum(map(expand, symbols.tolist()), []) == ids.tolist()
+
+
 def test_repair_random_access():
     r = np.random.default_rng(1)
     docs_ = [np.append(r.integers(3, 9, n), 2).astype("<u4") for n in (0, 1, 500, 3000)]
