@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import caches
 from corpusloom.llm.common import pieces, text_or_empty
 from corpusloom.llm.tokens import CachedEncoder, space_chunks, space_text
 
@@ -135,7 +136,10 @@ _WORKER: dict[str, tuple[StreamingBpe, CachedEncoder]] = {}
 def worker(path: str) -> tuple[StreamingBpe, CachedEncoder]:
     if path not in _WORKER:
         bpe = StreamingBpe(path)
-        _WORKER[path] = bpe, CachedEncoder(lambda part: [list(bpe.encode(space_text(c))) for c in part], space_chunks)
+        encode = CachedEncoder(lambda part: [np.fromiter(bpe.encode(space_text(c)), dtype="<u4").tobytes() for c in part], space_chunks)
+        caches.register(f"stream {path}", encode.empty)
+        _WORKER[path] = bpe, encode
+    caches.only(f"stream {path}")
     return _WORKER[path]
 
 
@@ -150,11 +154,12 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", part: in
         bpe, encode = worker(tokenizer)
         for b in pieces(batches):
             cols: list[list] = [[], [], []]
-            for data in encode(b.column("text").to_pylist()):
-                ids, text = np.frombuffer(data, dtype="<u4"), hashlib.sha256()
+            flat, at = encode(b.column("text"))
+            for start, then in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids, text = flat[start:then], hashlib.sha256()
                 for s in bpe.decode(ids[i : i + part] for i in range(0, len(ids), part)):
                     text.update(s.encode())
-                for c, v in zip(cols, (len(ids), hashlib.sha256(data).hexdigest(), text.hexdigest()), strict=True):
+                for c, v in zip(cols, (len(ids), hashlib.sha256(ids).hexdigest(), text.hexdigest()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -18,70 +18,77 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pieces, scratch, text_or_empty
-from corpusloom.llm.tokens import public_encoder, space_chunks
+from corpusloom.llm.tokens import public_encoder, space_chunks, with_end
 
 END, MAGIC, VERSION = 2, 0x31525052, 1
-BLOCK_IDS, RULES_A_ROUND, LEAST_COUNT = 1_000_000, 4096, 4
-_SLOTS = 1 << 18
+BLOCK_IDS, RULES_A_ROUND, LEAST_COUNT = 1_000_000, 8192, 4
+#: Slots of the table of pair hashes (a power of two), and places above which pairs are first counted by their slots.
+SLOT_BITS, MANY = 20, 1 << 19
+
+
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
 
 
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their last marks, rules, expansion lengths). last: marks the last id of each document; no pair crosses it.
 
-    Each round replaces the most frequent pairs, left to right, as long as pairs occur `least` times. Pairs are found by
-    hashed counts and then counted exactly, so that a round costs a few passes and no sorting; only where that finds none are
-    all pairs sorted.
+    Each round counts pairs exactly and replaces the rules_a_round most frequent ones (more where counts tie), left to right,
+    until no pair occurs `least` times. A pair that occurs less often never occurs more often later, so a round looks only at
+    places whose pair was frequent, and at those that the round before changed.
     """
-    seq, last, rules, lengths = ids.astype(np.int64), last.copy(), [], []
+    seq, last, rules, lengths = ids.astype(np.uint32), last.copy(), [], []
     size = np.ones(terminals, dtype=np.int64)
-    while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        slot = ((code * np.int64(-7046029254386353131)) >> 40) & (_SLOTS - 1)
-        free = np.flatnonzero(~last[:-1])
-        counts = np.bincount(slot[free], minlength=_SLOTS)
-        floor = max(least, int(np.partition(counts, -rules_a_round)[-rules_a_round]))
-        pos = free[(counts >= floor)[slot[free]]]
-        own, at = code[pos], slot[pos]
-        pair = np.full(_SLOTS, -1, dtype=np.int64)
-        pair[at] = own  # one pair a slot; others of the slot wait for a later round
-        fits = pair[at] == own
-        pos, at = pos[fits], at[fits]
-        n = np.bincount(at, minlength=_SLOTS)
-        chosen = np.flatnonzero(n >= least)
-        if not len(chosen):  # frequent pairs may have lost their slots to rare ones
-            kinds, n = np.unique(code[free], return_counts=True)
-            kinds = kinds[n >= least][np.argsort(-n[n >= least], kind="stable")]
-            if not len(kinds):
-                break
-            slots = ((kinds * np.int64(-7046029254386353131)) >> 40) & (_SLOTS - 1)
-            chosen, one = np.unique(slots, return_index=True)
-            chosen, one = chosen[:rules_a_round], one[:rules_a_round]
-            pair[:] = -1
-            pair[chosen] = kinds[one]
-            pos = free[pair[slot[free]] == code[free]]
-            at = slot[pos]
-        number = np.full(_SLOTS, -1, dtype=np.int64)
+    live = np.flatnonzero(~last[:-1]).astype(np.int32)
+    while len(live):
+        left, right = seq[live], seq[live + 1]
+        slot = _slots(left, right)
+        if len(live) > MANY:  # a slot's count is an upper bound of its pairs' counts
+            stay = (np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]
+            live, left, right, slot = live[stay], left[stay], right[stay], slot[stay]
+        code = (left.astype(np.uint64) << np.uint64(32)) | right
+        ordered = np.sort(code)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
+        n = np.diff(starts, append=len(ordered))
+        kinds, n = ordered[starts[n >= least]], n[n >= least]
+        if not len(kinds):
+            break
+        first, second = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
+        table, own = np.zeros(1 << SLOT_BITS, dtype=np.int32), _slots(first, second)
+        table[own] = np.arange(len(kinds), dtype=np.int32)
+        which = table[slot]
+        stay = kinds[which] == code
+        if len(lost := np.flatnonzero(table[own] != np.arange(len(kinds)))):  # pairs that share their slot with another
+            other = np.flatnonzero(~stay)
+            at = np.minimum(np.searchsorted(kinds[lost], code[other]), len(lost) - 1)
+            hit = kinds[lost][at] == code[other]
+            which[other[hit]], stay[other[hit]] = lost[at[hit]], True
+        live, which = live[stay], which[stay]
+        floor = least if len(n) <= rules_a_round else int(np.partition(n, -rules_a_round)[-rules_a_round])
+        chosen = np.flatnonzero(n >= floor)
+        number = np.full(len(kinds), -1, dtype=np.int64)
         number[chosen] = len(size) + np.arange(len(chosen))
-        name = number[at]
-        pos, name = pos[name >= 0], name[name >= 0]
-        starts = np.flatnonzero(np.diff(pos, prepend=-2) != 1)  # of runs of overlapping pairs: every other one is replaced
-        in_run = np.arange(len(pos)) - np.repeat(starts, np.diff(starts, append=len(pos)))
-        pos, name = pos[in_run % 2 == 0], name[in_run % 2 == 0]
-        left, right = pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF
-        rules.append(np.stack([left, right], axis=1))
-        lengths.append(size[left] + size[right])
+        name = number[which]
+        pos, name = live[name >= 0], name[name >= 0]
+        runs = np.flatnonzero(np.diff(pos, prepend=-2) != 1)  # of overlapping pairs: every other one is replaced
+        even = (np.arange(len(pos)) - np.repeat(runs, np.diff(runs, append=len(pos)))) % 2 == 0
+        pos, name = pos[even], name[even]
+        rules.append(np.stack([first[chosen], second[chosen]], axis=1).astype(np.int64))
+        lengths.append(size[rules[-1][:, 0]] + size[rules[-1][:, 1]])
         size = np.concatenate([size, lengths[-1]])
         seq[pos], last[pos] = name, last[pos + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[pos + 1] = False
-        seq, last = seq[keep], last[keep]
+        keep, alive = np.ones(len(seq), dtype=bool), np.zeros(len(seq), dtype=bool)
+        keep[pos + 1], alive[live], alive[pos] = False, True, True
+        seq, last, alive = seq[keep], last[keep], alive[keep]
+        alive[np.maximum(pos - np.arange(len(pos)) - 1, 0)] = True  # the pairs that end in a new symbol
+        live = np.flatnonzero(alive & ~last).astype(np.int32)
     rules_ = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
-    return seq, last, rules_, np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
+    return seq.astype(np.int64), last, rules_, np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
 
 
-def to_payload(doc_ids: list[int | None], ids: list[bytes], terminals: int) -> bytes:
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    ends = np.cumsum([len(x) // 4 for x in ids])
+def to_payload(doc_ids: list[int | None], ids: list[np.ndarray], terminals: int) -> bytes:
+    flat = np.concatenate(ids)
+    ends = np.cumsum([len(x) for x in ids])
     last = np.zeros(len(flat), dtype=bool)
     last[ends - 1] = True
     symbols, last, rules, lengths = compress(flat, last, terminals)
@@ -135,13 +142,14 @@ class Payload:
 def write_grammars(docs: DataFrame, tokenizer: str, terminals: int, end: int = END, block_ids: int = BLOCK_IDS, name: str = "repair") -> DataFrame:
     """Encodes and compresses documents in ascending doc_id order; returns the written files as a DataFrame.
 
-    Shards are ranges of doc_id. A task holds one block: block_ids ids, or one longer document.
+    Shards are ranges of doc_id, of which one that repeats is cut further by its texts and by place. A task holds one block:
+    block_ids ids, or one longer document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode, tail = TaskContext.get().partitionId(), public_encoder(tokenizer, space_chunks), np.array([end], dtype="<u4").tobytes()
+        shard, encode = TaskContext.get().partitionId(), public_encoder(tokenizer, space_chunks)
         block, docs_, ids, n = 0, [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -149,10 +157,11 @@ def write_grammars(docs: DataFrame, tokenizer: str, terminals: int, end: int = E
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64()] * 5 + [pa.binary()], strict=True)], ["shard", "block", "first_doc", "n_docs", "n_ids", "payload"])
 
         for b in pieces(batches):
-            for d, x in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+            flat, at = with_end(*encode(b.column("text")), end)
+            for d, start, then in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 docs_.append(d)
-                ids.append(x + tail)
-                n += len(x) // 4 + 1
+                ids.append(flat[start:then])
+                n += then - start
                 if n >= block_ids:
                     yield row()
                     block, docs_, ids, n = block + 1, [], [], 0
@@ -160,7 +169,8 @@ def write_grammars(docs: DataFrame, tokenizer: str, terminals: int, end: int = E
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "_hash", "_place").sortWithinPartitions("doc_id", "_hash", "_place").drop("_hash", "_place")
     return scratch(rows.mapInArrow(run, "shard long, block long, first_doc long, n_docs long, n_ids long, payload binary"), name)
 
 

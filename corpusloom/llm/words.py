@@ -8,19 +8,26 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.llm import caches
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: Words whose hashes a worker remembers: about 50 MB.
+REMEMBERED = 300_000
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000 and len(word) <= 40:
+        if len(self) < REMEMBERED and len(word) <= 40:
             self[word] = found
         return found
 
 
 _HASHES = _Hashes()
+caches.register("words", _HASHES.clear)
 
 
 def text_bytes(column: str = "text") -> Column:
@@ -34,6 +41,7 @@ def split(column: pa.Array) -> list[list[bytes]]:
 
 def hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and where each text begins (one more at the end)."""
+    caches.only("words")
     at = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum([len(w) for w in words], out=at[1:])
     out = np.fromiter((h for w in words for h in map(_HASHES.__getitem__, w)), dtype=np.uint64, count=int(at[-1]))

@@ -79,15 +79,48 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
-def test_packing_proportions():
+@pytest.mark.parametrize("grain", [1, 8])
+def test_packing_proportions(grain):
     sizes = [1000, 37, 5, 4001]
-    filled = np.zeros((4, 200), dtype=int)
+    rounds, filled = packing.Rounds(sizes, packing.credits(list("abcd"), sizes, None, 64), 64, grain), np.zeros((4, 200), dtype=int)
+    places = set()
     for i, n in enumerate(sizes):
-        for _, length, seq, _ in packing.place(sizes, i, 0, n, 64):
-            filled[i, seq] += length
+        for first in range(0, n, 7):  # documents
+            for _, length, seq, offset in rounds.place(i, first, min(7, n - first)):
+                filled[i, seq] += length
+                places |= {(seq, offset + k) for k in range(length)}
     full = sum(sizes) // 64
+    assert len(places) == sum(sizes) and filled[:, :full].sum() == 64 * full
     for i, n in enumerate(sizes):
-        assert np.abs(filled[i, :full] - 64 * n / sum(sizes)).max() <= 1 + len(sizes)
+        carried = np.cumsum(filled[i, :full] - 64 * n / sum(sizes))
+        assert np.abs(carried).max() <= grain * (2 + len(sizes))
+
+
+def test_packing_targets(spark):
+    """Sources keep to their targets as long as they have tokens, and all tokens are packed."""
+    rows = [(i, "a b c d e f g " * 5, None, "abcn"[i % 4] if i % 4 < 3 else None, 0, i, "", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(docs, WORD, window=128, targets={"a": 0.5, "b": 0.25}, grain=8).collect()
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id, r.source] += r.length
+    assert sum(filled.values()) == 400 * 36
+    lasting = 100 * 36 * 2 // 128 - 2  # windows until source a has no tokens left
+    share = Counter()
+    for (seq, source), n in filled.items():
+        if seq < lasting:
+            share[source] += n / (128 * lasting)
+    assert abs(share["a"] - 0.5) < 0.02 and abs(share["b"] - 0.25) < 0.02 and abs(share["c"] - share[None]) < 0.02
+    with pytest.raises(ValueError):
+        packing.pack(docs, WORD, targets={"a": 0.7, "b": 0.4})
+
+
+def test_packing_many_sources(spark):
+    """Sources with less than a token a window have common queues, and documents stay whole but for the grain and window ends."""
+    docs = spark.createDataFrame([(i, "one two three four", None, f"source {i}", 0, i, "", "") for i in range(600)], DOCS)
+    got = packing.pack(docs, WORD, window=64, grain=32).collect()
+    assert sum(r.length for r in got) == 600 * 5 and {r.source for r in got} == {f"source {i}" for i in range(600)}
+    assert len(got) < 900
 
 
 def test_repair(docs, empty):
@@ -104,14 +137,15 @@ def test_repair(docs, empty):
     assert repair.read_grammars(repair.write_grammars(empty, BYTE, 50_257)).count() == 0
 
 
-@pytest.mark.parametrize("slots", [1 << 18, 8])
-def test_repair_leaves_no_frequent_pair(monkeypatch, slots):
-    """Copies of a long passage need more than six rounds; with few slots, pairs lose theirs to others."""
-    monkeypatch.setattr(repair, "_SLOTS", slots)
+@pytest.mark.parametrize("bits", [20, 3])
+def test_repair_leaves_no_frequent_pair(monkeypatch, bits):
+    """Copies of a long passage need many rounds; with few slots, pairs share theirs with others."""
+    monkeypatch.setattr(repair, "SLOT_BITS", bits)
+    monkeypatch.setattr(repair, "MANY", 1000)
     r = np.random.default_rng(2)
     passage = r.integers(3, 900, 400)
     ids = np.concatenate([np.append(np.append(passage, r.integers(3, 900, 50)), 2) for _ in range(8)])
-    symbols, last, rules, lengths = repair.compress(ids, ids == 2, 1000, rules_a_round=min(4096, slots))
+    symbols, last, rules, lengths = repair.compress(ids, ids == 2, 1000, rules_a_round=4096 if bits > 3 else 8)
     pairs = Counter((a, b) for a, b, end in zip(symbols[:-1].tolist(), symbols[1:].tolist(), last[:-1], strict=True) if not end)
     assert max(pairs.values()) < 4 and lengths.max() > 64
 
@@ -124,7 +158,7 @@ def test_repair_leaves_no_frequent_pair(monkeypatch, slots):
 def test_repair_random_access():
     r = np.random.default_rng(1)
     docs_ = [np.append(r.integers(3, 9, n), 2).astype("<u4") for n in (0, 1, 500, 3000)]
-    p = repair.Payload(repair.to_payload([4, None, 6, 7], [d.tobytes() for d in docs_], 10))
+    p = repair.Payload(repair.to_payload([4, None, 6, 7], docs_, 10))
     assert len(p.rules) and p.null.tolist() == [0, 1, 0, 0]
     for k, d in enumerate(docs_):
         assert (p.document(k) == d).all() and [p.at(k, i) for i in range(0, len(d), 7)] == d[::7].tolist()
