@@ -1,20 +1,24 @@
-"""Buckets of candidates: large ones in pairs of blocks, so that a task holds two blocks at most."""
+"""Buckets of candidates: large ones in pairs of blocks, so that a task holds two blocks at most.
+
+Two members of a bucket are compared where the bucket is not split, so a block is as large as a task's memory allows: a bucket
+in one block costs no copy of a row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 1024
 
 
-def in_blocks(rows: DataFrame, member: str, size: str, block: int = BLOCK) -> DataFrame:
-    """rows (bucket long, ...): adds own, low, high. A bucket of at most `block` rows is one task (0, 0); a larger one is cut into
+def in_blocks(rows: DataFrame, member: str, blocks: Column) -> DataFrame:
+    """rows (bucket long, ...): adds own, low, high. A bucket of one block is one task (0, 0); another is cut into its number of
     blocks by a hash of `member`, and its tasks are the pairs of blocks low <= high."""
-    n = F.ceil(F.col(size) / block).cast("int")
+    n = F.greatest(blocks.cast("int"), F.lit(1))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member, F.lit(1)), n).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumns({"low": F.least("own", "_other"), "high": F.greatest("own", "_other")}).drop("_other")

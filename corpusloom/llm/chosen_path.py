@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.buckets import BLOCK, Union, dealt, in_blocks, tasks
+from corpusloom.llm.buckets import Union, dealt, in_blocks, tasks
 from corpusloom.llm.common import bitmap, components, in_bitmap, pieces, scratch
 from corpusloom.llm.words import grams, hashes, mix, split, text_bytes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 FAN, DEPTH, SPARE, DENSE = 4, 3, 24, 0.5
+#: Classes above which a bucket is split again; classes and shingles that a block of a bucket holds at most, on average.
+LIMIT, BLOCK, BLOCK_SHINGLES = 256, 4096, 1 << 21
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -46,7 +48,8 @@ def _class(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, n: int) -> DataFrame:
-    """row (hash of id and text), doc_id, class (of equal sets; null: no words), least: n tokens, one for each of n hashes."""
+    """row (hash of id and text), doc_id, class (of equal sets; null: no words), size (of the set), least: n tokens, one for each of
+    n hashes."""
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,35 +63,35 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, n: int) -> Dat
                     least[full, j] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at[full])
             names = [_class(flat[a:z]) if z > a else None for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * n, pa.int32()), pa.array(least.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(names, pa.int64()), values], ["row", "doc_id", "class", "least"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(names, pa.int64()), pa.array(np.diff(at)), values], ["row", "doc_id", "class", "size", "least"])
 
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, class long, least array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, class long, size long, least array<long>")
 
 
-def choose_paths(classes: DataFrame, runs: int, limit: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """classes (class, least): the leaves: bucket, class, n (classes in the bucket, 2 or more)."""
+def choose_paths(classes: DataFrame, runs: int, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """classes (class, size, least): the leaves: bucket, class, size, n (classes in the bucket, 2 or more)."""
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         sizes = scratch(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), name + "-sizes")
         return scratch(rows.join(sizes, "bucket"), name)
 
-    tokens = classes.select("class", F.posexplode(F.slice("least", 1, runs)).alias("run", "token"))
-    level = counted(tokens.select(F.xxhash64("run", "token").alias("bucket"), "class").distinct(), "paths-0")
+    tokens = classes.select("class", "size", F.posexplode(F.slice("least", 1, runs)).alias("run", "token"))
+    level = counted(tokens.select(F.xxhash64("run", "token").alias("bucket"), "class", "size").distinct(), "paths-0")
     leaves = [level.where(F.col("n") <= limit)]
     for d in range(depth):
         large = level.where(F.col("n") > limit)
         if large.isEmpty():
             break
         step = F.expr(f"transform(sequence(0, {FAN - 1}), i -> cast({runs} + pmod(xxhash64(bucket, {d}) + i, {SPARE}) as int))")
-        split_ = large.join(classes, "class").select("bucket", "class", "n", "least", F.explode(step).alias("j"))
-        split_ = split_.select(F.col("bucket").alias("parent"), "class", F.col("n").alias("whole"), "j", F.expr("element_at(least, j + 1)").alias("token"))
+        split_ = large.join(classes.select("class", "least"), "class").select("bucket", "class", "size", "n", "least", F.explode(step).alias("j"))
+        split_ = split_.select(F.col("bucket").alias("parent"), "class", "size", F.col("n").alias("whole"), "j", F.expr("element_at(least, j + 1)").alias("token"))
         split_ = scratch(split_.withColumn("bucket", F.xxhash64("parent", "j", "token")), f"paths-{d + 1}-split")
         sizes = scratch(split_.groupBy("parent", "bucket").agg(F.count("*").alias("n"), F.max("whole").alias("whole")), f"paths-{d + 1}-sizes")
         dense = scratch(sizes.groupBy("parent").agg((F.max(F.col("n") / F.col("whole")) >= DENSE).alias("dense")).where("dense"), f"paths-{d + 1}-dense").select(F.col("parent").alias("bucket"))
         leaves.append(large.join(dense, "bucket", "left_semi"))
         children = scratch(sizes.where("n > 1").join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("bucket", "n"), f"paths-{d + 1}-children")
-        level = scratch(split_.select("bucket", "class").join(children, "bucket"), f"paths-{d + 1}")
+        level = scratch(split_.select("bucket", "class", "size").join(children, "bucket"), f"paths-{d + 1}")
         leaves.append(level if d == depth - 1 else level.where(F.col("n") <= limit))
     out = leaves[0]
     for more in leaves[1:]:
@@ -97,26 +100,40 @@ def choose_paths(classes: DataFrame, runs: int, limit: int = BLOCK, depth: int =
 
 
 def distinct_buckets(leaves: DataFrame) -> DataFrame:
-    """leaves without buckets that have the same classes as another one: the copies of a pair meet in most runs, once is enough."""
-    members = leaves.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(class, 1))").alias("x"), F.expr("bit_xor(xxhash64(class, 2))").alias("y"))
-    one = scratch(members.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "paths-distinct")
-    return scratch(leaves.join(one, "bucket", "left_semi"), "paths-leaves")
+    """leaves without buckets that have the same classes as another one: the copies of a pair meet in most runs, once is enough. Adds
+    shingles: those of all classes of the bucket."""
+    members = leaves.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(class, 1))").alias("x"), F.expr("bit_xor(xxhash64(class, 2))").alias("y"), F.sum("size").alias("shingles"))
+    one = scratch(members.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles")).select("bucket", "shingles"), "paths-distinct")
+    return scratch(leaves.join(one, "bucket"), "paths-leaves")
 
 
 def _overlaps(rows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row i: how many values it shares with each later row."""
-    values, which, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    use = shared[which]
-    width = int(shared.sum())
-    bits = np.zeros((len(rows), (width + 63) // 64 * 8), dtype=np.uint8)
+    """For each row i: how many values it shares with each later row. Values that many rows have are bits of a row (a column is as
+    wide as 64 mean rows at most); the others are counted by their sorted postings."""
+    n = len(rows)
+    _, which, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    common, rare = times * 64 >= n, times * 64 < n
+    common[times < 2] = rare[times < 2] = False
+    column, use = np.cumsum(common) - 1, common[which]
+    bits = np.zeros((n, (int(common.sum()) + 63) // 64 * 8), dtype=np.uint8)
     own, col = owner[use], column[which[use]]
     np.bitwise_or.at(bits, (own, col >> 3), (1 << (col & 7)).astype(np.uint8))
     words = bits.view(np.uint64)
-    for i in range(len(rows) - 1):
-        yield i, np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int64)
+    use = rare[which]
+    own, col = owner[use], which[use]
+    by = np.argsort(col, kind="stable")  # postings: of each value, its rows in rising order
+    postings, place = own[by], np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
+    left = np.searchsorted(col[by], col, side="right") - place - 1  # later rows in the posting of each occurrence
+    at = np.searchsorted(own, np.arange(n + 1))
+    for i in range(n - 1):
+        found = np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int64)
+        a, z = at[i], at[i + 1]
+        if many := int(left[a:z].sum()):
+            begin = np.repeat(place[a:z] + 1 - (np.cumsum(left[a:z]) - left[a:z]), left[a:z])
+            found += np.bincount(postings[begin + np.arange(many)], minlength=n)[i + 1 :]
+        yield i, found
 
 
 def verify(task: dict[str, list], threshold: float) -> tuple[list, list, list]:
@@ -141,7 +158,7 @@ def verify(task: dict[str, list], threshold: float) -> tuple[list, list, list]:
     return [names[k] for k in a], links[a].tolist(), [(names[k], names[union.root(k)]) for k in e]
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row of docs: id_col, class_id (least id of the documents reachable by links, itself included), n_links (other
     rows with Jaccard similarity of at least threshold), kept (id_col = class_id), row_key (a hash of id and text).
 
@@ -153,10 +170,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs_for(threshold, recall)
     sketched = scratch(sketches(docs, id_col, text_col, k, runs + SPARE), "paths-sketches")
     classes = sketched.where("class is not null")
-    copies = scratch(classes.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "paths-classes")
-    # One row a class: its members share their sketches, and repeated (id, class) rows fall together in distinct paths.
-    single = classes.join(copies, (classes["class"] == copies["class"]) & classes.doc_id.eqNullSafe(copies["first"])).select(classes["class"], "least").dropDuplicates(["class"])
-    leaves = distinct_buckets(scratch(choose_paths(scratch(single, "paths-single"), runs, block), "paths-all"))
+    # One row a class; its members have the same set, so the same sketch.
+    single = scratch(classes.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("size").alias("size"), F.any_value("least").alias("least")), "paths-classes")
+    copies = single.select("class", "copies", "first")
+    leaves = distinct_buckets(scratch(choose_paths(single.select("class", "size", "least"), runs, limit), "paths-all"))
     paths = leaves.groupBy("class").agg(F.collect_set("bucket").alias("buckets"))  # bounded by runs x FAN ^ DEPTH
     wanted = scratch(paths.join(copies, "class"), "paths-wanted")
 
@@ -177,7 +194,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     found = texts.mapInArrow(sets, "class long, set binary").join(wanted.select("class"), "class", "left_semi")
     found = scratch(found.dropDuplicates(["class"]), "paths-sets")
-    rows = in_blocks(leaves, "class", "n", block).join(wanted.select("class", "buckets", "copies"), "class").join(found, "class")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / shingles))
+    rows = in_blocks(leaves, "class", blocks).drop("size", "n", "shingles").join(wanted.select("class", "buckets", "copies"), "class").join(found, "class")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in tasks(batches):

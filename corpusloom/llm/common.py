@@ -18,9 +18,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests on one machine), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset and all runs on one machine (tests), a temporary
+    one; on a cluster it must be set. Who sets it empties it: results read its tables for as long as they are used."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="corpusloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

@@ -38,6 +38,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: Column | None =
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text, support).where(~F.col("kept")).select(F.col(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs that stay, with all their columns: see exact_groups(). Rows are told apart by id and text."""
+    gone = exact_groups(docs, id_col, text, support).where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.unhex("text_sha256").alias("_gone_digest")).distinct()
+    marked = docs.withColumn("_own_digest", F.unhex(F.sha2(text_or_empty() if text is None else text, 256)))
+    return marked.join(gone, F.col("_own_digest").eqNullSafe(F.col("_gone_digest")) & marked[id_col].eqNullSafe(F.col("_gone_id")), "left_anti").drop("_own_digest")

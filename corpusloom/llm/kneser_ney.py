@@ -2,8 +2,8 @@
 
 Counts: every task counts the n-grams of its trusted texts; the sums, the continuation counts of all lower orders and the
 context totals are aggregations sharded by n-gram. Probabilities: all distinct n-grams of all documents are joined, order by
-order, with the count shards. Perplexity: documents sum the log probabilities of their n-grams, of which a shard of bounded
-size at a time is broadcast. A document is rejected if its perplexity is outside limits set, for each language, from quantiles
+order, with the count shards. Perplexity: documents sum the log probabilities of their n-grams. The most frequent ones, a fixed
+number, are broadcast; the others are joined with the shards. A document is rejected if its perplexity is outside limits set, for each language, from quantiles
 of trusted documents that were held out of the training.
 """
 
@@ -21,58 +21,87 @@ from corpusloom.llm.common import pieces, scratch, text_or_empty
 from corpusloom.llm.words import mix
 
 ORDER, START = 5, "\x01"
-#: Rows of a broadcast shard of the model, and trusted ids above which they are shuffled and not broadcast.
-SHARD_ROWS, BROADCAST_IDS = 2_000_000, 4_000_000
+#: N-grams of the broadcast table at most, and trusted ids above which they are shuffled and not broadcast.
+TABLE_ROWS, BROADCAST_IDS = 1_000_000, 4_000_000
 #: Of 16 hash classes of trusted documents, those that set the limits and are not trained on.
-HELD_OUT = 2
-#: Held-out documents at least for limits: with fewer, no quantile of LOW or HIGH lies inside their range.
-LEAST_HELD = 20
-#: Limits: the held-out quantiles (in log perplexity), and by how much of their distance from the median they are widened.
-LOW, HIGH, SLACK = 0.05, 0.95, 3.0
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _codes(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts, each after order - 1 start marks, as one string; the hash of the n-gram that ends at each character of a text; and
-    where the texts' n-grams begin (one more at the end)."""
-    pad = START * (order - 1)
-    joined = "".join([pad + t for t in texts])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = np.zeros(max(len(points) - order + 1, 0), dtype=np.uint64)
-    for i in range(order):
-        h = h * _ODD + points[i : i + len(h)]
-    n = np.array([len(t) for t in texts], dtype=np.int64)
-    at = np.concatenate([[0], np.cumsum(n)])
-    first = np.repeat(np.arange(len(texts)) * (order - 1), n) + np.arange(int(at[-1]))
-    return joined, mix(h)[first] if len(h) else h, at
-
-
-def count_grams(texts: DataFrame, order: int, held: int = 1_500_000) -> DataFrame:
+HELD_OUT = 4
+#: Held-out documents at least for limits; and from how many on the quantiles lie inside their range, so that they are the limits as
+#: they are: those of n fewer documents are widened by (1 - n / ENOUGH_HELD) of their distance from the median.
+LEAST_HELD, ENOUGH_HELD = 20, 500
+#: Quantiles of the held-out documents' log perplexity that are the limits.
+LOW, HIGH = 0.002, 0.998
+_ODD, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(21)
+
+
+class _Grams:
+    """Of texts, each after order - 1 start marks: for the n-gram that ends at each character, its code points in two words of 21
+    bits each (3 in low, the others in high) and their hash; and where the texts' n-grams begin (one more at the end)."""
+
+    def __init__(self, texts: list[str], order: int):
+        pad = START * (order - 1)
+        points = np.frombuffer("".join([pad + t for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        first = np.repeat(np.arange(len(texts)) * (order - 1), n) + np.arange(int(self.at[-1]))
+        high, low = np.zeros(max(len(points) - order + 1, 0), dtype=np.uint64), np.zeros(max(len(points) - order + 1, 0), dtype=np.uint64)
+        for i in range(order):
+            part = points[i : i + len(high)]
+            if i < order - 3:
+                high = high << _BITS | part
+            else:
+                low = low << _BITS | part
+        self.high, self.low = high[first], low[first]
+        self.hash = mix(self.high * _ODD ^ mix(self.low))
+
+
+def _names(high: np.ndarray, low: np.ndarray, order: int) -> pa.Array:
+    points = [(low if i < 3 else high) >> np.uint64(21 * (i if i < 3 else i - 3)) & np.uint64((1 << 21) - 1) for i in range(order)]
+    text = np.stack(points[::-1], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string())
+
+
+class _Counts:
+    """Counts of n-grams as sorted arrays: 32 bytes each."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, g: _Grams) -> bool:
+        """Whether to take them: more than half of `most` are left when equal ones are merged."""
+        h, first, n = np.unique(g.hash, return_index=True, return_counts=True)
+        self.parts.append((h, n, g.high[first], g.low[first]))
+        self.size += len(h)
+        if self.size <= self.most:
+            return False
+        self._merge()
+        return self.size > self.most // 2
+
+    def _merge(self) -> None:
+        h, n, high, low = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        by = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.diff(h[by], prepend=h[by[:1]] + np.uint64(1)))
+        self.parts = [(h[by[first]], np.add.reduceat(n[by], first), high[by[first]], low[by[first]])] if len(by) else []
+        self.size = len(first)
+
+    def take(self, order: int) -> pa.RecordBatch | None:
+        if not self.size:
+            return None
+        self._merge()
+        _, n, high, low = self.parts[0]
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([_names(high, low, order), pa.array(n, pa.int64())], ["gram", "n"])
+
+
+def count_grams(texts: DataFrame, order: int, held: int = 3_000_000) -> DataFrame:
     """gram, n: counts of the n-grams of column text, combined in each task (at most `held` of them at a time)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        names: dict[int, str] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(map(names.__getitem__, counts)), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
-
-        for b in pieces(batches):
-            texts_ = b.column("text").to_pylist()
-            joined, h, at = _codes(texts_, order)
-            keys, index, n = np.unique(h, return_index=True, return_counts=True)
-            of = np.searchsorted(at, index, side="right") - 1
-            for k, c, i in zip(keys.tolist(), n.tolist(), (index + of * (order - 1)).tolist(), strict=True):
-                if k in counts:
-                    counts[k] += c
-                else:
-                    counts[k], names[k] = c, joined[i : i + order]
-            if len(counts) > held:
-                yield out()
-                counts.clear()
-                names.clear()
-        if counts:
-            yield out()
+        counts = _Counts(held)
+        for b in pieces(batches, 2_000_000):
+            if counts.add(_Grams(b.column("text").to_pylist(), order)):
+                yield counts.take(order)
+        if (rest := counts.take(order)) is not None:
+            yield rest
 
     return texts.select(text_or_empty("text").alias("text")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -88,7 +117,8 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
-    """gram, p: interpolated probability of the last character of each wanted gram after the others. counts: gram, n of trusted text."""
+    """gram, times, p: interpolated probability of the last character of each wanted gram (gram, times) after the others. counts:
+    gram, n of trusted text."""
     by_order = {order: counts}
     for n in range(order - 1, 0, -1):  # continuation counts: how many characters precede the n-gram
         by_order[n] = scratch(by_order[n + 1].groupBy(F.expr(f"right(gram, {n})").alias("gram")).agg(F.count("*").alias("n")), f"lm-counts-{n}")
@@ -105,7 +135,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame
         lower = F.lit(1.0 / letters) if p is None else F.col("p")
         if p is not None:
             q = q.join(p.withColumnRenamed("gram", "shorter"), "shorter")
-        p = q.select("gram", F.when(F.col("total").isNull(), lower).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("rest") * lower) / F.col("total")).alias("p"))
+        times = [] if n < order else ["times"]
+        p = q.select("gram", *times, F.when(F.col("total").isNull(), lower).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("rest") * lower) / F.col("total")).alias("p"))
         p = scratch(p, f"lm-p-{n}")
     return p
 
@@ -114,13 +145,18 @@ class _Table:
     """Log probabilities by n-gram hash: one probe, then binary search for the few that share a slot."""
 
     def __init__(self, grams: list[str], logs: np.ndarray, order: int):
-        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(-1, order)
-        h = np.zeros(len(points), dtype=np.uint64)
-        for i in range(order):
-            h = h * _ODD + points[:, i]
-        h = mix(h)
+        h = np.zeros(0, dtype=np.uint64)
+        if grams:
+            points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(-1, order)
+            high, low = np.zeros(len(points), dtype=np.uint64), np.zeros(len(points), dtype=np.uint64)
+            for i in range(order):
+                if i < order - 3:
+                    high = high << _BITS | points[:, i]
+                else:
+                    low = low << _BITS | points[:, i]
+            h = mix(high * _ODD ^ mix(low))
         by = np.argsort(h)
-        self.keys, self.logs = h[by], logs[by].astype(np.float32)
+        self.keys, self.logs = h[by], logs[by].astype(np.float64)
         self.bits = max(4, int(len(h)).bit_length() + 2)
 
     def slots(self) -> None:
@@ -128,46 +164,78 @@ class _Table:
             self.slot = np.zeros(1 << self.bits, dtype=np.int32)
             self.slot[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)
 
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """The log probability; 0 for those of other shards."""
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log probabilities, and which of them are known."""
+        if not len(self.keys):
+            return np.zeros(len(h)), np.zeros(len(h), dtype=bool)
         self.slots()
         i = self.slot[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         miss = np.flatnonzero(self.keys[i] != h)
         if len(miss):
             i[miss] = np.minimum(np.searchsorted(self.keys, h[miss]), len(self.keys) - 1)
-        return np.where(self.keys[i] == h, self.logs[i], np.float32(0))
-
-
-def score(docs: DataFrame, p: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (row, doc_id, lang, text): row, doc_id, lang, n (characters), log (sum of the log probabilities)."""
-    rows = p.count()
-    shards = max(1, -(-rows // shard_rows))
-    parts = []
-    for k in range(shards):
-        own = p.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k).toArrow()  # at most about shard_rows rows
-        table = docs.sparkSession.sparkContext.broadcast(_Table(own.column("gram").to_pylist(), np.log(own.column("p").to_numpy()), order))
-
-        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, 2_000_000):
-                _, h, at = _codes(b.column("text").to_pylist(), order)
-                sums = np.concatenate([[0.0], np.cumsum(table.value.look_up(h), dtype=np.float64)]) if len(table.value.keys) else np.zeros(len(h) + 1)
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(np.diff(at)), pa.array(sums[at[1:]] - sums[at[:-1]])], ["row", "doc_id", "lang", "n", "log"])
-
-        parts.append(docs.mapInArrow(run, "row long, doc_id long, lang string, n long, log double"))
-    if shards == 1:
-        return parts[0]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("row", "doc_id", "lang").agg(F.max("n").alias("n"), F.sum("log").alias("log"))
-
-
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, low: float = LOW, high: float = HIGH, slack: float = SLACK) -> DataFrame:
+        known = self.keys[i] == h
+        return np.where(known, self.logs[i], 0.0), known
+
+
+def score(docs: DataFrame, p: DataFrame, order: int, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """docs (row, doc_id, lang, text): row, doc_id, lang, n (characters), log (sum of the log probabilities); one row per row.
+
+    The most frequent n-grams, at most table_rows of them however large the model is, are broadcast. Each document's other
+    n-grams, counted in it, are joined with the shards of p, and their logarithms are summed by document. Documents are told
+    apart by a number that the one pass over them gives, so that repeated rows don't fall together.
+    """
+    level = F.floor(F.log2("times") * 8).cast("int")
+    least, rows = None, 0
+    for r in sorted(p.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 500 rows
+        rows += r["count"]
+        if rows > table_rows:
+            break
+        least = r["level"]
+    often = level >= least if least is not None else F.lit(False)
+    own = p.where(often).select("gram", "p").toArrow()  # at most table_rows rows
+    table = docs.sparkSession.sparkContext.broadcast(_Table(own.column("gram").to_pylist(), np.log(own.column("p").to_numpy()), order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 40
+        for b in pieces(batches, 2_000_000):
+            g = _Grams(b.column("text").to_pylist(), order)
+            logs, known = table.value.look_up(g.hash)
+            sums, d = np.concatenate([[0.0], np.cumsum(logs)]), len(g.at) - 1
+            rare = np.flatnonzero(~known)
+            own = np.searchsorted(g.at, rare, side="right") - 1
+            by = np.lexsort((g.low[rare], g.high[rare], own))
+            rare, own = rare[by], own[by]
+            new = np.ones(len(rare), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (g.high[rare[1:]] != g.high[rare[:-1]]) | (g.low[rare[1:]] != g.low[rare[:-1]])
+            first = np.flatnonzero(new)
+            times, k = np.diff(first, append=len(rare)), len(first)
+            names = _names(g.high[rare[first]], g.low[rare[first]], order) if k else pa.array([], pa.string())
+            nothing = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(uid + np.concatenate([np.arange(d), own[first]])), pa.concat_arrays([b.column("row"), nothing]), pa.concat_arrays([b.column("doc_id"), nothing]), pa.concat_arrays([b.column("lang"), pa.nulls(k, pa.string())]),
+                    pa.array(np.concatenate([np.diff(g.at), times])), pa.concat_arrays([pa.array(sums[g.at[1:]] - sums[g.at[:-1]]), pa.nulls(k, pa.float64())]), pa.concat_arrays([pa.nulls(d, pa.string()), names]),
+                ],
+                ["uid", "row", "doc_id", "lang", "n", "log", "gram"],
+            )
+            uid += d
+
+    found = scratch(docs.mapInArrow(run, "uid long, row long, doc_id long, lang string, n long, log double, gram string"), "lm-found")
+    rest = found.where("gram is not null").select("uid", "gram", "n").join(p.where(~often).select("gram", "p"), "gram")
+    rest = rest.groupBy("uid").agg(F.sum(F.col("n") * F.log("p")).alias("more"))
+    scored = found.where("gram is null").join(rest, "uid", "left")
+    return scored.select("row", "doc_id", "lang", "n", (F.col("log") + F.coalesce("more", F.lit(0.0))).alias("log"))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, low: float = LOW, high: float = HIGH, table_rows: int = TABLE_ROWS) -> DataFrame:
     """One row per row of docs: id_col, lang, n_chars, perplexity, low_limit, high_limit, kept. trusted: doc_id of trusted documents.
 
-    Limits are those of the document's language. Where fewer than LEAST_HELD of its documents were held out, they are those of
-    all languages, widened to the language's own where these reach further; with fewer than LEAST_HELD in all, there are none
-    and all are kept. Documents without text have perplexity null and are kept. Repeated rows are judged
+    Limits are the quantiles `low` and `high` of the held-out trusted documents of the document's language. Where fewer than
+    LEAST_HELD of its documents were held out, they are those of all languages, widened to the language's own where these reach
+    further; with fewer than LEAST_HELD in all, there are none and all are kept. A null language has the limits of all.
+    Documents without text have perplexity null and are kept. U+0001 in a text counts as a start mark. Repeated rows are judged
     alike. Null ids are not trusted. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
@@ -176,14 +244,16 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     few = trusted.count() <= BROADCAST_IDS
     training = rows.join(F.broadcast(trusted.where(~held)) if few else trusted.where(~held), "doc_id", "left_semi")
     counts = scratch(count_grams(training, order), "lm-counts")
-    wanted = scratch(count_grams(rows, order).select("gram"), "lm-wanted")
-    scores = scratch(score(rows, probabilities(counts, wanted, order), order), "lm-scores")
+    wanted = scratch(count_grams(rows, order).withColumnRenamed("n", "times"), "lm-wanted")
+    scores = scratch(score(rows, probabilities(counts, wanted, order), order, table_rows), "lm-scores")
     scores = scores.withColumn("log_ppl", F.when(F.col("n") > 0, -F.col("log") / F.col("n")))
     known = scores.join(trusted.where(held), "doc_id", "left_semi").where("log_ppl is not null")
 
     def limits(by: list[str]) -> DataFrame:
         q = known.groupBy(*by).agg(F.percentile_approx("log_ppl", [low, 0.5, high], 10_000).alias("q"), F.count("*").alias("held"))
-        return q.select(*by, "held", (F.col("q")[0] - slack * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + slack * (F.col("q")[2] - F.col("q")[1])).alias("hi"))
+        lo, mid, hi = (F.col("q")[i] for i in range(3))
+        wider = F.greatest(1 - F.col("held") / ENOUGH_HELD, F.lit(0.0))
+        return q.select(*by, "held", (lo - wider * (mid - lo)).alias("lo"), (hi + wider * (hi - mid)).alias("hi"))
 
     every = limits([]).first()  # one row
     lo, hi = (every.lo, every.hi) if every.held >= LEAST_HELD else (-math.inf, math.inf)

@@ -189,7 +189,7 @@ def near_lines(docs: DataFrame, threshold: int, least_length: int, block: int) -
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    rows = in_blocks(shared.join(sizes, "bucket"), "line", "n", block).join(content, "line")
+    rows = in_blocks(shared.join(sizes, "bucket"), "line", F.ceil(F.col("n") / block)).join(content, "line")
     edges = scratch(dealt(rows).mapInArrow(check, "a long, b long"), "lines-verified")
     return components(edges, "lines-edges")
 

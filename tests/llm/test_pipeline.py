@@ -75,14 +75,14 @@ def without_passages(docs: list) -> list:
 def test_stages(spark, tmp_path):
     """No label trusts a document, so the first stage keeps all."""
     docs = texts()
-    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, t, "en", "s", len(t or ""), "k", 5, "i") for d, t in docs], DOCS + ", kept string, row_key long, _id string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     want, table = docs, corpus_pipeline.table(spark, str(tmp_path), "documents")
     for (_, stage), brute in zip(corpus_pipeline.STAGES[:-1], (list, without_lines, without_near, without_passages), strict=True):
         table, want = corpus_pipeline.scratch(stage(spark, table, str(tmp_path)), "test"), brute(want)
         got = table.collect()
         assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
-        assert all(r.n_chars == len(r.text or "") for r in got)
+        assert all(r.n_chars == len(r.text or "") and (r.kept, r.row_key, r._id) == ("k", 5, "i") for r in got)
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = Counter()
     for d, t in want:
@@ -94,3 +94,23 @@ def test_stages(spark, tmp_path):
     assert have == ids
     tokens = Counter(x for r in got for x in np.frombuffer(bytes(r.ids), "<u4").tolist())
     assert tokens == Counter(x for _, t in want for x in [*tok.encode(t or "", add_special_tokens=False).ids, 2])
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality(spark, tmp_path):
+    """Junk goes, whether it shares its id with a clean text or not; clean, null and empty texts and their repeats stay."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    clean = [(i, " ".join(r.choices(words, k=40))) for i in range(600)]
+    junk = [(700, "#@!~ %^&* " * 20), (3, "0101 1010 " * 30), (None, "?;?; " * 40)]
+    rows = [*clean, clean[4], (None, clean[9][1]), (800, None), (800, ""), *junk]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in clean], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.quality(spark, corpus_pipeline.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect())
+    gone = Counter(rows) - got
+    assert all(gone[j] == 1 for j in junk) and len(gone) <= 10 and not got - Counter(rows) and got[800, None] == got[800, ""] == 1 and got[clean[4]] in (0, 2)
