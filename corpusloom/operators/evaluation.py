@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate, groupby
+from os.path import commonprefix
+from re import finditer
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +29,6 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [p.alias("precision"), r.alias("recall"), f_beta(p, r).alias("f05")]
 
 
-def _table(a: list[str], b: list[str]) -> list[list[int]]:
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
-    return rows
-
-
 def edit_kind(a: str, b: str) -> str:
     """Of a changed word: morphological if half of the shorter word is a common prefix or suffix."""
     if not a or not b:
@@ -43,93 +39,148 @@ def edit_kind(a: str, b: str) -> str:
     return "morphological" if max(prefix, suffix) / n >= 0.5 else "substitution"
 
 
+def operations(a: list[str], b: list[str], stems: bool = False) -> str:
+    """How a becomes b, one letter a step: K keeps a word, S changes one, I inserts, D deletes; with stems, M is a change between words
+    that share a stem, and there is no S.
+
+    Each cell of the table of longest common subsequences has the letter by which it is left on the way back from the end. Of
+    equal ways a change goes before an insertion (if the cell before both words is as good as both neighbours), an insertion
+    before a deletion.
+    """
+    end = 0  # words that both end with are kept whatever is before them
+    while end < min(len(a), len(b)) and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    lengths, letters = [0] * (len(b) + 1), []
+    for x in a:
+        row, steps = [0], []
+        for y, before, above in zip(b, lengths, lengths[1:], strict=False):
+            left = row[-1]
+            if x == y:
+                steps.append("K")
+            elif stems and share_stem(x, y):
+                steps.append("M")
+            elif not stems and before >= above and before >= left:
+                steps.append("S")
+            else:
+                steps.append("I" if left >= above else "D")
+            row.append(before + 1 if x == y else max(above, left))
+        lengths = row
+        letters.append(steps)
+    i, j, back = len(a), len(b), []
+    while i and j:
+        step = letters[i - 1][j - 1]
+        back.append(step)
+        i, j = i - (step != "I"), j - (step != "D")
+    return "I" * j + "D" * i + "".join(reversed(back)) + "K" * end
+
+
+def _places(ops: str) -> tuple[list[int], list[int]]:
+    """Words of the source and of the target before each step, and at the end."""
+    return list(accumulate((o != "I" for o in ops), initial=0)), list(accumulate((o != "D" for o in ops), initial=0))
+
+
+def share_stem(a: str, b: str) -> bool:
+    n = min(len(a), len(b))
+    return n > 0 and len(commonprefix((a, b))) >= n * 0.5
+
+
 def span_edits(a: list[str], b: list[str], merge: bool = True) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, source words, target words, kind) by a longest common subsequence, read from the end. Ties: a substitution if
-    the diagonal is as good as both neighbours, then an insertion, then a deletion. Adjacent edits of one kind are merged."""
-    t, i, j, out = _table(a, b), len(a), len(b), []
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and t[i - 1][j - 1] >= max(t[i - 1][j], t[i][j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, i + 1, a[i], b[j], edit_kind(a[i], b[j])))
-        elif j and (not i or t[i][j - 1] >= t[i - 1][j]):
-            j -= 1
-            out.append((i, i, "", b[j], "insertion"))
-        else:
-            i -= 1
-            out.append((i, i + 1, a[i], "", "deletion"))
-    out.reverse()
-    if not merge:
-        return out
-    merged: list = []
-    for e in out:
-        if merged and merged[-1][4] == e[4] and merged[-1][1] == e[0]:
-            p = merged[-1]
-            merged[-1] = (p[0], e[1], f"{p[2]} {e[2]}".strip(), f"{p[3]} {e[3]}".strip(), e[4])
-        else:
-            merged.append(e)
-    return merged
+    """(start, end, source words, target words, kind) of the steps that are no K; runs of one kind are one edit if merge."""
+    ops = operations(a, b)
+    src, tgt = _places(ops)
+    kinds = ["" if o == "K" else edit_kind(a[src[k]] if o != "I" else "", b[tgt[k]] if o != "D" else "") for k, o in enumerate(ops)]
+    out, at = [], 0
+    for kind, run in groupby(kinds):
+        n = len(list(run))
+        for k, then in ([(at, at + n)] if merge else [(x, x + 1) for x in range(at, at + n)]) if kind else ():
+            out.append((src[k], src[then], " ".join(a[src[k] : src[then]]), " ".join(b[tgt[k] : tgt[then]]), kind))
+        at += n
+    return out
 
 
 def m2_edits(a: list[str], b: list[str], fixed: bool = False) -> set[tuple[int, int, str]]:
-    """(start, end, correction). Words that share a stem are aligned. A pure insertion is placed at the end of the last edit, or at 0,
-    as scorers of this kind do; fixed=True places it where it is."""
-    t, i, j, path = _table(a, b), len(a), len(b), []
-    while i or j:
-        same = i and j and a[i - 1] == b[j - 1]
-        n = min(len(a[i - 1]), len(b[j - 1])) if i and j else 0
-        if same or n and next((k for k in range(n) if a[i - 1][k] != b[j - 1][k]), n) >= n * 0.5:
-            i, j = i - 1, j - 1
-            path.append((i, j))
-        elif j and (not i or t[i][j - 1] >= t[i - 1][j]):
-            j -= 1
-            path.append((-1 - i if fixed else None, j))
-        else:
-            i -= 1
-            path.append((i, None))
-    out, start, end, words = set(), None, None, []
-
-    def flush() -> None:
-        nonlocal start, words
-        if start is not None:
-            out.add((start, start if end is None or fixed and end < start else end + 1, " ".join(words)))
-        start, words = None, []
-
-    for s, d in reversed(path):
-        inserted = s is None or s < 0
-        if not inserted and d is not None:
-            flush()
-            if a[s] != b[d]:
-                out.add((s, s + 1, b[d]))
-                end = s
-        elif inserted:
-            if start is None:
-                start = -1 - s if s is not None else 0 if end is None else end + 1
-            words.append(b[d])
-        else:
-            start = s if start is None else start
-            end = s
-    flush()
+    """(start, end, correction): changes between words that share a stem, and each run of insertions and deletions.
+
+    A run that begins with an insertion starts, and one without a deletion ends, where the last edited source word before it
+    ends, or at 0, as scorers of this kind do; fixed=True places it where it is.
+    """
+    ops, out, edited = operations(a, b, stems=True), set(), 0
+    src, tgt = _places(ops)
+    for run in finditer("M|[ID]+", ops):
+        k, then = run.span()
+        start, stop = src[k], src[then]
+        if not fixed and run[0] != "M":
+            deleted = src[k + run[0].rfind("D") + 1] if "D" in run[0] else None
+            start, stop = start if run[0][0] == "D" else edited, edited if deleted is None else deleted
+        out.add((start, stop, " ".join(b[tgt[k] : tgt[then]])))
+        edited = stop if run[0] != "I" * (then - k) else edited
+    return out
+
+
+def _by_pair(function, empty, *columns: pd.Series) -> list:
+    """function of each row's token lists; equal rows are computed once, rows whose texts are equal are empty."""
+    known: dict = {}
+    out = []
+    for texts in zip(*(c.fillna("") for c in columns), strict=True):
+        if texts not in known:
+            known[texts] = empty if len(set(texts)) == 1 else function(*(t.split() for t in texts))
+        out.append(known[texts])
     return out
 
 
 def _span_edits(source: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([span_edits((a or "").split(), (b or "").split()) for a, b in zip(source, target, strict=True)])
+    return pd.Series(_by_pair(span_edits, [], source, target))
 
 
 def _m2_edits(source: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([sorted(m2_edits((a or "").split(), (b or "").split())) for a, b in zip(source, target, strict=True)])
+    return pd.Series(_by_pair(lambda a, b: sorted(m2_edits(a, b)), [], source, target))
+
+
+def _word_edits(a: list[str], b: list[str]) -> Counter:
+    return Counter((e[2], e[3]) for e in span_edits(a, b, merge=False))
 
 
 def _edit_counts(source: pd.Series, hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Edits matched as multisets of (source word, target word)."""
-    rows = []
-    for s, h, r in zip(source, hypothesis, reference, strict=True):
-        a, b = (Counter((e[2], e[3]) for e in span_edits((s or "").split(), (x or "").split(), False)) for x in (h, r))
-        tp = (a & b).total()
-        rows.append((tp, a.total() - tp, b.total() - tp))
-    return pd.DataFrame(rows, columns=["tp", "fp", "fn"])
+
+    def counts(s: list[str], h: list[str], r: list[str]) -> tuple[int, int, int]:
+        own, wanted = _word_edits(s, h), _word_edits(s, r)
+        tp = (own & wanted).total()
+        return tp, own.total() - tp, wanted.total() - tp
+
+    return pd.DataFrame(_by_pair(counts, (0, 0, 0), source, hypothesis, reference), columns=["tp", "fp", "fn"])
+
+
+def span_counts(s: list[str], h: list[str], r: list[str]) -> list[tuple[str, int, int, int]]:
+    """(kind, tp, fp, fn): spans match on place and correction, copies one by one; hits and false ones count under the hypothesis'
+    kind, misses under the reference's."""
+    own, wanted, sums = ({}, {}, {})
+    for where, edits in ((own, span_edits(s, h)), (wanted, span_edits(s, r))):
+        for start, end, _, words, kind in edits:
+            where.setdefault((start, end, words), []).append(kind)
+    for place in own.keys() | wanted.keys():
+        mine, theirs = own.get(place, []), wanted.get(place, [])
+        hits = min(len(mine), len(theirs))
+        for k, kinds in enumerate((mine[:hits], mine[hits:], theirs[hits:])):
+            for kind in kinds:
+                sums.setdefault(kind, [0, 0, 0])[k] += 1
+    return [(kind, *n) for kind, n in sorted(sums.items())]
+
+
+def typed_counts(source: list[str], hypothesis: list[str], reference: list[tuple[int, int, str, str]]) -> list[tuple[str, int, int, int]]:
+    """(type, tp, fp, fn) of M2 edits against reference edits (start, end, correction, type). A false one counts under the type of the
+    reference edit that is nearest by the distances of start and end, the first of equals; without one it is spurious."""
+    own, kinds, sums = m2_edits(source, hypothesis), {}, Counter()
+    for start, end, words, kind in reference:
+        kinds.setdefault((start, end, words), kind)
+    for e in own | kinds.keys():
+        if e in kinds:
+            sums[kinds[e], "tp" if e in own else "fn"] += 1
+        else:
+            near = min(reference, key=lambda x: abs(x[0] - e[0]) + abs(x[1] - e[1]), default=(0, 0, "", "spurious"))
+            sums[near[3], "fp"] += 1
+    return [(t, *(sums[t, c] for c in ("tp", "fp", "fn"))) for t in sorted({t for t, _ in sums})]
 
 
 def span_edits_udf(*columns: str) -> Column:
@@ -157,20 +208,75 @@ def m2_scores(pairs: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def span_scores(pairs: DataFrame) -> DataFrame:
-    """type, tp, fp, fn and scores: spans match on place and correction; hits count under the hypothesis' kind, misses under the reference's."""
-    e = pairs.select(F.monotonically_increasing_id().alias("id"), span_edits_udf("source", "hypothesis").alias("h"), span_edits_udf("source", "reference").alias("r"))
-    one = lambda c: F.inline(F.transform(c, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["tgt"].alias("t"), x["type"].alias("type"))))
-    h, r = e.select("id", one("h")), e.select("id", one("r"))
-    n = lambda x, name: x.groupBy("id", "s", "e", "t").agg(F.count("*").alias(name), F.min("type").alias(f"{name}_type"))
-    both = n(h, "nh").join(n(r, "nr"), ["id", "s", "e", "t"], "full")
-    nh, nr = F.coalesce("nh", F.lit(0)), F.coalesce("nr", F.lit(0))
-    both = both.select(F.least(nh, nr).alias("tp"), F.greatest(nh - nr, F.lit(0)).alias("fp"), F.greatest(nr - nh, F.lit(0)).alias("fn"), F.coalesce("nh_type", "nr_type").alias("ht"), F.coalesce("nr_type", "nh_type").alias("rt"))
-    long = both.select(F.col("ht").alias("type"), "tp", "fp", F.lit(0).alias("fn")).unionByName(both.select(F.col("rt").alias("type"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), "fn"))
-    sums = long.groupBy("type").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+_TYPED = "array<struct<type:string,tp:int,fp:int,fn:int>>"
+
+
+def _summed(rows: DataFrame, column: Column) -> DataFrame:
+    """type, tp, fp, fn and scores of arrays of typed counts."""
+    sums = rows.select(F.inline(column)).groupBy("type").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     return sums.select("type", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def span_scores(pairs: DataFrame) -> DataFrame:
+    """type, tp, fp, fn and scores by kind of edit: see span_counts()."""
+
+    def run(source: pd.Series, hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series(_by_pair(span_counts, [], source, hypothesis, reference))
+
+    return _summed(pairs, F.pandas_udf(run, _TYPED)("source", "hypothesis", "reference"))
+
+
+def m2_type_scores(pairs: DataFrame) -> DataFrame:
+    """type, tp, fp, fn and scores of columns source, hypothesis, edits (as of parse_m2()) by the reference edits' types."""
+
+    def run(source: pd.Series, hypothesis: pd.Series, edits: pd.Series) -> pd.Series:
+        refs = [[(e["start"], e["end"], e["correction"], e["error_type"]) for e in x] for x in edits]
+        return pd.Series([typed_counts((s or "").split(), (h or "").split(), r) for s, h, r in zip(source, hypothesis, refs, strict=True)])
+
+    return _summed(pairs, F.pandas_udf(run, _TYPED)("source", "hypothesis", "edits"))
+
+
+def m2_sentences(pairs: DataFrame, sent_id: Column, errors: str | None = None) -> DataFrame:
+    """sent_id, source, edits of changed, non-blank pairs (source, target), all edits of the type of the first of column errors, or
+    M:OTHER without one."""
+    kind = F.coalesce(F.get(F.col(f"{errors}.type"), F.lit(0)) if errors else F.lit(None), F.lit("M:OTHER"))
+    rows = pairs.where("trim(source) <> '' and trim(target) <> '' and source <> target").select(sent_id.alias("sent_id"), "source", kind.alias("_kind"), m2_edits_udf("source", "target").alias("_e"))
+    edit = lambda kind: lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), kind.alias("error_type"), e["correction"].alias("correction"), F.lit(0).alias("annotator"))
+    return rows.select("sent_id", "source", F.transform("_e", edit(F.col("_kind"))).alias("edits"))
+
+
+def sentence_scores(pairs: DataFrame, *key: str) -> DataFrame:
+    """key, tp, fp, fn, precision, recall, f05 of each row."""
+    counts = pairs.select(*key, edit_counts_udf("source", "hypothesis", "reference").alias("c")).select(*key, "c.*")
+    return counts.select(*key, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def score_distribution(scores: DataFrame) -> DataFrame:
+    """n, mean, least, most, zero, perfect of column f05."""
+    return scores.agg(F.count("*").alias("n"), F.avg("f05").alias("mean"), F.min("f05").alias("least"), F.max("f05").alias("most"), F.count_if(F.col("f05") == 0).alias("zero"), F.count_if(F.col("f05") >= 1).alias("perfect"))
+
+
+def hardest(scores: DataFrame, *order: str, n: int = 10) -> DataFrame:
+    return scores.orderBy("f05", *order).limit(n)
+
+
+def rater_pairs(ratings: DataFrame) -> DataFrame:
+    """rater_a, rater_b, n, agreement, kappa (four digits) of all pairs of raters on what both rated. Of a rater's repeated ratings the
+    last (column line_no) counts. One aggregation by pair of labels; marginals come from its few rows."""
+    item = ["source", "corrected"]
+    one = ratings.groupBy("rater_id", *item).agg(F.max_by("rating", "line_no").alias("rating"))
+    a, b = one.withColumnsRenamed({"rater_id": "rater_a", "rating": "x"}), one.withColumnsRenamed({"rater_id": "rater_b", "rating": "y"})
+    cells = a.join(b, item).where("rater_a < rater_b").groupBy("rater_a", "rater_b", "x", "y").agg(F.count("*").alias("c"))
+    by = ["rater_a", "rater_b"]
+    marginal = lambda k: F.sum("c").over(Window.partitionBy(*by, k))
+    cells = cells.withColumns({"mx": marginal("x"), "my": marginal("y"), "n": F.sum("c").over(Window.partitionBy(*by))})
+    rows, columns = cells.select(*by, F.col("x").alias("k"), "mx", "n").distinct(), cells.select(*by, F.col("y").alias("k"), "my").distinct()
+    chance = rows.join(columns, [*by, "k"]).groupBy(*by).agg((F.sum(F.col("mx").cast("double") * F.col("my")) / F.first(F.col("n").cast("double") * F.col("n"))).alias("pe"))
+    same = cells.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)) / F.sum("c")).alias("po"))
+    out = same.join(chance, by, "left").withColumn("pe", F.coalesce("pe", F.lit(0.0)))
+    return out.select(*by, "n", F.round("po", 4).alias("agreement"), F.round(F.when(F.col("pe") > 1 - 1e-10, 0.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 4).alias("kappa"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """array<string>: n-grams, words joined by U+0001."""
     one = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x01"))
@@ -225,6 +331,42 @@ def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame
     return scores.agg(F.max(F.when(F.col("rn") == int(0.025 * draws) + 1, F.col("f05"))).alias("low"), F.max(F.when(F.col("rn") == int(0.975 * draws) + 1, F.col("f05"))).alias("high"))
 
 
+def resampled(counts: DataFrame, columns: list[str], key: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """b, sums of columns: `draws` resamples of all rows. Each row is in a resample as often as a Poisson draw says, which depends on
+    its key alone, so a task adds its rows to `draws` sums and no row is copied or shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((draws, len(columns)))
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            for k, v in zip(batch.column(key).to_pylist(), values, strict=True):
+                if v.any():
+                    sums += np.outer(np.random.Generator(np.random.Philox(key=[seed, k & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, draws), v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *(pa.array(x) for x in sums.T)], ["b", *columns])
+
+    rows = counts.select(F.col(key).cast("long").alias(key), *columns).mapInArrow(run, "b long, " + ", ".join(f"{c} double" for c in columns))
+    return rows.groupBy("b").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def interval(counts: DataFrame, key: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """low, high: 95 % interval of F0.5 of rows key, tp, fp, fn, the sorted resamples' places 2.5 % and 97.5 %."""
+    sums = resampled(counts, ["tp", "fp", "fn"], key, draws, seed)
+    scores = sums.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).select("f05", F.row_number().over(Window.orderBy("f05")).alias("rn"))  # one row a resample
+    return scores.agg(F.max(F.when(F.col("rn") == int(0.025 * draws) + 1, F.col("f05"))).alias("low"), F.max(F.when(F.col("rn") == int(0.975 * draws) + 1, F.col("f05"))).alias("high"))
+
+
+def paired_bootstrap(counts: DataFrame, key: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """delta (F0.5 of a less that of b), p: share of resamples in which a is not better. counts: key, a_tp, a_fp, a_fn, b_tp, ..."""
+    names = [f"{x}_{c}" for x in "ab" for c in ("tp", "fp", "fn")]
+
+    def delta(rows: DataFrame) -> Column:
+        a, b = (prf(*(F.col(f"{x}_{c}") for c in ("tp", "fp", "fn")))[2] for x in "ab")
+        return (a - b).alias("delta")
+
+    p = resampled(counts, names, key, draws, seed).select(delta(counts)).agg(F.avg((F.col("delta") <= 0).cast("double")).alias("p"))
+    return counts.agg(*(F.sum(c).alias(c) for c in names)).select(delta(counts)).crossJoin(p)  # one row each
+
+
 def majority_vote(df: DataFrame, key: str, candidate: str, pos: str) -> DataFrame:
     """key, winner: the most frequent candidate; of equals, the one that comes first."""
     counts = df.groupBy(key, candidate).agg(F.count("*").alias("n"), F.min(pos).alias("first"))

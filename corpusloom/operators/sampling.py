@@ -12,17 +12,20 @@ def shuffled(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
 
 
-def _numbered(df: DataFrame, order: list, by: list | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list, by: list | None = None) -> DataFrame:
     """_rn from 1 and _n. Without groups, rows are numbered in range partitions whose sizes are summed up first."""
     if by:
         w = Window.partitionBy(*by)
         return df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    rows = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # A fixed number of partitions: adaptive execution neither merges nor splits them, so both uses below see the same numbers.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select("*", F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("_order"))
+    rows = keyed.repartitionByRange(parts, "_order").withColumn("_p", F.spark_partition_id())
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_order")))
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
     w = Window.orderBy("_p")
     sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    return rows.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("_rn", F.col("_before") + F.col("_i")).drop("_p", "_q", "_i", "_before")
+    return rows.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("_rn", F.col("_before") + F.col("_i")).drop("_p", "_q", "_i", "_before", "_order")
 
 
 def _cut(rn: Column, n_train: Column, n_dev: Column) -> Column:
@@ -31,7 +34,7 @@ def _cut(rn: Column, n_train: Column, n_dev: Column) -> Column:
 
 def split_random(df: DataFrame, *key: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds split. From 3 rows on, each split has one at least."""
-    rows = _numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
+    rows = numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
     n = F.col("_n")
     a, b = F.floor(n * train + 1e-9), F.floor(n * dev + 1e-9)
     a, b = F.when(n >= 3, F.greatest(a, F.lit(1))).otherwise(a), F.when(n >= 3, F.greatest(b, F.lit(1))).otherwise(b)
@@ -41,7 +44,7 @@ def split_random(df: DataFrame, *key: str, train: float = 0.8, dev: float = 0.1,
 
 def split_stratified(df: DataFrame, by: str, *key: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds split, cut in every stratum; a null stratum is 'unknown'."""
-    rows = _numbered(df.withColumns({"_h": shuffled(seed, *key), "_s": F.coalesce(by, F.lit("unknown"))}), ["_h", *key], ["_s"])
+    rows = numbered(df.withColumns({"_h": shuffled(seed, *key), "_s": F.coalesce(by, F.lit("unknown"))}), ["_h", *key], ["_s"])
     return rows.withColumn("split", _cut(F.col("_rn"), F.floor(F.col("_n") * train + 1e-9), F.floor(F.col("_n") * dev + 1e-9))).drop("_h", "_s", "_rn", "_n")
 
 
@@ -58,7 +61,7 @@ def split_groups(df: DataFrame, group: str, train: float = 0.8, dev: float = 0.1
 
 def kfold(df: DataFrame, *key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold (0 to k - 1): contiguous chunks of n div k in shuffled order, the last with the remainder."""
-    rows = _numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
+    rows = numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
     size = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
     return rows.withColumn("fold", F.least(F.floor((F.col("_rn") - 1) / size), F.lit(k - 1)).cast("int")).drop("_h", "_rn", "_n")
 
@@ -83,23 +86,24 @@ def balanced_sample(df: DataFrame, category: str, *key: str, target: int = 50_00
 
 def oversample(df: DataFrame, target: int, *key: str) -> DataFrame:
     """target rows: the rows in key order, again and again. Adds copy (from 0)."""
-    rows = _numbered(df, list(key))
+    rows = numbered(df, list(key))
     copies = F.floor((F.lit(target) - F.col("_rn")) / F.col("_n"))
     return rows.where(F.col("_rn") <= target).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies))).drop("_rn", "_n")
 
 
 def augment_ratio(df: DataFrame, strategies: list[str], *key: str, ratio: float = 0.5, seed: int = 42) -> DataFrame:
     """int(n x ratio) rows in shuffled order, one for each strategy."""
-    rows = _numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
+    rows = numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key])
     return rows.where(F.col("_rn") <= F.floor(F.col("_n") * ratio)).drop("_h", "_rn", "_n").withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
 
 
-def curriculum(df: DataFrame, difficulty: str, *key: str, epoch: int, epochs: int = 30, least: float = 0.3) -> DataFrame:
-    """The easiest rows, of which an epoch uses a share that grows from `least` to all."""
+def curriculum(df: DataFrame, difficulty: str, *key: str, epoch: int, epochs: int = 30, least: float = 0.3, seed: int = 42) -> DataFrame:
+    """The easiest rows, of which an epoch uses a share that grows from `least` to all. Adds place, a key that shuffles them anew in
+    each epoch: sort or range-partition by it."""
     m = min(max(least, 0.1), 1.0)
     share = m + (1 - m) * min(epoch / (epochs - 1) if epochs > 1 else 1.0, 1.0) if epochs > 1 else m
-    rows = _numbered(df, [difficulty, *key])
-    return rows.where(F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_n") - 1e-9))).drop("_rn", "_n")
+    rows = numbered(df, [difficulty, *key])
+    return rows.where(F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_n") - 1e-9))).drop("_rn", "_n").withColumn("place", F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), *key)))
 
 
 def top_and_other(df: DataFrame, by: str, n: int) -> DataFrame:

@@ -9,6 +9,8 @@ from corpusloom.functions import text as T
 from corpusloom.operators import dedup as D
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import sampling as M
+from corpusloom.operators import statistics as S
+from corpusloom.operators.unicode import nfc
 from corpusloom.plans.tables import AR, PAIRS, SENTS, pairs, script_sentences, sentences, table
 
 Q: dict = {}
@@ -116,7 +118,7 @@ def balanced_sample(spark, sf):
 @query(f"with {_BALANCED} select doc_id, row_number() over (order by round, lang) as place from b join t using (lang) where round <= take")
 def interleave(spark, sf):
     rows = M.balanced_sample(_docs(spark, sf), "lang", "doc_id", target=500, least=50)
-    return M._numbered(rows, ["round", "lang"]).select("doc_id", F.col("_rn").alias("place"))
+    return M.numbered(rows, ["round", "lang"]).select("doc_id", F.col("_rn").alias("place"))
 
 
 @query("select doc_id, unnest(range(0, ((2500 - rn) // n + 1)::bigint)) as copy from (select doc_id, row_number() over (order by doc_id) as rn, count(*) over () as n from documents) where rn <= 2500")
@@ -169,11 +171,18 @@ def edit_density(spark, sf):
     return pairs(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg(differ), 6).alias("mean"))
 
 
-@query(f"with {AR} select ch, sum(len(regexp_extract_all(s, ch)))::bigint as n from ar, (select unnest(['ك', 'ي', 'ە', 'ە', 'ه']) as ch) group by 1")
+#: The code points that an audit counts.
+AUDITED = ["U+064A", "U+0643", "U+0647", "U+06D5", "U+FEFF"]
+
+
+@query(f"""with {AR}, c as (select name, sum(length(s) - length(replace(s, chr(('0x' || substr(name, 3))::int), '')))::bigint as n from ar, (select unnest({AUDITED}) as name) group by 1)
+  select * from c union all select 'not NFC', count_if(nfc_normalize(s) <> s)::bigint from ar""")
 def char_audit(spark, sf):
-    chars = ["ك", "ي", "ە", "ە", "ه"]
-    sums = [F.struct(F.lit(c).alias("ch"), F.sum(F.regexp_count("s", F.lit(c))).alias("n")) for c in chars]
-    return script_sentences(spark, sf).agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).groupBy("x.ch").agg(F.sum("x.n").alias("n"))
+    """How often each code point occurs, and how many sentences are not in NFC."""
+    rows = script_sentences(spark, sf)
+    counts = [F.sum(F.length("s") - F.length(F.replace("s", F.lit(chr(int(c[2:], 16))), F.lit("")))).alias(c) for c in AUDITED]
+    sums = rows.select("s", nfc("s").alias("c")).agg(*counts, F.count_if(F.col("s") != F.col("c")).alias("not NFC"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("n")) for c in [*AUDITED, "not NFC"]))).alias("x")).select("x.*")
 
 
 _GLEU = f"""{PAIRS}, t as (select doc_id, pos, {_SPLITW.format('source')} as s, {_SPLITW.format('hypothesis')} as h, {_SPLITW.format('reference')} as r from pairs),
@@ -299,23 +308,23 @@ _COUNTS = f"{PAIRS}, c as (select row_number() over (order by doc_id, pos) - 1 a
 def bootstrap_ci(spark, sf):
     rows = pairs(spark, sf).where("pos = 0")
     changed, right = F.col("source") != F.col("reference"), F.col("hypothesis") == F.col("reference")
-    counts = M._numbered(rows, [*KEY]).select((F.col("_rn") - 1).alias("i"), (changed & right).cast("int").alias("tp"), F.lit(0).alias("fp"), (changed & ~right).cast("int").alias("fn"))
+    counts = M.numbered(rows, [*KEY]).select((F.col("_rn") - 1).alias("i"), (changed & right).cast("int").alias("tp"), F.lit(0).alias("fp"), (changed & ~right).cast("int").alias("fn"))
     return E.bootstrap(counts, 100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query()
 def bootstrap_ci_all_pairs(spark, sf):
     """Interval of the edits of every pair from 1,000 resamples; bootstrap_ci() has a part of them, for SQL."""
-    rows = pairs(spark, sf).select(*KEY, E.edit_counts_udf("source", "hypothesis", "reference").alias("c"))
-    counts = M._numbered(rows, [*KEY]).select((F.col("_rn") - 1).alias("i"), "c.tp", "c.fp", "c.fn")
-    return E.bootstrap(counts).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    rows = pairs(spark, sf).select(F.xxhash64(*KEY).alias("k"), E.edit_counts_udf("source", "hypothesis", "reference").alias("c"))
+    return E.interval(rows.select("k", "c.*"), "k").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("select sha256(string_agg(h, '' order by h)) as digest, count(*) as n from (select sha256(text) as h from documents)")
+@query("""with h as (select sha256(text) as h, count(*) as c from documents group by 1),
+  b as (select ('0x' || substr(h, 1, 8))::bigint % 4096 as b, sha256(string_agg(h || ':' || c, ',' order by h)) as h, sum(c) as c from h group by 1)
+  select sha256(string_agg(h, '' order by b)) as digest, sum(c)::bigint as n from b""")
 def dataset_hash(spark, sf):
-    """Order-independent digest of a dataset: digests of rows, sorted in Spark, then hashed together."""
-    rows = _docs(spark, sf).select(F.sha2("text", 256).alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("n"))
+    """Order-independent digest of a dataset."""
+    return S.dataset_digest(_docs(spark, sf), "text")
 
 
 @query("select event_type, time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
