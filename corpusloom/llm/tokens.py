@@ -6,6 +6,7 @@ back to their places by one take.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -93,11 +94,18 @@ class CachedEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more at the end)."""
+        gc.disable()  # short lists by the million, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.size > CACHE_BYTES:
             self.older, self.cache, self.size = self.cache, {}, 0
         cache, lists = self.cache, self.cut(texts)
         kinds = lists.flatten().dictionary_encode()
-        names, before = kinds.dictionary.to_pylist(), len(cache)
+        names, before = kinds.dictionary.to_numpy(zero_copy_only=False).tolist(), len(cache)  # to_pylist() takes ten times as long
         if unknown := [c for c in names if c not in cache]:
             self._learn(unknown)
         found = [cache[c] for c in names]
@@ -143,7 +151,10 @@ def _parts(words: bool) -> Callable[[list[str]], list[list[str] | None]]:
 
     def run(chunks: list[str]) -> list[list[str] | None]:
         out: list[list[str] | None] = [None] * len(chunks)
-        use = [i for i, c in enumerate(chunks) if not c.isalpha() and c and c != "\0" and not _odd(c)]
+        use = [i for i, c in enumerate(chunks) if len(c) > 1 and not c.isalpha()]
+        whole = "".join([chunks[i] for i in use])
+        if _odd(whole.replace("\0", "")) or whole.count("\0") != sum(chunks[i][0] == "\0" for i in use):
+            use = [i for i in use if not _odd(chunks[i])]
         joined = "\x1d".join([chunks[i].lower() if words else space_text(chunks[i]) for i in use])
         own: list[str] = []
         todo = iter(use)
