@@ -12,20 +12,35 @@ def shuffled(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
 
 
+#: Rows of a range that numbered() counts apart, at least, and rows whose keys are looked at for each bound.
+RANGE_ROWS, LOOKED_AT = 20_000, 50
+
+
+def _ranges(df: DataFrame, n: int) -> Column:
+    """The number of the range that a row's _order is in. Bounds are found once, from keys that a hash picks, and are constants from
+    then on, so that all uses of the rows agree, however they are executed."""
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    if parts < 2:
+        return F.lit(0)
+    picked = df.where(F.pmod(F.xxhash64("_order"), F.lit(max(1, n // (parts * LOOKED_AT)))) == 0).select("_order").distinct().orderBy("_order").collect()  # about parts x LOOKED_AT rows
+    fields = df.schema["_order"].dataType.fields
+    bounds = [picked[i * len(picked) // parts]["_order"] for i in range(1, parts)] if picked else []
+    literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, fields, strict=True))) for x in dict.fromkeys(bounds)]
+    return F.size(F.filter(F.array(*literals), lambda b: b <= F.col("_order"))) if literals else F.lit(0)
+
+
 def numbered(df: DataFrame, order: list, by: list | None = None) -> DataFrame:
-    """_rn from 1 and _n. Without groups, rows are numbered in range partitions whose sizes are summed up first."""
-    if by:
-        w = Window.partitionBy(*by)
-        return df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    # A fixed number of partitions: adaptive execution neither merges nor splits them, so both uses below see the same numbers.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select("*", F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("_order"))
-    rows = keyed.repartitionByRange(parts, "_order").withColumn("_p", F.spark_partition_id())
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_order")))
-    sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
-    w = Window.orderBy("_p")
-    sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    return rows.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("_rn", F.col("_before") + F.col("_i")).drop("_p", "_q", "_i", "_before", "_order")
+    """_rn from 1 and _n, in each group if asked for. Ranges of rows are numbered apart, and their sizes are summed up."""
+    groups = list(by or [])
+    keyed = df.withColumn("_order", F.struct(*(F.col(c).alias(f"_{i}") if isinstance(c, str) else c.alias(f"_{i}") for i, c in enumerate([*groups, *order]))))
+    rows = keyed.withColumn("_p", _ranges(keyed, keyed.count()))
+    sizes = rows.groupBy(*groups, "_p").agg(F.count("*").alias("_c"))  # a row a range, and one more for each group
+    inside = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_c").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)), F.col("_p").alias("_q"), before.alias("_before"), F.sum("_c").over(inside).alias("_n"))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, "_p").orderBy("_order")))
+    same = reduce(lambda a, c: a & c, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(groups)), F.col("_p") == F.col("_q"))
+    return rows.join(sizes, same).withColumn("_rn", F.col("_before") + F.col("_i")).drop("_p", "_q", "_i", "_before", "_order", *(f"_g{i}" for i in range(len(groups))))
 
 
 def _cut(rn: Column, n_train: Column, n_dev: Column) -> Column:
@@ -80,7 +95,7 @@ def balanced_sample(df: DataFrame, category: str, *key: str, target: int = 50_00
     active = active.withColumns({"_m": F.sum(F.col("_large").cast("int")).over(every), "_j": F.sum(F.col("_large").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
     extra = F.floor(F.col("_lack") / F.greatest("_m", F.lit(1))) + (F.col("_j") <= F.col("_lack") % F.greatest("_m", F.lit(1))).cast("int")
     quotas = active.select("_c", F.least("_n", F.col("_q") + F.when(F.col("_large"), extra).otherwise(0)).alias("_take"))
-    rows = df.withColumn("_h", shuffled(seed, *key)).withColumn("_rn", F.row_number().over(Window.partitionBy(category).orderBy("_h", *key)))
+    rows = numbered(df.withColumn("_h", shuffled(seed, *key)), ["_h", *key], [category]).drop("_n")
     return rows.join(F.broadcast(quotas), F.col(category) == F.col("_c")).where("_rn <= _take").drop("_h", "_c", "_take").withColumnRenamed("_rn", "round")
 
 
