@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import caches
 from corpusloom.llm.common import pieces, scratch, text_or_empty
 from corpusloom.llm.words import mix
 
@@ -30,6 +31,8 @@ HELD_OUT = 4
 LEAST_HELD, ENOUGH_HELD = 20, 500
 #: Quantiles of the held-out documents' log perplexity that are the limits.
 LOW, HIGH = 0.002, 0.998
+#: Bytes of text that are worked on at once: each character takes about 100 bytes.
+PIECE = 500_000
 _ODD, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(21)
 
 
@@ -92,12 +95,13 @@ class _Counts:
         return pa.RecordBatch.from_arrays([_names(high, low, order), pa.array(n, pa.int64())], ["gram", "n"])
 
 
-def count_grams(texts: DataFrame, order: int, held: int = 3_000_000) -> DataFrame:
+def count_grams(texts: DataFrame, order: int, held: int = 1_000_000) -> DataFrame:
     """gram, n: counts of the n-grams of column text, combined in each task (at most `held` of them at a time)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("")
         counts = _Counts(held)
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, PIECE):
             if counts.add(_Grams(b.column("text").to_pylist(), order)):
                 yield counts.take(order)
         if (rest := counts.take(order)) is not None:
@@ -198,8 +202,9 @@ def score(docs: DataFrame, p: DataFrame, order: int, table_rows: int = TABLE_ROW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        caches.only("")
         uid = TaskContext.get().partitionId() << 40
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, PIECE):
             g = _Grams(b.column("text").to_pylist(), order)
             logs, known = table.value.look_up(g.hash)
             sums, d = np.concatenate([[0.0], np.cumsum(logs)]), len(g.at) - 1

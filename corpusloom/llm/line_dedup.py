@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.buckets import BLOCK, Union, dealt, in_blocks, tasks
+from corpusloom.llm import caches
 from corpusloom.llm.common import bitmap, components, in_bitmap, pieces, scratch, text_or_empty
 from corpusloom.llm.words import mix
 
@@ -106,7 +107,8 @@ def signatures(docs: DataFrame, threshold: int, least_length: int) -> DataFrame:
     """key, line (hash of its content), indexed: the keys of each line of at least least_length characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2_000_000):
+        caches.only("")
+        for b in pieces(batches, 1_000_000):
             texts = b.column("text").to_pylist()
             points, starts, lengths = _lines(texts)
             lines = [x for t in texts for x in t.split("\n")]
