@@ -45,10 +45,14 @@ def normalize(text: Column, preserve_zwnj: bool = True, remove_diacritics: bool
     return whitespace(out)
 
 
-def strip_parentheticals(text: Column, passes: int = 5) -> Column:
-    """Parentheses that no letter follows go, again for those that become free; `passes` adjacent ones at most."""
-    one = lambda t: F.regexp_replace(t, r"\([^)]+\)(?=[\s.،؟!۔:;]|$)", "")
-    return strip(F.regexp_replace(reduce(lambda t, _: one(t), range(passes), text), " {2,}", " "))
+def strip_parentheticals(text: Column) -> Column:
+    """Parentheses that no letter follows go, again for those that become free, until none is left: that frees runs of them that
+    follow each other, and what such a run leaves."""
+    one = lambda t: F.regexp_replace(t, r"(?:\([^)]+\))+(?=[\s.،؟!۔:;]|$)", "")
+    # A round is bounded by the text: each that changes it takes three characters at least.
+    rounds = F.sequence(F.lit(1), F.greatest(F.size(F.split(text, r"\)")), F.lit(1)))
+    done = F.aggregate(rounds, text, lambda t, _: F.when(t.contains("("), one(t)).otherwise(t))
+    return strip(F.regexp_replace(done, " {2,}", " "))
 
 
 def punctuation(text: Column) -> Column:

@@ -55,7 +55,7 @@ def valid(words: DataFrame, dictionary: DataFrame, affixes: DataFrame) -> DataFr
 
 def suggest(words: DataFrame, dictionary: DataFrame, replacements: DataFrame) -> DataFrame:
     """word, rule_no, suggestion: replacing the first match of a rule's pattern, where that gives a dictionary word."""
-    rows = words.select("word").join(F.broadcast(replacements), F.expr("word rlike pattern"))
+    rows = words.select("word").crossJoin(F.broadcast(replacements)).where(F.expr("word rlike pattern"))  # a few rules for each distinct word
     fixed = F.expr("concat(left(word, regexp_instr(word, pattern) - 1), replacement, substring(word, regexp_instr(word, pattern) + length(regexp_extract(word, concat('(', pattern, ')'), 1))))")
     rows = rows.withColumn("suggestion", fixed).where("suggestion <> word")
     return rows.join(dictionary.select(F.col("surface").alias("suggestion")).distinct(), "suggestion", "left_semi").select("word", "rule_no", "suggestion")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import lexicon as L
+from corpusloom.operators import spelling as P
 from corpusloom.plans.tables import PAIRS, pairs, table
 from corpusloom.sources import readers as R
 
@@ -104,3 +105,46 @@ def verb_stem(spark, sf):
 def spell_valid(spark, sf):
     words = spark.createDataFrame([(w,) for w in WORDS], "word string")
     return L.valid(words, _dictionary(spark), _affixes(spark))
+
+
+REPLACEMENTS = [(0, "ك", "ک"), (1, "ي", "ی"), (2, "مال", "ماڵ")]
+
+
+def _suggestions(spark, tokens):
+    return P.suggestions(tokens, _dictionary(spark), _affixes(spark), spark.createDataFrame(REPLACEMENTS, "rule_no int, pattern string, replacement string"))
+
+
+_NOISY = ("كتێب", "مال", "کتێبەکە", "کتێو", "نەزانراو")
+
+
+def _noisy(spark, sf):
+    """Pairs' words in groups of five, each replaced by one that has a suggestion of its own kind."""
+    words = F.array(*map(F.lit, _NOISY))
+    return pairs(spark, sf).select("doc_id", "pos", F.concat_ws(" ", F.element_at(words, (F.pmod("doc_id", F.lit(5)) + 1).cast("int")), F.concat(F.element_at(words, (F.pmod("pos", F.lit(5)) + 1).cast("int")), F.lit("؟"))).alias("s"))
+
+
+_FIXED = "['کتێب', 'ماڵ', 'کتێبەکە', 'کتێب', 'نەزانراو']"
+
+
+@query(f"with {PAIRS} select doc_id, pos, {_FIXED}[doc_id % 5 + 1] || ' ' || {_FIXED}[pos % 5 + 1] || '؟' as s from pairs")
+def spell_sentences(spark, sf):
+    rows = _noisy(spark, sf)
+    return P.correct_sentences(rows, "s", "doc_id", "pos", found=_suggestions(spark, P.cores(rows, "s")))
+
+
+@query("select * from (values ('كتێب', 'کتێب'), ('مال', 'ماڵ'), ('کتێبەکە', 'کتێبەکە'), ('کتێو', 'کتێب'), ('نەزانراو', 'نەزانراو')) t(word, suggestions)")
+def spell_suggestions(spark, sf):
+    rows = _suggestions(spark, P.cores(_noisy(spark, sf), "s"))
+    return rows.select("word", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@query()
+def augment_synonyms(spark, sf):
+    rows = _noisy(spark, sf).select("doc_id", "pos", F.col("s").alias("source"), F.col("s").alias("target"), F.element_at(F.array(F.lit("swap"), F.lit("delete"), F.lit("synonym")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("strategy"))
+    return P.augment_pairs(rows, "doc_id", "pos", found=_suggestions(spark, P.cores(rows, "source")))
+
+
+@query("select * from (values ('چوو', false, true), ('چ', true, false)) t(surface, transitive, intransitive)")
+def verb_transitivity(spark, sf):
+    rows = P.with_transitivity(_dictionary(spark)).where("pos = 'verb'")
+    return rows.select("surface", "transitive", "intransitive")

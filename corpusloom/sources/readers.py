@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.filters import infer_category
+from corpusloom.functions.profile import CATEGORIES, DIRECTORY_CATEGORY
 from corpusloom.functions.text import strip, wiki_markup
 
 ERRORS = "array<struct<type:string,original:string,error:string,start:int,end:int,description:string>>"
@@ -45,7 +50,10 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_lines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """line_no, source, target of two files' lines."""
+    """line_no, source, target of two files' lines, of which there are equally many."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} lines against {m}")
     return a.select("line_no", F.col("text").alias("source")).join(b.select("line_no", F.col("text").alias("target")), "line_no")
 
 
@@ -107,3 +115,83 @@ def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles, tables and tags go, white space is collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style|table|sup)\b[^>]*>.*?</\1>", " ")
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", " "), r"(?U)\s+", " "))
+
+
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """file, category (the folder's name), text of *.txt files in the folders of path: sorted by folder and file, they are a catalog."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(f"{path}/*/*", wholetext=True)
+    file = F.col("_metadata.file_path")
+    return rows.select(file.alias("file"), F.element_at(F.split(file, "/"), -2).alias("category"), F.regexp_replace("value", "^\\ufeff", "").alias("text"))
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """file, directory, category, text of all *.txt files below path; the category is that of the first folder below path, by a fixed
+    table, or general."""
+    rows = read_documents(spark, path)
+    directory = F.regexp_extract("file", f"{re.escape(path.rstrip('/'))}/([^/]+)/", 1)
+    lookup = F.create_map(*(F.lit(x) for kv in DIRECTORY_CATEGORY.items() for x in kv))
+    return rows.select("file", directory.alias("directory"), F.coalesce(F.try_element_at(lookup, directory), F.lit("general")).alias("category"), "text")
+
+
+def recollected(lines: DataFrame, text: str = "text", least: int = 10) -> DataFrame:
+    """Lines of more than `least` characters; of those with a tab, what follows the first one."""
+    right = strip(F.when(F.instr(F.col(text), "\t") > 0, F.regexp_replace(text, "^[^\t]*\t", "")).otherwise(F.col(text)))
+    return lines.withColumn(text, right).where(F.length(text) > least)
+
+
+CATALOG = "documents array<struct<filename:string,category:string,title:string,sentence_count:bigint>>"
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """filename, category (general for unknown ones), title, sentence_count of catalog JSON files."""
+    rows = spark.read.schema(CATALOG).option("multiLine", True).json(path).select(F.inline("documents"))
+    return rows.withColumn("category", F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("general"))
+
+
+def auto_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """filename, category, title, sentence_count, char_count of the *.txt files of a folder; categories come from their names."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    name = F.regexp_replace("_metadata.file_name", r"\.txt$", "")
+    lines = F.filter(F.split("value", "\n"), lambda x: strip(x) != "")
+    return rows.select(F.col("_metadata.file_name").alias("filename"), infer_category(name).alias("category"), name.alias("title"), F.size(lines).cast("long").alias("sentence_count"), F.length("value").cast("long").alias("char_count"))
+
+
+# Registers and dialects of natural sentences.
+REGISTERS, DIALECTS = ("news", "social_media", "academic", "literary", "formal", "informal", "other"), ("sulaymani", "hawleri", "mukriyani", "garmiyani", "unknown")
+
+
+def parse_review(rows: DataFrame) -> DataFrame:
+    """Natural sentences of a reviewed table: rows with keep = n or an empty source or target go, unknown registers and dialects have
+    defaults, and lists are split at semicolons."""
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    one_of = lambda c, known, other: F.when(F.lower(F.trim(c)).isin(*known), F.lower(F.trim(c))).otherwise(other)
+    kept = rows.where((F.lower(F.trim(F.coalesce("keep", F.lit("")))) != "n") & (text("source_text") != "") & (text("target_text") != ""))
+    return kept.select(
+        "id", text("source_text").alias("source_text"), text("target_text").alias("target_text"), "source_url", one_of("register", REGISTERS, "other").alias("register"), one_of("dialect", DIALECTS, "unknown").alias("dialect"),
+        listed("error_types").alias("error_types"), listed("annotator_ids").alias("annotator_ids"), "notes",
+    )
+
+
+def read_review(spark: SparkSession, path: str) -> DataFrame:
+    """parse_review() of CSV files with a header, with a byte order mark or without."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return parse_review(rows.toDF(*(c.lstrip("﻿") for c in rows.columns)))
+
+
+def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """line_no, text of given lines without empty ones, as from standard input."""
+    return spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts) if t.strip()], "line_no long, text string")
+
+
+def read_seen(spark: SparkSession, path: str) -> DataFrame:
+    """text of a state of seen sentences; empty where there is none yet."""
+    try:
+        return spark.read.text(path).select(F.col("value").alias("text")).where("text <> ''")
+    except AnalysisException:
+        return spark.createDataFrame([], "text string")
+
+
+def merged_options(given: dict, defaults: dict, config: dict) -> dict:
+    """Options of a command: what was given, where it differs from the default; else the configuration's; else the default."""
+    return {k: given[k] if k in given and given[k] != d else config.get(k, d) for k, d in defaults.items()}

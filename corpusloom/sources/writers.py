@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources.readers import format_m2
@@ -25,7 +30,7 @@ def write_pairs(df: DataFrame, path: str, split: str = "split") -> None:
 
 def write_parallel(df: DataFrame, path: str, *order: str) -> None:
     """source and target lines in one order, in <path>/src and <path>/tgt."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = df.select("source", "target", *order).orderBy(*order, "source", "target")
     for name, column in (("src", "source"), ("tgt", "target")):
         rows.select(F.col(column).alias("value")).write.mode("overwrite").text(f"{path}/{name}")
 
@@ -35,5 +40,65 @@ def write_m2(sentences: DataFrame, path: str) -> None:
 
 
 def write_review(df: DataFrame, path: str, *lists: str) -> None:
-    """CSV with a header; list columns joined by semicolons."""
+    """CSV with a header, whose first name follows a byte order mark; list columns joined by semicolons."""
+    df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.select(*(F.array_join(c, ";").alias(c) if c in lists else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_folds(df: DataFrame, path: str, k: int, fold: str = "fold") -> None:
+    """<path>/fold_i/train and val, for each of the k folds: rows of the fold validate, all others train."""
+    for i in range(k):
+        for name, rows in (("train", df.where(F.col(fold) != i)), ("val", df.where(F.col(fold) == i))):
+            rows.drop(fold).write.mode("overwrite").json(f"{path}/fold_{i}/{name}")
+
+
+def write_corpus(pairs: DataFrame, statistics: DataFrame, path: str, *order: str) -> None:
+    """Parallel text, annotations and statistics of generated pairs (original, corrupted, errors)."""
+    rows = pairs.select(*order, F.col("corrupted").alias("source"), F.col("original").alias("target"))
+    write_parallel(rows, path, *order)
+    pairs.write.mode("overwrite").json(f"{path}/annotations")
+    statistics.write.mode("overwrite").json(f"{path}/statistics")
+
+
+def write_catalog(documents: DataFrame, path: str) -> None:
+    """Catalog JSON of documents (filename, category, title, sentence_count), a row a file."""
+    entries = F.array_sort(F.collect_list(F.struct("filename", "category", "title", "sentence_count")))
+    documents.agg(entries.alias("documents")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def markdown(report: DataFrame, most: int = 1000) -> str:
+    """A report of a few rows (at most `most`, else an error) as a table."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    lines = [report.columns, ["---"] * len(report.columns), *([("" if v is None else str(v)).replace("|", r"\|") for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """Records are added to a table of JSON lines, each with an id of its own."""
+    records.withColumn("id", F.expr("uuid()")).write.mode("append").json(path)
+
+
+def write_seen(seen: DataFrame, new: DataFrame, path: str) -> None:
+    """The state of seen sentences with new ones: distinct, sorted, one a line. path is another than that of `seen`."""
+    both = seen.select("text").unionByName(new.select("text")).where("text is not null and text <> ''").distinct()
+    both.orderBy("text").select(F.col("text").alias("value")).write.mode("overwrite").text(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or where that is unset and all runs on one machine, a temporary
+    one that goes at the end of the process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        at = f"file://{at}"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
