@@ -25,9 +25,10 @@ def _compose(text: str) -> tuple[str, list[int]]:
     out, places, start = [], [], 0
     while start < len(text):
         end = start + 1
-        while end < len(text) and (unicodedata.combining(text[end]) or len(unicodedata.normalize("NFC", text[end - 1 : end + 1])) < 2):
-            end += 1
         part = unicodedata.normalize("NFC", text[start:end])
+        while end < len(text) and (unicodedata.combining(text[end]) or len(unicodedata.normalize("NFC", text[start : end + 1])) <= len(part)):
+            end += 1
+            part = unicodedata.normalize("NFC", text[start:end])
         out.append(part)
         places += [start + min(i, end - start - 1) for i in range(len(part))]
         start = end

@@ -42,7 +42,7 @@ def write_m2(sentences: DataFrame, path: str) -> None:
 def write_review(df: DataFrame, path: str, *lists: str) -> None:
     """CSV with a header, whose first name follows a byte order mark; list columns joined by semicolons."""
     df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
-    df.select(*(F.array_join(c, ";").alias(c) if c in lists else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.array_join(c, ";").alias(c) if c in lists else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_folds(df: DataFrame, path: str, k: int, fold: str = "fold") -> None:

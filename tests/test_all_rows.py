@@ -1,7 +1,6 @@
 """Queries over all rows, which have no SQL, against brute force."""
 
-import hashlib
-
+import numpy as np
 import pytest
 
 from corpusloom.functions import profile as P
@@ -42,13 +41,16 @@ def run(spark, sf, name):
 
 
 def test_bootstrap(spark, sf, counted):
-    n, scores = len(counted), []
-    for b in range(1000):
-        drawn = [counted[int(hashlib.md5(f"42:{b}:{k}".encode()).hexdigest()[:8], 16) % n] for k in range(n)]
-        scores.append(f05(sum(x for x, _ in drawn), sum(x for _, x in drawn)))
-    scores.sort()
+    """Against the same draws row by row, and against resampling with replacement."""
+    keys = [r.k for r in pairs(spark, sf).orderBy("doc_id", "pos").selectExpr("xxhash64(doc_id, pos) as k").collect()]
+    weights = np.array([np.random.Generator(np.random.Philox(key=[42, k & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, 1000) for k in keys])
+    n = np.array(counted)
+    scores = sorted(f05(*x) for x in (weights.T @ n).tolist())
     (got,) = run(spark, sf, "bootstrap_ci_all_pairs")
     assert (got.low, got.high) == pytest.approx((scores[25], scores[975]), abs=1e-6)
+    r = np.random.default_rng(1)
+    drawn = sorted(f05(*n[r.integers(0, len(n), len(n))].sum(axis=0).tolist()) for _ in range(1000))
+    assert (got.low, got.high) == pytest.approx((drawn[25], drawn[975]), abs=0.08)
 
 
 @pytest.mark.parametrize("name", ["f05_corpus_all_pairs", "m2_f05_all_pairs"])
