@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import divergence as D
 from corpusloom.llm.bpe import round_trip
 from corpusloom.llm.chosen_path import jaccard_join
 from corpusloom.llm.exact_dedup import exact_groups
@@ -14,7 +15,9 @@ from corpusloom.llm.kneser_ney import judge
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack
 from corpusloom.llm.repair import read_grammars, write_grammars
+from corpusloom.llm.secrets import secret_digests
 from corpusloom.llm.substring_dedup import find_repeats
+from corpusloom.llm.turns import damage, repair_digests
 from corpusloom.llm.url_filter import filter_urls
 
 
@@ -74,8 +77,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents")).drop("kept", "row_key")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digests(damage(conversations), conversations)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_repair, op3_kneser_ney, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op8_hnsw, op9_line_dedup, op10_substring_dedup)
+    found = (op1_packing, op2_repair, op3_kneser_ney, op4_exact_dedup, op5_bpe, op6_url_filter, op7_jaccard_join, op8_hnsw, op9_line_dedup, op10_substring_dedup, op11_secrets, op12_repair_turns, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -85,4 +101,5 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                    doc_id is not distinct from max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
             from documents window w as (partition by coalesce(text, ''))""",
+        "op13_divergence": D.SQL,
     }
