@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import filters as S
 from corpusloom.operators import dedup as D
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import flow as W
@@ -23,9 +22,7 @@ KEY = ("file", "line_no")
 
 def sanitize(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Lines that the sanitizer keeps, file by file; near duplicates go within a file."""
-    rows = W.sanitized(R.read_lines(spark, a.input), "text", *KEY, near=a.threshold, by="file")
-    if a.detect:
-        rows = rows.withColumn("reason", F.coalesce("reason", F.when(~S.detect(F.col("clean"))["is_sorani"], "not_sorani")))
+    rows = W.sanitized(R.read_lines(spark, a.input), "text", *KEY, near=a.threshold, by="file", language=a.detect)
     writers.write_lines(rows.where("reason is null"), "clean", f"{a.output}/sentences")
     return W.drop_reasons(rows)
 

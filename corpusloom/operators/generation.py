@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -21,6 +22,7 @@ from corpusloom.operators import errors as E
 from corpusloom.operators import sentence_errors as SE
 from corpusloom.operators.sampling import numbered, oversample
 from corpusloom.operators.statistics import new_tokens
+from corpusloom.sources import writers
 
 RESULT = "struct<corrupted:string,errors:array<struct<type:string,original:string,error:string,start:int,end:int>>>"
 
@@ -399,34 +401,56 @@ def with_invalid_words(pairs: DataFrame, known: DataFrame, original: str, corrup
     return pairs.join(counts.where("_n = _k").select(*key), list(key), "left_anti")
 
 
-def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50_000, ratio: float = 0.7, rate: float = 0.15, seed: int = 42, known: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def _save(df: DataFrame) -> DataFrame:
+    """A table in the folder that executors share: computed once, and read again where an executor is lost."""
+    spark = df.sparkSession
+    path = writers.scratch_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50_000, ratio: float = 0.7, rate: float = 0.15, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
     """key, original, corrupted, errors, source_id, and all other columns: int(target x ratio) pairs with errors and the rest without.
 
-    Sentences are repeated or cut to `target`. In each round every sentence is corrupted anew; those that got an error (and, with
-    known words, an invalid one) fill the quota in shuffled order. Rounds end when it is full, or after `rounds`, where the
-    table has nothing to corrupt. Clean pairs are the first in another order. source_id names the sentence.
+    Sentences are repeated or cut to `target`. In the first round every sentence is corrupted; those that got an error (and, with known
+    words, an invalid one) fill the quota in shuffled order. Further rounds try those that can get one as often as the quota lacks, until
+    it is full. If a round, and one more at rate 1, adds nothing, the pairs that were found are repeated. With none found all pairs are
+    clean: their quota is not raised then. Clean pairs are the first in another order. source_id names the sentence.
     """
-    spark = sentences.sparkSession
-    save = (lambda x: x.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda x: x.persist())
-    base = save(oversample(sentences, target, *key).withColumn("source_id", F.concat_ws(":", *key, "copy")))
+    base = _save(oversample(sentences, target, *key).withColumn("source_id", F.concat_ws(":", *key, "copy")))
     want = int(target * ratio)
-    found, have = [], 0
-    for r in range(rounds):
-        tried = base.withColumn("_r", corrupt_sentences(text, F.concat_ws(":", "source_id", F.lit(str(r))), rate, seed)).where(F.expr(f"size(_r.errors) > 0 and _r.corrupted <> `{text}`"))
-        tried = tried.select(*base.columns, F.col(text).alias("original"), "_r.*").withColumn("_round", F.lit(r))
-        if known is not None:
-            tried = with_invalid_words(tried, known, "original", "corrupted", "source_id")
-        found.append(save(tried))
-        have += found[-1].count()
-        if have >= want or not have:
+
+    def attempt(rows: DataFrame, copies: int, at: float, r: int) -> DataFrame:
+        rows = rows.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        name = F.when((F.lit(r) == 0), F.concat_ws(":", "source_id", F.lit("0"))).otherwise(F.concat_ws(":", "source_id", F.lit(str(r)), "_try"))
+        tried = rows.withColumn("_r", corrupt_sentences(text, name, at, seed)).where(F.expr(f"size(_r.errors) > 0 and _r.corrupted <> `{text}`"))
+        tried = tried.select(*base.columns, F.col(text).alias("original"), "_r.*", F.lit(r).alias("_round"), "_try")
+        return with_invalid_words(tried, known, "original", "corrupted", "source_id", "_round", "_try") if known is not None else tried
+
+    rows, found, have, copies, at, r = base, [], 0, 1, rate, 0
+    while have < want:
+        found.append(_save(attempt(rows, copies, at, r)))
+        new = found[-1].count()
+        have += new
+        if not new and at == 1.0:
             break
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        at = rate if new else 1.0
+        if r == 0 and have < want:  # sentences with an error at rate 1, or found with one already
+            can = attempt(base, 1, 1.0, 1).select("source_id").unionByName(found[0].select("source_id")).distinct()
+            rows = _save(base.join(can, "source_id", "left_semi").select(*base.columns))
+        copies = min(-(-copies * (want - have) // new) + 1, 1000) if new else copies
+        r += 1
     order = lambda name, *c: F.md5(F.concat_ws(":", F.lit(f"{seed}:{name}"), *c))
-    bad = numbered(every.withColumn("_h", order("bad", "source_id", "_round")), ["_round", "_h", "source_id"]).where(F.col("_rn") <= want)
     clean = numbered(base.withColumn("_h", order("clean", "source_id")), ["_h", "source_id"]).where(F.col("_rn") <= target - want)
     clean = clean.select(*base.columns, F.col(text).alias("original"), F.col(text).alias("corrupted"), F.from_json(F.lit("[]"), RESULT.split("errors:")[1][:-1]).alias("errors"))
+    if not have:
+        return clean
+    every = reduce(DataFrame.unionByName, found).withColumn("_h", order("bad", "source_id", "_round", "_try"))
+    place = ["_round", "_h", "source_id", "_try"]
+    if have >= want:
+        bad = numbered(every, place).where(F.col("_rn") <= want)
+    else:
+        bad = oversample(every.withColumnRenamed("copy", "_copy"), want, *place).drop("copy").withColumnRenamed("_copy", "copy")
     return bad.select(*clean.columns).unionByName(clean)
 
 

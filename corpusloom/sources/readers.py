@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +48,23 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return parse_pairs(numbered_lines(spark.read.text(path))).where(~F.col("bad")).drop("bad")
 
 
+def across_files(lines: DataFrame) -> DataFrame:
+    """numbered_lines() with line_no counted on through the files in the order of their names; without a column file, lines as they are."""
+    if "file" not in lines.columns:
+        return lines
+    sizes = lines.groupBy("file").agg(F.count("*").alias("_c"))  # a row a file
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("file").alias("_f"), before.alias("_before"))
+    return lines.join(sizes, F.col("file") == F.col("_f")).withColumn("line_no", F.col("line_no") + F.col("_before")).drop("_f", "_before")
+
+
 def zip_lines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """line_no, source, target of two files' lines, of which there are equally many."""
+    """line_no, source, target of the lines of two files or folders, of which there are equally many: the lines of a folder are those of
+    its files in the order of their names."""
     n, m = a.count(), b.count()
     if n != m:
         raise ValueError(f"{n} lines against {m}")
+    a, b = across_files(a), across_files(b)
     return a.select("line_no", F.col("text").alias("source")).join(b.select("line_no", F.col("text").alias("target")), "line_no")
 
 
@@ -184,12 +195,16 @@ def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts) if t.strip()], "line_no long, text string")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """text of a state of seen sentences; empty where there is none yet."""
-    try:
-        return spark.read.text(path).select(F.col("value").alias("text")).where("text <> ''")
-    except AnalysisException:
+    """text of a state of seen sentences; empty where path does not exist. Any other failure to read is an error."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "text string")
+    return spark.read.text(path).select(F.col("value").alias("text")).where("text <> ''")
 
 
 def merged_options(given: dict, defaults: dict, config: dict) -> dict:

@@ -29,10 +29,23 @@ def write_pairs(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def write_parallel(df: DataFrame, path: str, *order: str) -> None:
-    """source and target lines in one order, in <path>/src and <path>/tgt."""
-    rows = df.select("source", "target", *order).orderBy(*order, "source", "target")
-    for name, column in (("src", "source"), ("tgt", "target")):
-        rows.select(F.col(column).alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+    """source and target lines in one order, in <path>/src and <path>/tgt, whose part files have the same rows: one job sorts and writes
+    both, so that no bounds of ranges are drawn twice. A line break in a text becomes a space; nulls are empty lines."""
+    line = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\r\n]+", " ")
+    rows = df.select(*order, "source", "target").repartitionByRange(*order, "source", "target")
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), line(c).alias("value")) for n, c in (("src", "source"), ("tgt", "target")))))
+    rows = rows.select(*order, "source", "target", sides.alias("s")).select("*", "s.*").sortWithinPartitions("side", *order, "source", "target")
+    both = f"{path}/_both-{uuid.uuid4().hex}"
+    rows.select("side", "value").write.partitionBy("side").text(both)
+    files = df.sparkSession._jvm.org.apache.hadoop.fs
+    fs = files.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    for name in ("src", "tgt"):
+        fs.delete(files.Path(f"{path}/{name}"), True)
+        if not fs.exists(files.Path(f"{both}/side={name}")):  # no rows
+            df.sparkSession.createDataFrame([], "value string").write.text(f"{path}/{name}")
+        elif not fs.rename(files.Path(f"{both}/side={name}"), files.Path(f"{path}/{name}")):
+            raise OSError(f"{both}/side={name} cannot be moved to {path}/{name}")
+    fs.delete(files.Path(both), True)
 
 
 def write_m2(sentences: DataFrame, path: str) -> None:

@@ -128,6 +128,47 @@ def test_sinks(spark, tmp_path):
         writers.markdown(rows, 2)
 
 
+@pytest.mark.parametrize("parts", [1, 64])
+def test_parallel_text(spark, tmp_path, parts):
+    """Source and target stay together, in order, however many files they are in; line breaks become spaces, nulls empty lines."""
+    r = random.Random(parts)
+    rows = [(i // 2, f"s{i} " + "x" * r.randint(0, 40), f"t{i}") for i in range(3000)] + [(9000, "a\nb\r\nc", None)]
+    df = spark.createDataFrame(rows, "id long, source string, target string").repartition(13)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):  # again over what is there
+            writers.write_parallel(df, f"{tmp_path}/p", "id")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    read = lambda n: R.numbered_lines(spark.read.text(f"{tmp_path}/p/{n}"))
+    assert {p.name for p in (tmp_path / "p").iterdir()} == {"src", "tgt"}
+    got = sorted((x.line_no, x.source, x.target) for x in R.zip_lines(read("src"), read("tgt")).collect())
+    want = sorted(rows, key=lambda x: (x[0], x[1]))
+    assert got == [(n, a.replace("\r\n", " ").replace("\n", " "), b or "") for n, (_, a, b) in enumerate(want)]
+    writers.write_parallel(df.limit(0), f"{tmp_path}/p", "id")
+    assert spark.read.text(f"{tmp_path}/p/src").count() == 0
+
+
+def test_language_before_near_duplicates(spark):
+    """A line in another language makes no later line its near duplicate."""
+    own = "ئەم ڕستەیە بۆ تاقیکردنەوەی پڕۆگرامەکەی من دەچێت ژمارە یەک."
+    other = own.replace("ڕ", "ر").replace("ێ", "ی").replace("ۆ", "و").replace("ە", "ه")
+    lines = spark.createDataFrame([(0, other), (1, own)], "i long, t string")
+    got = {r.i: r.reason for r in W.sanitized(lines, "t", "i", near=0.1, language=True).collect()}
+    assert got == {0: "not_sorani", 1: None}
+    assert {r.i: r.reason for r in W.sanitized(lines, "t", "i", near=0.1).collect()} == {0: None, 1: "near_duplicate"}
+
+
+def test_seen_state_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "bad").write_text("x")
+    with pytest.raises(Exception, match="No FileSystem|scheme"):
+        R.read_seen(spark, "nosuchscheme://host/x")
+    assert R.read_seen(spark, f"{tmp_path}/nothing").count() == 0
+
+
 def test_scores_by_type(spark):
     gold = [[(0, 1, "x", "A"), (3, 3, "n", "B")], []]
     assert E.typed_counts("a b c".split(), "x b c".split(), gold[0]) == [("A", 1, 0, 0), ("B", 0, 0, 1)]

@@ -71,6 +71,20 @@ def test_corpus(sentences, target, ratio):
     assert all((r.corrupted != r.original) == bool(r.errors) for r in got)
 
 
+def test_few_to_corrupt(spark):
+    """A quota is filled from the one sentence that can be corrupted, and by repeating pairs where its errors are used up."""
+    rows = spark.createDataFrame([(i, "x") for i in range(50)] + [(50, "من دەچم")], "id long, s string")
+    got = G.generate_corpus(rows, "s", "id", target=1000, ratio=0.7).collect()
+    assert Counter(bool(r.errors) for r in got) == {True: 700, False: 300} and {r.id for r in got if r.errors} == {50}
+    assert all((r.corrupted != r.original) == bool(r.errors) for r in got)
+    # All forms but one are known words: only pairs with that one count, and known words alone leave none.
+    forms = {r.corrupted for r in got if r.errors}
+    words = sorted({w for f in forms for w in f.split()})
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    none = G.generate_corpus(rows, "s", "id", target=20, ratio=0.5, known=known.where(f"word <> '{words[-1]}'")).collect()
+    assert len(none) in (10, 20) and all(words[-1] in r.corrupted for r in none if r.errors)
+
+
 def test_nothing_to_corrupt(spark):
     rows = spark.createDataFrame([(i, "x") for i in range(5)], "id long, s string")
     got = G.generate_corpus(rows, "s", "id", target=10, ratio=0.5).collect()
