@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions import verb_profile as V
 from corpusloom.functions.text import let
 
 # Swap tables.
 PREPOSITIONS = {"لەلایەن": ["بە", "بۆ"], "بە": ["لەلایەن", "بۆ", "لەگەڵ"], "بۆ": ["بە", "لە"], "لە": ["لەسەر", "بە"], "لەسەر": ["لە", "بە"], "لەگەڵ": ["بە", "بۆ"], "بەبێ": ["بە", "بۆ"], "بەبی": ["بە", "بۆ"]}
-FUSED = {f + c: [f"{p} {n}"] for f, p in (("پێ", "بە"), ("لێ", "لە"), ("تێ", "تە")) for c, n in (("م", "من"), ("ت", "تۆ"), ("ی", "ئەو"), ("مان", "ئێمە"), ("تان", "ئیوە"), ("یان", "ئەوان"))}
-CONTRACTED = {p + d[2:]: [f"{p} {d}"] for p in ("بە", "لە") for d in ("ئەم", "ئەو", "ئەمە", "ئەمانە", "ئەوە", "ئەوانە")}
+FUSED = {"پێم": ["بە من"], "پێت": ["بە تۆ"], "پێی": ["بە ئەو"], "پێمان": ["بە ئێمە"], "پێتان": ["بە ئیوە"], "پێیان": ["بە ئەوان"], "لێم": ["لە من"], "لێت": ["لە تۆ"], "لێی": ["لە ئەو"], "لێمان": ["لە ئێمە"], "لێتان": ["لە ئیوە"], "لێیان": ["لە ئەوان"], "تێم": ["تە من"], "تێت": ["تە تۆ"], "تێی": ["تە ئەو"], "تێمان": ["تە ئێمە"], "تێتان": ["تە ئیوە"], "تێیان": ["تە ئەوان"]}
+CONTRACTED = {"بەم": ["بە ئەم"], "بەو": ["بە ئەو"], "بەمە": ["بە ئەمە"], "بەمانە": ["بە ئەمانە"], "بەوە": ["بە ئەوە"], "بەوانە": ["بە ئەوانە"], "لەم": ["لە ئەم"], "لەو": ["لە ئەو"], "لەمە": ["لە ئەمە"], "لەمانە": ["لە ئەمانە"], "لەوە": ["لە ئەوە"], "لەوانە": ["لە ئەوانە"]}
 PARTICIPLES = {"نووسەر": "نووسراو", "بکەر": "کراو", "کوژەر": "کوژراو", "سووتێنەر": "سووتێنراو", "بیسەر": "بیستراو", "بینەر": "بینراو", "خوێنەر": "خوێندراو", "تێکدەر": "تێکدراو", "فرۆشەر": "فرۆشراو", "دروستکەر": "دروستکراو", "چاپکەر": "چاپکراو", "داهێنەر": "داهێنراو", "ناردەر": "ناردراو", "وەرگێڕەر": "وەرگێڕدراو", "ئامادەکەر": "ئامادەکراو"}
-CONFUSED = (("ل", "ڵ"), ("ر", "ڕ"), ("ت", "ط"), ("د", "ض"), ("ز", "ژ"))
 ORTHOGRAPHY = (("ح", "ه"), ("غ", "خ"), ("ع", "ئ"), ("ڵ", "ل"), ("ڕ", "ر"), ("ێ", "ی"), ("ۆ", "و"), ("ژ", "ز"), ("ڤ", "ف"))
 MARKS = {"،": [",", ""], ",": ["،", ""], "؛": [";", "،"], ";": ["؛", ","], "؟": ["?", ""], "?": ["؟", ""], ".": ["،", ""]}
 NOT_PARTICIPLES = ("ئە", "ئێ", "لێ", "پێ", "پیا")
@@ -50,14 +50,22 @@ def _first(word: Column, a: str, b: str) -> Column:
     return F.when(i > 0, F.concat(F.substring(word, F.lit(1), i - 1), F.lit(b), F.substring(word, i + len(a), F.length(word))))
 
 
-def letters(*both_ways: tuple[str, str]) -> Generator:
-    """A generator that swaps the first occurrence of a letter for the other of its pair."""
+def _spelling(word: Column) -> Column:
+    """The first occurrence of a letter becomes the other of its pair. A form stands as often as twice its pair's weight."""
+    forms = [_first(word, x, y) for (a, b), n in V.CONFUSED_WEIGHTS.items() for x, y in ((a, b), (b, a)) for _ in range(int(2 * n))]
+    return F.filter(F.array(*forms), lambda f: f.isNotNull())
 
-    def run(word: Column) -> Column:
-        forms = [_first(word, x, y) for a, b in both_ways for x, y in ((a, b), (b, a))]
-        return F.filter(F.array(*forms), lambda f: f.isNotNull())
 
-    return run
+def _orthography(word: Column) -> Column:
+    """All places of the first two pairs change, of the others the first one; a doubled waw and a word's first letter have rules. A form
+    that several rules give stands as often."""
+    first, rest = F.substring(word, 1, 1), F.substring(word, 2, 1 << 30)
+    every = [F.when(word.contains(x) & (~word.endswith("ە") if x == "ه" else F.lit(True)), F.replace(word, F.lit(x), F.lit(y))) for a, b in ORTHOGRAPHY[:2] for x, y in ((a, b), (b, a))]
+    waw = F.when(word.contains("وو"), _first(word, "وو", "و")).otherwise(_first(word, "و", "وو"))
+    initial = F.when(first == "ئ", F.concat(F.lit("ی"), rest)).when(first == "ی", F.concat(F.lit("ئ"), rest))
+    free = {"ئ": first != "ئ", "ی": first != "ی", "و": ~word.contains("وو") & ~word.contains("ۆ")}
+    once = [F.when(free.get(x, F.lit(True)), _first(word, x, y)) for a, b in ORTHOGRAPHY[2:] for x, y in ((a, b), (b, a))]
+    return F.filter(F.array(*every, waw, initial, *once), lambda f: f.isNotNull())
 
 
 def _participle(word: Column) -> Column:
@@ -65,17 +73,6 @@ def _participle(word: Column) -> Column:
     return F.when((stem != "") & ~stem.isin(*NOT_PARTICIPLES), F.array(F.concat(stem, F.lit("یە")), F.concat(stem, F.lit("گە")))).otherwise(_none())
 
 
-def _marks(word: Column) -> Column:
-    """The last character, if it is a mark that can be confused or left out."""
-    body, last = F.substring(word, F.lit(1), F.length(word) - 1), F.substring(word, -1, 1)
-    return F.transform(table(MARKS)(last), lambda m: F.concat(body, m))
-
-
-def _split(word: Column) -> Column:
-    n = F.length(word)
-    return F.when(n >= 5, F.transform(F.sequence(F.lit(2), n - 2), lambda i: F.concat(F.substring(word, F.lit(1), i), F.lit(" "), F.substring(word, i + 1, n)))).otherwise(_none())
-
-
 def _possessive(word: Column) -> Column:
     out = _none()
     for end in sorted(POSSESSIVES, key=len):
@@ -99,7 +96,7 @@ def _morphemes(word: Column) -> Column:
 
 GENERATORS: dict[str, Generator] = {
     "case_role_preposition": table(PREPOSITIONS), "preposition_fusion": table(FUSED), "demonstrative_contraction": table(CONTRACTED), "participle_voice_swap": table({k: [v] for k, v in PARTICIPLES.items()} | {v: [k] for k, v in PARTICIPLES.items()}),
-    "spelling_confusion": letters(*CONFUSED), "orthography": letters(*ORTHOGRAPHY), "dialectal_participle": _participle, "punctuation": _marks, "whitespace": _split, "possessive_clitic": _possessive, "morpheme_order": _morphemes,
+    "spelling_confusion": _spelling, "orthography": _orthography, "dialectal_participle": _participle, "punctuation": table(MARKS), "possessive_clitic": _possessive, "morpheme_order": _morphemes,
 }
 
 
@@ -108,10 +105,16 @@ def _draw(seed: str, key: Column, i: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key, i.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def tidied(text: Column) -> Column:
+    """As a sentence is left after errors: runs of spaces and spaces before marks go."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), " ([,.،؛])", "$1"))
+
+
 def inject(text: Column, key: Column, kind: str, rate: float = 0.15, seed: int = 42) -> Column:
-    """struct<corrupted, errors>: each eligible word of text is replaced with probability rate by one of its wrong forms. key: tells rows
-    apart. Single spaces separate words."""
-    words = F.split(text, " ")
+    """struct<corrupted, errors>: each eligible word of text is replaced with probability rate by one of its wrong forms, and what is left
+    is tidied if any was. key: tells rows apart. Single spaces separate words; marks are words of their own where they are what changes."""
+    marks = "[" + "".join(MARKS) + "]"
+    words, joint = (F.regexp_extract_all(text, F.lit(f"{marks}|[^{marks[1:]}+"), F.lit(0)), "") if kind == "punctuation" else (F.split(text, " "), " ")
 
     def build(w: Column) -> Column:
         lengths = F.transform(w, F.length)
@@ -122,10 +125,10 @@ def inject(text: Column, key: Column, kind: str, rate: float = 0.15, seed: int =
             return F.struct(x["w"].alias("w"), x["i"].alias("i"), F.when(chosen, F.get(x["f"], (_draw(f"{seed}:{kind}:form", key, x["i"]) % F.greatest(F.size(x["f"]), F.lit(1))).cast("int"))).alias("new"))
 
         def finish(x: Column) -> Column:
-            corrupted = F.array_join(F.transform(x, lambda y: F.coalesce(y["new"], y["w"])), " ")
-            start = lambda y: F.aggregate(F.slice(lengths, F.lit(1), y["i"]), F.lit(0), lambda a, n: a + n + 1)
+            corrupted = F.array_join(F.transform(x, lambda y: F.coalesce(y["new"], y["w"])), joint)
+            start = lambda y: F.aggregate(F.slice(lengths, F.lit(1), y["i"]), F.lit(0), lambda a, n: a + n + len(joint))
             errors = F.transform(F.filter(x, lambda y: y["new"].isNotNull()), lambda y: F.struct(F.lit(kind).alias("type"), y["w"].alias("original"), y["new"].alias("error"), start(y).alias("start"), (start(y) + F.length(y["w"])).alias("end")))
-            return F.struct(corrupted.alias("corrupted"), errors.alias("errors"))
+            return F.struct(F.when(F.size(errors) > 0, tidied(corrupted)).otherwise(corrupted).alias("corrupted"), errors.alias("errors"))
 
         return let(F.transform(items, pick), finish)
 

@@ -77,6 +77,7 @@ def _disjoint(sites: Iterator[Site]) -> Iterator[Site]:
             yield s
 
 
+# Patterns of what a rule changes.
 _PRE = f"(?:{_any(V.PREVERBS)})?"
 _PRESENT = re.compile(rf"((?:نە|نا)?{_PRE}(?:{_any(V.PRESENT_PREFIXES)}))(\w+?)(م|یت|ی|ێت|ێ|ات|ین|ن|ەم|ەن)(?!\S)")
 _IMPERATIVE = re.compile(rf"({_PRE}(?:ب|مە))(\w+?)([ەن])(?!\S)")

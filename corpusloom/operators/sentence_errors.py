@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let, words
-from corpusloom.operators.errors import _draw
+from corpusloom.operators.errors import _draw, tidied
 
 # Connectors of the first and second clause, beginnings of verbs, share of connectors that go.
 OPENERS = ["ئەگەرچی", "هەرچەندە", "لەگەڵ ئەوەشدا"]
@@ -90,4 +90,37 @@ def connectors(text: Column, key: Column, rate: float = 0.15, seed: int = 42) ->
     return let(F.struct(F.regexp_extract_all(text, F.lit(_CONNECTOR), F.lit(1)).alias("found"), F.split(text, _CONNECTOR, -1).alias("parts")), build)
 
 
-SENTENCE_GENERATORS = {"word_order": word_order, "missing_adversative_connector": connectors}
+def whitespace(text: Column, key: Column, rate: float = 0.15, seed: int = 42, most: int = 12, least: int = 5) -> Column:
+    """Two neighbours of `most` letters together become one word, a word of `least` letters or more becomes two; each with probability
+    rate. Of two that overlap the one that begins last is used: from the right, a word is cut, or fused with the next one if that was
+    left alone."""
+    kind = "whitespace"
+
+    def build(v: Column) -> Column:
+        """v: struct<w, gaps> of words and what is around them."""
+        w, gaps = v["w"], v["gaps"]
+        n = F.size(w)
+        cut = lambda i: (F.length(F.get(w, i)) >= least) & _below(_draw(f"{seed}:{kind}", key, i), rate)
+        fuse = lambda i: (i + 1 < n) & (F.length(F.get(w, i)) + F.length(F.get(w, i + 1)) <= most) & _below(_draw(f"{seed}:{kind}:fuse", key, i), rate)
+        act = lambda s, i: F.concat(F.when(cut(i), "c").when(fuse(i) & ~F.substring(s, 1, 1).isin("c", "f"), "f").otherwise("n"), s)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        acts = F.aggregate(F.reverse(places), F.lit(""), act)
+
+        def finish(x: Column) -> Column:
+            is_ = lambda i, c: F.substring(x["acts"], i + 1, F.lit(1)) == c
+            halves = lambda i: (_draw(f"{seed}:{kind}:form", key, i) % F.greatest(F.length(F.get(w, i)) - 3, F.lit(1)) + 2).cast("int")
+            form = lambda i: F.when(is_(i, "c"), F.concat(F.substring(F.get(w, i), F.lit(1), halves(i)), F.lit(" "), F.substring(F.get(w, i), halves(i) + 1, F.length(F.get(w, i))))).otherwise(F.get(w, i))
+            gap = lambda i: F.when((i > 0) & is_(i - 1, "f"), "").otherwise(F.get(gaps, i))
+            out = F.concat(F.array_join(F.transform(places, lambda i: F.concat(gap(i), form(i))), ""), F.element_at(gaps, -1))
+            start = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda s, k: s + F.length(F.get(gaps, k)) + F.when(k < i, F.length(F.get(w, k))).otherwise(0))
+            both = lambda i, mid: F.concat(F.get(w, i), mid, F.get(w, i + 1))
+            error = lambda i: F.when(is_(i, "c"), _error(kind, F.get(w, i), form(i), start(i))).otherwise(_error(kind, both(i, F.get(gaps, i + 1)), both(i, F.lit("")), start(i)))
+            errors = F.transform(F.filter(places, lambda i: ~is_(i, "n")), error)
+            return _result(F.when(F.size(errors) > 0, tidied(out)).otherwise(text), errors)
+
+        return let(F.struct(acts.alias("acts")), finish)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)).alias("w"), F.split(text, r"(?U)\S+", -1).alias("gaps")), build)
+
+
+SENTENCE_GENERATORS = {"word_order": word_order, "missing_adversative_connector": connectors, "whitespace": whitespace}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, PARTICIPLES, PREPOSITIONS, inject
-from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, VERB_BEGINNINGS, connectors, word_order
+from corpusloom.functions import verb_profile as V
+from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, MARKS, ORTHOGRAPHY, PARTICIPLES, PREPOSITIONS, inject
+from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, VERB_BEGINNINGS, connectors, whitespace, word_order
 from corpusloom.plans.tables import AR, script_sentences
 
 Q: dict = {}
@@ -13,6 +14,8 @@ SQL: dict[str, str] = {}
 
 #: Tables are checked whole: with rate 1 and one form a word, SQL can give the corrupted text.
 _ONE = {"preposition_fusion": {k: v[0] for k, v in FUSED.items()}, "demonstrative_contraction": {k: v[0] for k, v in CONTRACTED.items()}, "participle_voice_swap": PARTICIPLES | {v: k for k, v in PARTICIPLES.items()}}
+#: Kinds whose forms SQL has as lists: at rate 1 only the form is drawn.
+_LISTED = ("spelling_confusion", "orthography", "punctuation")
 _VERBS = ("نادەچم", "نەبوو", "دەچمەوە", "کردنەوە")
 _WORDS = sorted({w for t in (FUSED, CONTRACTED, PARTICIPLES, PREPOSITIONS, _VERBS) for w in t})
 
@@ -26,7 +29,7 @@ def _sentences(spark, sf):
 def _query(kind: str):
     def run(spark, sf):
         rows = _sentences(spark, sf)
-        out = rows.withColumn("e", inject(F.col("s"), F.concat_ws(":", "doc_id", "pos"), kind, 1.0 if kind in _ONE else 0.15))
+        out = rows.withColumn("e", inject(F.col("s"), F.concat_ws(":", "doc_id", "pos"), kind, 1.0 if kind in _ONE or kind in _LISTED else 0.15))
         return out.select("doc_id", "pos", F.col("e.corrupted").alias("corrupted"), F.size("e.errors").cast("long").alias("n_errors"))
 
     run.__name__ = f"inject_{kind}"
@@ -42,19 +45,64 @@ def inject_word_order(spark, sf):
     return _sentence_query(_sentences(spark, sf), word_order, 1.0)
 
 
+def inject_whitespace(spark, sf):
+    return _sentence_query(_sentences(spark, sf), whitespace, 1.0)
+
+
 def inject_missing_adversative_connector(spark, sf):
     """Each sentence follows a connector, so that there is something to change."""
     pick = F.element_at(F.array(*map(F.lit, OPENERS + CLOSERS)), (F.pmod("doc_id", F.lit(len(OPENERS + CLOSERS))) + 1).cast("int"))
     return _sentence_query(_sentences(spark, sf).withColumn("s", F.concat_ws(" ", pick, "s")), connectors, 0.15)
 
 
-Q |= {f.__name__: f for f in (inject_word_order, inject_missing_adversative_connector)}
+Q |= {f.__name__: f for f in (inject_word_order, inject_whitespace, inject_missing_adversative_connector)}
 for _kind in GENERATORS:
     Q[f"inject_{_kind}"] = _query(_kind)
+_FOLLOWED = f"""(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g') || ' ' || ([{', '.join(f"'{w}'" for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1])"""
+_TIDY = "trim(regexp_replace(regexp_replace({}, ' +', ' ', 'g'), ' ([,.،؛])', '\\1', 'g'))"
 for _kind, _forms in _ONE.items():
     _case = "case w " + " ".join(f"when '{k}' then '{v}'" for k, v in _forms.items()) + " end"
-    SQL[f"inject_{_kind}"] = f"""with {AR}, t as (select doc_id, pos, string_split(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g') || ' ' || ([{', '.join(f"'{w}'" for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1], ' ') as ws from ar)
-      select doc_id, pos, array_to_string(list_transform(ws, lambda w: coalesce({_case}, w)), ' ') as corrupted, len(list_filter(ws, lambda w: {_case} is not null)) as n_errors from t"""
+    SQL[f"inject_{_kind}"] = f"""with {AR}, t as (select doc_id, pos, string_split({_FOLLOWED}, ' ') as ws from ar),
+      u as (select *, len(list_filter(ws, lambda w: {_case} is not null)) as n from t)
+      select doc_id, pos, case when n > 0 then {_TIDY.format(f"array_to_string(list_transform(ws, lambda w: coalesce({_case}, w)), ' ')")} else array_to_string(ws, ' ') end as corrupted, n as n_errors from u"""
+
+
+def _once(x: str, y: str, when: str = "true") -> str:
+    return f"case when contains(w, '{x}') and {when} then regexp_replace(w, '{x}', '{y}') end"
+
+
+_FREE = {"ئ": "left(w, 1) <> 'ئ'", "ی": "left(w, 1) <> 'ی'", "و": "not contains(w, 'وو') and not contains(w, 'ۆ')"}
+_FORM_LISTS = {
+    "spelling_confusion": [_once(x, y) for (a, b), n in V.CONFUSED_WEIGHTS.items() for x, y in ((a, b), (b, a)) for _ in range(int(2 * n))],
+    "orthography": [
+        *(f"case when contains(w, '{x}') and {"not ends_with(w, 'ە')" if x == 'ه' else 'true'} then replace(w, '{x}', '{y}') end" for a, b in ORTHOGRAPHY[:2] for x, y in ((a, b), (b, a))),
+        "case when contains(w, 'وو') then regexp_replace(w, 'وو', 'و') when contains(w, 'و') then regexp_replace(w, 'و', 'وو') end",
+        "case when left(w, 1) = 'ئ' then 'ی' || substr(w, 2) when left(w, 1) = 'ی' then 'ئ' || substr(w, 2) end",
+        *(_once(x, y, _FREE.get(x, "true")) for a, b in ORTHOGRAPHY[2:] for x, y in ((a, b), (b, a))),
+    ],
+    "punctuation": [f"case w {' '.join(f"when '{m}' then '{v[i]}'" for m, v in MARKS.items())} end" for i in (0, 1)],
+}
+
+
+def _drawn(kind: str, index: str) -> str:
+    return f"cast('0x' || substr(md5('42:{kind}:form:' || doc_id || ':' || pos || ':' || ({index})), 1, 8) as bigint)"
+
+
+for _kind in _LISTED:
+    _marks = "".join(MARKS)
+    _ws, _joint = (f"regexp_extract_all({_FOLLOWED}, '[{_marks}]|[^{_marks}]+')", "") if _kind == "punctuation" else (f"string_split({_FOLLOWED}, ' ')", " ")
+    SQL[f"inject_{_kind}"] = f"""with {AR}, t as (select doc_id, pos, {_ws} as ws from ar),
+      f as (select doc_id, pos, list_transform(ws, lambda w: {{'w': w, 'f': list_filter([{', '.join(_FORM_LISTS[_kind])}], lambda x: x is not null)}}) as ws from t),
+      g as (select doc_id, pos, list_transform(ws, lambda x, i: {{'w': x.w, 'new': case when len(x.f) > 0 then x.f[{_drawn(_kind, 'i - 1')} % len(x.f) + 1] end}}) as ws from f),
+      u as (select *, len(list_filter(ws, lambda x: x.new is not null)) as n, array_to_string(list_transform(ws, lambda x: coalesce(x.new, x.w)), '{_joint}') as s from g)
+      select doc_id, pos, case when n > 0 then {_TIDY.format('s')} else s end as corrupted, n as n_errors from u"""
+#: At rate 1 all long words are cut, and of a run of short ones every second from its end is fused with its neighbour.
+SQL["inject_whitespace"] = f"""with {AR}, t as (select doc_id, pos, list_filter(string_split({_FOLLOWED}, ' '), lambda x: x <> '') as ws from ar),
+  w as (select doc_id, pos, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i, len(ws) as m from t),
+  r as (select *, coalesce(min(case when length(w) >= 5 then i end) over (partition by doc_id, pos order by i rows between current row and unbounded following), m) - 1 - i as d from w),
+  a as (select *, length(w) >= 5 as cut, length(w) < 5 and d % 2 = 1 as fused, {_drawn('whitespace', 'i')} % greatest(length(w) - 3, 1) + 2 as h from r)
+  select doc_id, pos, {_TIDY.format("string_agg(case when cut then left(w, h) || ' ' || substr(w, h + 1) else w end || case when fused then '' else ' ' end, '' order by i)")} as corrupted,
+    count(*) filter (cut or fused) as n_errors from a group by doc_id, pos"""
 SQL["inject_word_order"] = f"""with {AR}, t as (select doc_id, pos, list_filter(string_split(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g') || ' ' || ([{', '.join(f"'{w}'" for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1], ' '), lambda w: w <> '') as ws from ar),
   u as (select *, len(ws) >= 3 and ({' or '.join(f"starts_with(ws[-1], '{p}')" for p in VERB_BEGINNINGS)}) as verb,
       cast('0x' || substr(md5('42:word_order:at:' || doc_id || ':' || pos || ':0'), 1, 8) as bigint) % greatest(len(ws) - 2, 1) + 1 as i from t)
