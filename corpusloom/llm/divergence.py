@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import scratch, text_or_empty
 
-# What a term is, and the letters that change case.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# What stands between terms, and the letters that change case.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Added to each count of a term, and the whole that shares are parts of.
 PRIOR, WHOLE = 5, 1_000_000_000
@@ -22,12 +22,16 @@ SALTS = 64
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents with it). A group without terms has one row with a null term."""
-    terms = F.regexp_extract_all(F.translate(text_or_empty(text), UPPER, UPPER.lower()), F.lit(TERM), F.lit(0))
+    """lang, source, term, n (occurrences), d (documents with it). What is before, behind or instead of terms counts as the empty term, so
+    each group has a row.
+
+    Texts are split at what is no term: that takes time in proportion to a text, while regexp_extract_all copies it for each match.
+    """
+    terms = F.split(F.translate(text_or_empty(text), UPPER, UPPER.lower()), BETWEEN)
     rows = docs.select(text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), F.sort_array(terms).alias("terms"))
     first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get("terms", i - 1))).cast("int").alias("first")))
-    rows = rows.select("lang", "source", F.explode_outer(first).alias("t"))
-    return rows.groupBy("lang", "source", "t.term").agg(F.count("t.term").alias("n"), F.coalesce(F.sum("t.first"), F.lit(0)).alias("d"))
+    rows = rows.select("lang", "source", F.explode(first).alias("t"))
+    return rows.groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum("t.first").alias("d"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -49,7 +53,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     array in one task.
     """
     counts = scratch(term_counts(docs, text, lang, source), "terms")
-    vocabulary = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d")).where(F.col("d") >= least_docs).drop("d")
+    vocabulary = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d")).where(F.col("d") >= least_docs).drop("d")
     kept = counts.join(vocabulary, ["lang", "term"])
     kept = scratch(kept.select("lang", "term", "source", "n", "lang_n"), "kept")
     vocabulary = kept.select("lang", "term", "lang_n").distinct()
