@@ -7,6 +7,7 @@ The features come back to the tokens of sentences by a join, where neighbours ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -271,11 +272,12 @@ def sentence_tokens(sentences: DataFrame, text: str, *key: str) -> DataFrame:
     return sentences.select(*key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("i", "token"))
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """rows (token and others) with the features of their tokens. The features of the most frequent tokens, of which there are FREQUENT at
-    most, are broadcast; other tokens are joined by a shuffle, in which no key is frequent."""
+def with_features(rows: DataFrame, extend: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+    """rows (token and others) with the features of their tokens, and what `extend` makes of these, once for each distinct token. The
+    features of the most frequent tokens, of which there are FREQUENT at most, are broadcast; other tokens are joined by a shuffle, in
+    which no key is frequent."""
     counts = rows.groupBy("token").agg(F.count("*").alias("_n"))
-    features = _save(token_features(counts.select("token")).join(counts, "token"))
+    features = _save(extend(token_features(counts.select("token"))).join(counts, "token"))
     n = features.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     often, seldom = (features.where(c).drop("_n") for c in (F.col("_n") * FREQUENT >= max(n, 1), F.col("_n") * FREQUENT < max(n, 1)))
     marked = rows.join(F.broadcast(often), "token", "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import agreement_queries, corpus_queries, error_queries, flow_queries, generation_queries, morphology_queries, score_queries, source_queries, text_queries
+from corpusloom.plans import agreement_queries, corpus_queries, error_queries, flow_queries, generation_queries, graph_queries, morphology_queries, score_queries, source_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, score_queries, source_queries, error_queries, generation_queries, flow_queries, agreement_queries, morphology_queries)
+MODULES = (text_queries, corpus_queries, score_queries, source_queries, error_queries, generation_queries, flow_queries, agreement_queries, morphology_queries, graph_queries)
 
 
 def queries() -> dict:
