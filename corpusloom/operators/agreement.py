@@ -11,8 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import graph_profile as G
+from corpusloom.functions import morph_profile as P
 from corpusloom.functions import verb_profile as V
 from corpusloom.functions.text import tokens
+from corpusloom.operators import morphology as M
+from corpusloom.operators.errors import _first
+from corpusloom.operators.graph import _has_stem
 
 # Persons and numbers of pronouns and of the endings of verbs; words that a check looks for.
 PRONOUNS = {"من": ("1", "sg"), "تۆ": ("2", "sg"), "ئەو": ("3", "sg"), "ئێمە": ("1", "pl"), "ئێوە": ("2", "pl"), "ئەوان": ("3", "pl")}
@@ -26,8 +31,12 @@ PAST_ADVERBS, PRESENT_ADVERBS = ("دوێنێ", "پار", "پێشتر", "بەرل
 BARE_NOUNS = ("پیاو", "ژن", "منداڵ", "مامۆستا", "قوتابی", "کچ", "کوڕ")
 DEMONSTRATIVES = ("ئەو", "ئەم", "ئەوان")
 TRANSITIVE = [*V.TRANSITIVE_STEMS, *"پساند وەراند لێدا پێدا تێکرد ئاژاند ڕاکرد هەڵگرت هەڵدا پێشکەشکرد سەرکرد وەرگرت تەرخانکرد گۆڕی داخست قسەکرد باسکرد کارکرد دەسکرد گوێگرت پشتگرت".split()]
+# What demonstratives forbid, vowels before a link, beginnings of verbs behind it, letters that are confused.
+SHOWING, DEFINITE, INDEFINITE, ENDS_PHRASE = ("ئەم", "ئەو", "ئەمە", "ئەوە"), ("ەکە", "ەکان"), ("ێک", "یەک", "ێکی"), ("و", "،", ".", "؟")
+FINAL_VOWELS, NO_MODIFIER = "اەێۆو", ("دە", "بی", "نا", "نە", "مە")
+CONFUSED = {"ح": "ه", "خ": "غ", "ڵ": "ل", "ڕ": "ر", "ع": "ئ"}
 #: Law that a check belongs to.
-LAWS = {"subject_verb": "Law 1"}
+LAWS = {"subject_verb": "Law 1", "object_verb_ergative": "Law 2"}
 #: Words within which a verb goes with a subject.
 NEAR = 7
 
@@ -72,14 +81,38 @@ def tense_of(word: Column) -> Column:
     return F.when(present, 1).when(past, 2)
 
 
-def check_sentences(sentences: DataFrame, text: str, *key: str) -> DataFrame:
-    """key, and the violations of each check: subject_verb, tense_consistency, negative_concord, conditional, quantifier_noun,
-    relative_clause, vocative_imperative, adverb_verb_tense, compound_subject, bare_noun. key tells sentences apart; a sentence
-    without tokens has no violations."""
+def word_flags(distinct: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """token, clitic (it bears one that counts in a clause) and misspelt, of distinct tokens (column token).
+
+    A clitic counts on words that are no verbs; not on a noun's link, for which the token with that link instead of the clitic is
+    analyzed. Misspelt are tokens that the table `known` (word) lacks, if it has them with one letter that is confused replaced.
+    """
+    t = F.col("token")
+    fits = F.coalesce(*(F.when(t.endswith(c) & (F.length(t) > len(c) + 1), c) for c in P.CLITICS))
+    verbal = _begins(t, (*V.PRESENT_PREFIXES, "نا")) | _has_stem(t, G.TRANSITIVE)
+    rows = distinct.withColumn("_c", F.when(~F.coalesce(verbal, F.lit(False)), fits))
+    probe = F.when(F.col("_c") == "ی", t).otherwise(F.concat(F.substring(t, F.lit(1), F.length(t) - F.length("_c")), F.lit("ی")))
+    rows = rows.withColumn("_probe", probe)
+    links = M.token_features(rows.where("_c is not null").select(F.col("_probe").alias("token")).distinct())
+    links = links.select(F.col("token").alias("_probe"), (F.col("case") == "ez").alias("_ez"), F.map_contains_key("raw", "yi_ambiguous").alias("_unclear"))
+    rows = rows.join(links, "_probe", "left").withColumn("clitic", F.coalesce(F.when(F.col("_c") == "ی", ~F.col("_unclear")).otherwise(~F.col("_ez")) & F.col("_c").isNotNull(), F.lit(False)))
+    if known is None:
+        return rows.select("token", "clitic", F.lit(False).alias("misspelt"))
+    words = known.select(F.col("word").alias("_w")).distinct().withColumn("_known", F.lit(True))
+    other = F.filter(F.array(*(F.when(t.contains(a), _first(t, a, b)) for a, b in CONFUSED.items())), lambda x: x.isNotNull())
+    tried = rows.join(words.withColumnsRenamed({"_w": "token"}), "token", "left").where("_known is null").select("token", F.explode(other).alias("_w"))
+    found = tried.join(words, "_w", "left_semi").select("token").distinct().withColumn("_other", F.lit(True))
+    return rows.join(found, "token", "left").select("token", "clitic", F.coalesce("_other", F.lit(False)).alias("misspelt"))
+
+
+def check_sentences(sentences: DataFrame, text: str, *key: str, known: DataFrame | None = None) -> DataFrame:
+    """key, and the violations of each of CHECKS. key tells sentences apart; a sentence without tokens has no violations. known: a table
+    of right words (word), without which none is misspelt."""
     w = F.col("w")
     rows = sentences.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     rows = rows.withColumn("_c", F.arrays_zip(F.col("_t").alias("w"), _clauses(F.col("_t"), 2, True).alias("clause"), _clauses(F.col("_t"), 2, False).alias("part")))
-    rows = rows.select(*key, F.posexplode_outer("_c").alias("i", "x")).select(*key, "i", "x.*")
+    rows = rows.select(*key, F.posexplode_outer("_c").alias("i", "x")).select(*key, "i", "x.*").withColumn("token", F.coalesce("w", F.lit("")))
+    rows = M.per_token(rows, lambda distinct: word_flags(distinct, known)).drop("token")
     rows = rows.withColumns({"present": _begins(w, V.PRESENT_PREFIXES), "mark": w.isin(*MARKS), "person": _pronoun(w, 0), "number": _pronoun(w, 1), "tense": tense_of(w)})
     rows = rows.withColumns({"verb": F.col("present") | w.startswith("نا"), "vp": _ending(w, 0), "vn": _ending(w, 1)})
     whole, order = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("i")
@@ -91,6 +124,21 @@ def check_sentences(sentences: DataFrame, text: str, *key: str) -> DataFrame:
         ahead = Window.partitionBy(*key, *by).orderBy("i").rowsBetween(1, Window.unboundedFollowing)
         return F.first(F.when(F.col("verb"), F.struct("vp", "vn")), ignorenulls=True).over(ahead)
 
+    back = order.rowsBetween(Window.unboundedPreceding, -1)
+    place = lambda c: F.max(F.when(c, F.col("i"))).over(back)
+    object_person = F.coalesce(F.col("person"), F.when(w.endswith("ەکان") | w.endswith("ەکە"), "3"))
+    object_number = F.coalesce(F.col("number"), F.when(w.endswith("ەکان"), "pl").when(w.endswith("ەکە"), "sg"))
+    rows = rows.withColumns({"clause_before": F.coalesce(F.lag("clause").over(order), F.lit(0)), "shown": place(w.isin(*SHOWING)), "phrase_end": place(w.isin(*ENDS_PHRASE)), "word_after": F.lead("w").over(order)})
+    rows = rows.withColumn("object", F.last(F.when(object_person.isNotNull(), F.struct(object_person.alias("p"), object_number.alias("n"), "clause_before")), ignorenulls=True).over(back))
+    ends = lambda marks: reduce(lambda a, b: a | b, (w.endswith(m) for m in marks)).cast("int")
+    in_phrase = ~w.isin(*SHOWING) & (F.col("i") - F.col("shown") <= 3) & (F.coalesce("phrase_end", F.lit(-1)) <= F.col("shown"))
+    link = w.rlike(f"[{FINAL_VOWELS}]ی$") & ~_begins(F.col("word_after"), NO_MODIFIER)
+    past = ~F.col("present") & _has_stem(w, G.TRANSITIVE) & F.col("vp").isNotNull() & (F.col("object.clause_before") == F.col("clause_before"))
+    rows = rows.withColumns({
+        "k_ezafe": F.when(in_phrase, ends(DEFINITE) + ends(INDEFINITE)).otherwise(0) + F.when(link, 1).otherwise(0),
+        "k_ergative": past & ((F.col("object.p") != F.col("vp")) | (F.col("object.n") != F.col("vn"))),
+    })
+
     near = F.transform(F.collect_list(F.struct("i", "w", "present", "vp", "mark")).over(order.rowsBetween(1, NEAR)), lambda x: x)
     rows = rows.withColumns({"in_clause": later("clause"), "in_segment": later("segment"), "near": near})
     differs = lambda v, p, n: (F.col(f"{v}.vp") != p) | (F.col(f"{v}.vn") != n)
@@ -134,6 +182,10 @@ def check_sentences(sentences: DataFrame, text: str, *key: str) -> DataFrame:
     mismatch = ((addressed == "pl") & ~command.endswith("ن")) | ((addressed == "sg") & command.endswith("ن"))
     by_sentence = rows.groupBy(*key).agg(
         total(F.col("k_subject")).alias("subject_verb"),
+        (total(F.col("clitic")) >= 2).cast("long").alias("clitic_consistency"),
+        F.coalesce(F.sum("k_ezafe"), F.lit(0)).alias("ezafe"),
+        total(F.col("k_ergative")).alias("object_verb_ergative"),
+        total(F.col("misspelt")).alias("orthography"),
         (has(w.isin(*NEGATIVE)) & ~has(_begins(w, ("نا", "نە")))).cast("long").alias("negative_concord"),
         total(F.col("k_conditional")).alias("conditional"),
         total(F.col("k_quantifier")).alias("quantifier_noun"),
@@ -156,7 +208,9 @@ def _tense_sequence(rows: DataFrame, *key: str) -> DataFrame:
     return clauses.groupBy(*key).agg(F.count_if(F.expr("t0 = 1 and t = 2")).alias("tense_consistency"))
 
 
-CHECKS = ("subject_verb", "tense_consistency", "negative_concord", "conditional", "quantifier_noun", "relative_clause", "vocative_imperative", "adverb_verb_tense", "compound_subject", "bare_noun")
+CHECKS = (
+    "subject_verb", "clitic_consistency", "ezafe", "tense_consistency", "object_verb_ergative", "negative_concord", "orthography", "conditional", "quantifier_noun", "relative_clause", "vocative_imperative", "adverb_verb_tense", "compound_subject", "bare_noun",
+)
 
 
 def by_check(checked: DataFrame) -> DataFrame:

@@ -272,17 +272,22 @@ def sentence_tokens(sentences: DataFrame, text: str, *key: str) -> DataFrame:
     return sentences.select(*key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("i", "token"))
 
 
-def with_features(rows: DataFrame, extend: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
-    """rows (token and others) with the features of their tokens, and what `extend` makes of these, once for each distinct token. The
-    features of the most frequent tokens, of which there are FREQUENT at most, are broadcast; other tokens are joined by a shuffle, in
-    which no key is frequent."""
+def per_token(rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (token and others) with the columns that make() gives for distinct tokens (a row each, token among its columns). What belongs
+    to the most frequent tokens, of which there are FREQUENT at most, is broadcast; other tokens are joined by a shuffle, in which no key
+    is frequent."""
     counts = rows.groupBy("token").agg(F.count("*").alias("_n"))
-    features = _save(extend(token_features(counts.select("token"))).join(counts, "token"))
-    n = features.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    often, seldom = (features.where(c).drop("_n") for c in (F.col("_n") * FREQUENT >= max(n, 1), F.col("_n") * FREQUENT < max(n, 1)))
+    made = _save(make(counts.select("token")).join(counts, "token").withColumn("_made", F.lit(True)))
+    n = made.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    often, seldom = (made.where(c).drop("_n") for c in (F.col("_n") * FREQUENT >= max(n, 1), F.col("_n") * FREQUENT < max(n, 1)))
     marked = rows.join(F.broadcast(often), "token", "left")
-    rest = marked.where("pos is null").select(*rows.columns).join(seldom, "token")
-    return marked.where("pos is not null").unionByName(rest)
+    rest = marked.where("_made is null").select(*rows.columns).join(seldom, "token")
+    return marked.where("_made").unionByName(rest).drop("_made")
+
+
+def with_features(rows: DataFrame, extend: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+    """rows (token and others) with the features of their tokens, and what `extend` makes of these."""
+    return per_token(rows, lambda distinct: extend(token_features(distinct)))
 
 
 def in_context(features: DataFrame, *key: str) -> DataFrame:

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import graph_profile as G
+from corpusloom.functions import morph_profile as P
+from corpusloom.functions import profile
+from corpusloom.functions import verb_profile as V
 from corpusloom.operators import agreement as A
+from corpusloom.operators import graph
+from corpusloom.plans import morphology_queries as Y
 from corpusloom.plans.tables import AR, script_sentences
 
 Q: dict = {}
@@ -12,7 +18,7 @@ SQL: dict[str, str] = {}
 KEY = ("doc_id", "pos")
 PHRASES = (
     "من دەچم ،", "من دەچن ،", "ئەوان دەچێت ،", "هیچ دەزانم ،", "هەرگیز ناچم ،", "ئەگەر دەچم ،", "هەموو منداڵ دەچێت ،", "پیاوەکان کە دەچم ،", "ئەی منداڵەکان بنووسە ،", "دوێنێ دەچم ،", "ئێستا کردم ،", "من و تۆ دەچن ،",
-    "منداڵ دەچم ،", "دەچێت زۆر و ناسی ،",
+    "منداڵ دەچم ،", "دەچێت زۆر و ناسی ،", "چووم و بووم ،", "ئەم گەورە پیاوەکە ،", "ئەم کتێبێک ،", "ڕێی جوان ،", "پیاوەکان بینیم ،", "من تۆ بینیم ،",
 )
 
 
@@ -35,6 +41,15 @@ def query(sql: str | None = None):
     return add
 
 
+_LETTERS = "".join(A.CONFUSED)
+
+
+def _known(spark, sf):
+    """Words of the sentences without those that have a letter that is confused at every third document: what replaces it is right then."""
+    words = script_sentences(spark, sf).select("doc_id", F.explode(F.split("s", r"\s+")).alias("word"))
+    return words.where((F.col("word") != "") & ((F.col("doc_id") % 3 > 0) | ~F.col("word").rlike(f"[{_LETTERS}]"))).select("word").distinct()
+
+
 @query()
 def agreement_violations(spark, sf):
     return _checked(spark, sf).select(*KEY, *A.CHECKS)
@@ -72,3 +87,47 @@ _WORDS = f"{AR}, t as (select doc_id, pos, {list(PHRASES)}[(doc_id + pos) % {len
 )
 def agreement_negative_concord(spark, sf):
     return _checked(spark, sf).select(*KEY, F.col("negative_concord").alias("violations"))
+
+
+_TOKENS = f"""{_WORDS}, split as (select doc_id, pos, regexp_extract_all(regexp_replace(' ' || s, '([\\s\\x0B])و([{profile.WAW_BEFORE}])', '\\1و \\2', 'g'), '[{profile.TOKEN_LETTERS}]+|[۰-۹0-9]+|[a-zA-Z]+|[^\\s\\x0B]') as ts from t),
+  placed as (select doc_id, pos, unnest(ts) as token, generate_subscripts(ts, 1) - 1 as i from split)"""
+
+
+@query(
+    f"""with {_TOKENS}, u as (select *, max(case when {Y._in('token', A.SHOWING)} then i end) over w as shown, max(case when {Y._in('token', A.ENDS_PHRASE)} then i end) over w as ended, lead(token) over (partition by doc_id, pos order by i) as nt from placed
+      window w as (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding)),
+    v as (select *, case when {Y._in('token', A.SHOWING)} or i - shown > 3 or coalesce(ended, -1) > shown or shown is null then 0 else regexp_matches(token, '(?:{Y._alt(A.DEFINITE)})$')::int + regexp_matches(token, '(?:{Y._alt(A.INDEFINITE)})$')::int end
+      + case when regexp_matches(token, '[{A.FINAL_VOWELS}]ی$') and nt is not null and not regexp_matches(nt, '^(?:{Y._alt(A.NO_MODIFIER)})') then 1 else 0 end as k from u)
+    select s.doc_id, s.pos, coalesce(sum(k), 0)::bigint as violations from split s left join v on v.doc_id = s.doc_id and v.pos = s.pos group by 1, 2"""
+)
+def agreement_ezafe(spark, sf):
+    return _checked(spark, sf).select(*KEY, F.col("ezafe").alias("violations"))
+
+
+_FITS = "case " + " ".join(f"when ends_with(word, '{c}') and length(word) > {len(c) + 1} then '{c}'" for c in P.CLITICS) + " end"
+_VERBAL = f"(regexp_matches(word, '^(?:{Y._alt((*V.PRESENT_PREFIXES, 'نا'))})') or regexp_matches(word, '^(?:{Y._alt(G.TRANSITIVE)})') or regexp_matches(regexp_extract(word, '{graph._FRONT}', 1), '^(?:{Y._alt(G.TRANSITIVE)})'))"
+
+
+@query(
+    f"""with {_TOKENS}, cl0 as (select *, {_FITS} as c from (select distinct token as word from placed) where not {_VERBAL}), probes as (select word, c, case when c = 'ی' then word else left(word, length(word) - length(c)) || 'ی' end as token from cl0 where c is not null),
+    {Y.FEATURES[len(Y.TOKENS) + 1 :].replace("from d where token not in", "from (select distinct token from probes) where token not in").replace("as rule from d)", "as rule from (select distinct token from probes))")},
+    links as (select f.token, f.gcase = 'ez' as ez, coalesce(h.cl = 'ی' and h.pos <> 'VERB', false) as unclear from features f left join hosts h on h.token = f.token),
+    bears as (select p.word from probes p join links l on l.token = p.token where case when p.c = 'ی' then not l.unclear else not l.ez end)
+    select s.doc_id, s.pos, (count(b.word) >= 2)::bigint as violations from split s left join placed x on x.doc_id = s.doc_id and x.pos = s.pos left join bears b on b.word = x.token group by 1, 2"""
+)
+def agreement_clitics(spark, sf):
+    return _checked(spark, sf).select(*KEY, F.col("clitic_consistency").alias("violations"))
+
+
+def _swap(a: str, b: str) -> str:
+    return f"case when contains(token, '{a}') then regexp_replace(token, '{a}', '{b}') end"
+
+
+@query(
+    f"""with {_TOKENS}, known as (select distinct word from (select doc_id, unnest(regexp_split_to_array(s, '[\\s\\x0B]+')) as word from ar) where word <> '' and (doc_id % 3 > 0 or not regexp_matches(word, '[{_LETTERS}]'))),
+    o as (select token, unnest(list_filter([{', '.join(_swap(a, b) for a, b in A.CONFUSED.items())}], lambda x: x is not null)) as other from (select distinct token from placed) where token not in (select word from known)), bad as (select distinct token from o where other in (select word from known))
+    select s.doc_id, s.pos, count(b.token) as violations from split s left join placed x on x.doc_id = s.doc_id and x.pos = s.pos left join bad b on b.token = x.token group by 1, 2"""
+)
+def agreement_orthography(spark, sf):
+    """Tokens that are unknown and known with one letter replaced; some words with such letters are left out of the known ones."""
+    return A.check_sentences(_rows(spark, sf), "s", *KEY, known=_known(spark, sf)).select(*KEY, F.col("orthography").alias("violations"))

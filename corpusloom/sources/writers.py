@@ -32,9 +32,9 @@ def write_parallel(df: DataFrame, path: str, *order: str) -> None:
     """source and target lines in one order, in <path>/src and <path>/tgt, whose part files have the same rows: one job sorts and writes
     both, so that no bounds of ranges are drawn twice. A line break in a text becomes a space; nulls are empty lines."""
     line = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\r\n]+", " ")
-    rows = df.select(*order, "source", "target").repartitionByRange(*order, "source", "target")
-    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), line(c).alias("value")) for n, c in (("src", "source"), ("tgt", "target")))))
-    rows = rows.select(*order, "source", "target", sides.alias("s")).select("*", "s.*").sortWithinPartitions("side", *order, "source", "target")
+    rows = df.select(*order, "source", "target").repartitionByRange(*order, "source", "target").sortWithinPartitions(*order, "source", "target")
+    sides = F.array(*(F.struct(F.lit(n).alias("side"), line(c).alias("value")) for n, c in (("src", "source"), ("tgt", "target"))))
+    rows = rows.select(F.monotonically_increasing_id().alias("at"), sides.alias("s")).select("at", F.inline("s")).sortWithinPartitions("side", "at")
     both = f"{path}/_both-{uuid.uuid4().hex}"
     rows.select("side", "value").write.partitionBy("side").text(both)
     files = df.sparkSession._jvm.org.apache.hadoop.fs
