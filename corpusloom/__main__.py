@@ -16,6 +16,7 @@ from corpusloom.operators import sampling as M
 from corpusloom.operators import statistics as T
 from corpusloom.sources import readers as R
 from corpusloom.sources import writers
+from corpusloom.streaming import lines as L
 
 KEY = ("file", "line_no")
 
@@ -85,6 +86,12 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return out
 
 
+def collect(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """New lines of a folder of text files, normalized and without repeated ones, added to those of earlier runs with the same output."""
+    L.collect(spark, a.input, f"{a.output}/lines", f"{a.output}/state")
+    return spark.read.parquet(f"{a.output}/lines").agg(F.count("*").alias("lines"))
+
+
 def manifest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Digests and sizes of all files of a folder."""
     rows = R.manifest(spark, a.input)
@@ -95,7 +102,7 @@ def manifest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 COMMANDS: dict[str, tuple[Callable, dict]] = {
     "sanitize": (sanitize, {"threshold": 0.9, "detect": False}), "normalize": (normalize, {"categories": False, "strict": False, "skip_sanitizer": False, "skip_gate": False}),
     "balance": (balance, {"target": 50_000, "least": 100, "seed": 42}), "generate": (generate, {"target": 50_000, "ratio": 0.7, "rate": 0.15, "seed": 42}),
-    "split": (split, {"train": 0.8, "dev": 0.1, "seed": 42, "stratify": "", "group": ""}), "statistics": (statistics, {}), "evaluate": (evaluate, {"reference": "", "hypotheses": ""}), "manifest": (manifest, {}),
+    "split": (split, {"train": 0.8, "dev": 0.1, "seed": 42, "stratify": "", "group": ""}), "statistics": (statistics, {}), "evaluate": (evaluate, {"reference": "", "hypotheses": ""}), "manifest": (manifest, {}), "collect": (collect, {}),
 }
 
 
@@ -112,13 +119,6 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def register(spark: SparkSession) -> None:
-    """Functions for SQL: corrupt_sentence(text, key), m2_edits(source, target), span_edits(source, target)."""
-    spark.udf.register("corrupt_sentence", F.udf(lambda text, key: G.corrupt(text or "", str(key))[0], "string"))
-    spark.udf.register("m2_edits", F.udf(lambda a, b: sorted(E.m2_edits((a or "").split(), (b or "").split())), "array<struct<start:int,end:int,correction:string>>"))
-    spark.udf.register("span_edits", F.udf(lambda a, b: E.span_edits((a or "").split(), (b or "").split()), E.SPAN))
-
-
 def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()

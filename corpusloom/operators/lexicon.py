@@ -29,6 +29,45 @@ def decompose(words: DataFrame, dictionary: DataFrame, affixes: DataFrame) -> Da
     return found.withColumnRenamed("surface", "base").select("word", "base", "kind", "add", "flag", "pos", "flags")
 
 
+def _crossing(affixes: DataFrame, headers: DataFrame) -> DataFrame:
+    """Prefix rules of flags whose prefixes go with suffixes; headers: see sources.readers.parse_affix_headers()."""
+    flags = headers.where("kind = 'PFX' and `cross`").select("flag").distinct()
+    return affixes.where("kind = 'PFX'").join(F.broadcast(flags), "flag", "left_semi")
+
+
+def decompose_both(words: DataFrame, dictionary: DataFrame, affixes: DataFrame, headers: DataFrame) -> DataFrame:
+    """word, base, prefix, suffix, flag, pos, flags: dictionary entries from which a prefix and a suffix of one flag make the word.
+
+    The two meet in the middle: words are cut by prefix rules, what is left by suffix rules of the same flag, and only what both leave
+    meets the dictionary; no table of pairs of rules is made. A rule's condition is looked for in what stripping it gives.
+    """
+    n = F.length("word")
+    cuts = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(0), n)).alias("i")).select("word", F.expr("left(word, i)").alias("add"), F.expr("substring(word, i + 1)").alias("rest"))
+    before = cuts.join(F.broadcast(_crossing(affixes, headers)), "add").withColumn("middle", F.concat("strip", "rest")).where(F.expr("middle rlike concat('^', condition)"))
+    before = before.select("word", F.col("add").alias("prefix"), "flag", "middle").distinct()
+    cut = before.select("*", F.explode(F.sequence(F.lit(0), F.length("middle"))).alias("i")).select("word", "prefix", "flag", F.expr("left(middle, i)").alias("rest"), F.expr("substring(middle, i + 1)").alias("add"))
+    both = cut.join(F.broadcast(affixes.where("kind = 'SFX'").drop("kind")), ["flag", "add"]).withColumn("surface", F.concat("rest", "strip")).where(F.expr("surface rlike concat(condition, '$')"))
+    found = both.select("word", "prefix", F.col("add").alias("suffix"), "flag", "surface").distinct().join(dictionary, "surface").where(F.expr("contains(flags, flag)"))
+    return found.select("word", F.col("surface").alias("base"), "prefix", "suffix", "flag", "pos", "flags")
+
+
+# Fixed value: diacritics one behind the other.
+DOUBLED = "[\u064b-\u065f]{2,}"
+
+
+def forms(dictionary: DataFrame, affixes: DataFrame, headers: DataFrame) -> DataFrame:
+    """base, flag, form: the entry itself, what one rule makes of it, and a prefix rule with a suffix rule where its flag allows both.
+    Forms with doubled diacritics go, unless an entry has no others."""
+    entries = dictionary.select(F.col("surface").alias("base"), F.explode(F.filter(F.split("flags", ""), lambda f: f != "")).alias("flag")).distinct()
+    one = generate(dictionary, affixes)
+    begun = generate(dictionary, _crossing(affixes, headers)).select("base", "flag", F.col("form").alias("surface"), F.col("flag").alias("flags"))
+    two = begun.join(generate(begun.select("surface", "flags").distinct(), affixes.where("kind = 'SFX'")).select(F.col("base").alias("surface"), "flag", "form"), ["surface", "flag"]).select("base", "flag", "form")
+    every = entries.withColumn("form", F.col("base")).unionByName(one).unionByName(two).distinct()
+    right = Window.partitionBy("base", "flag")
+    every = every.withColumn("_ok", ~F.col("form").rlike(DOUBLED))
+    return every.withColumn("_any", F.max("_ok").over(right)).where("_ok or not _any").drop("_ok", "_any")
+
+
 def generate(dictionary: DataFrame, affixes: DataFrame) -> DataFrame:
     """base, flag, form: what the rules of an entry's flags make of it."""
     entries = dictionary.select("surface", F.explode(F.filter(F.split("flags", ""), lambda f: f != "")).alias("flag"))

@@ -90,6 +90,44 @@ def affix_decompose(spark, sf):
     return L.decompose(words, _dictionary(spark), _affixes(spark)).select("word", "base", "kind", "add")
 
 
+#: An affix file for Latin words, and a dictionary of the benchmark's words, whose flags their digests choose.
+LATIN = ["TRY eé", "SFX A Y 3", "SFX A 0 s .", "SFX A e ing e", "SFX A 0 er [^e]", "PFX A Y 2", "PFX A 0 re .", "PFX A e in e", "SFX B Y 1", "SFX B 0 ed .", "PFX B N 1", "PFX B 0 un .", "REP 1", "REP ph f"]
+
+
+def _latin(spark):
+    lines = _lines(spark, LATIN)
+    return R.parse_affixes(lines), R.parse_affix_headers(lines)
+
+
+def _latin_dictionary(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-zé]+")).alias("surface")).where("surface <> ''").distinct()
+    h = F.substring(F.md5("surface"), 1, 1)
+    return words.where(h < "c").select("surface", F.when(h < "6", "A").when(h < "9", "B").otherwise("AB").alias("flags"), F.lit("").alias("pos"))
+
+
+_LATIN_SQL = """with words as (select distinct unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-zé]+')) as word from documents), dic as (select word as surface, case when substr(md5(word), 1, 1) < '6' then 'A' when substr(md5(word), 1, 1) < '9' then 'B' else 'AB' end as flags from words where word <> '' and substr(md5(word), 1, 1) < 'c'),
+  sfx as (select * from (values ('A', '', 's', '.'), ('A', 'e', 'ing', 'e'), ('A', '', 'er', '[^e]'), ('B', '', 'ed', '.')) s(flag, strip, "add", cond)), pfx as (select * from (values ('A', '', 're', '.', true), ('A', 'e', 'in', 'e', true), ('B', '', 'un', '.', false)) p(flag, strip, "add", cond, crosses)),
+  ended as (select surface, s.flag, s."add" as suffix, substr(surface, 1, length(surface) - length(strip)) || s."add" as middle from dic join sfx s on contains(flags, s.flag) where ends_with(surface, strip) and regexp_matches(surface, cond || '$')),
+  both_ as (select surface, e.flag, suffix, p."add" as prefix, p."add" || substr(middle, length(p.strip) + 1) as form from ended e join pfx p on p.flag = e.flag and p.crosses where starts_with(middle, p.strip) and regexp_matches(middle, '^' || p.cond))"""
+
+
+@query(f"{_LATIN_SQL} select distinct form as word, surface as base, prefix, suffix, flag from both_ where form in (select word from words where word <> '')")
+def affix_two_sided(spark, sf):
+    """Words of all documents that a prefix and a suffix make of a word of the dictionary."""
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-zé]+")).alias("word")).where("word <> ''")
+    return L.decompose_both(words, _latin_dictionary(spark, sf), *_latin(spark)).select("word", "base", "prefix", "suffix", "flag")
+
+
+@query(
+    f"""{_LATIN_SQL}, begun as (select surface, p.flag, p."add" || substr(surface, length(p.strip) + 1) as form, crosses from dic join pfx p on contains(flags, p.flag) where starts_with(surface, p.strip) and regexp_matches(surface, '^' || p.cond)),
+    two as (select b.surface, b.flag, substr(b.form, 1, length(b.form) - length(s.strip)) || s."add" as form from begun b join sfx s on s.flag = b.flag where b.crosses and ends_with(b.form, s.strip) and regexp_matches(b.form, s.cond || '$'))
+    select flag, count(*) as n, count(distinct form) as forms from (select surface, flag, surface as form from dic, (values ('A'), ('B')) f(flag) where contains(flags, flag) union select surface, flag, middle from ended union select surface, flag, form from begun union select * from two) group by flag"""
+)
+def affix_forms(spark, sf):
+    """All forms of the dictionary's words, counted by flag."""
+    return L.forms(_latin_dictionary(spark, sf), *_latin(spark)).groupBy("flag").agg(F.count("*").alias("n"), F.countDistinct("form").alias("forms"))
+
+
 @query(f"""select surface as base, case when kind = 'SFX' then substr(surface, 1, length(surface) - length(strip)) || "add" else "add" || substr(surface, length(strip) + 1) end as form from {_DIC}, {_AFF} where contains(flags, flag) and case when kind = 'SFX' then ends_with(surface, strip) and regexp_matches(surface, condition || '$') else starts_with(surface, strip) and regexp_matches(surface, '^' || condition) end""")
 def affix_generate(spark, sf):
     return L.generate(_dictionary(spark), _affixes(spark)).select("base", "form")

@@ -104,6 +104,26 @@ def parse_affixes(lines: DataFrame) -> DataFrame:
     return rows.select(f[0].alias("kind"), f[1].alias("flag"), empty(f[2]).alias("strip"), empty(F.split(f[3], "/")[0]).alias("add"), F.coalesce(F.get(f, F.lit(4)), F.lit(".")).alias("condition"))
 
 
+def parse_affix_headers(lines: DataFrame) -> DataFrame:
+    """kind, flag, cross (whether it goes with affixes of the other kind), rules (number) of the headers of affix files (text)."""
+    f = F.split(F.trim("text"), r"\s+")
+    rows = lines.where(F.col("text").rlike(r"^(PFX|SFX)\s+\S+\s+[YN]\s+\d+\s*$"))
+    return rows.select(f[0].alias("kind"), f[1].alias("flag"), (f[2] == "Y").alias("cross"), f[3].cast("int").alias("rules"))
+
+
+def parse_affix_options(lines: DataFrame) -> DataFrame:
+    """option, values of the other lines of affix files: TRY, IGNORE, COMPOUNDFLAG and the like, but no REP and no comments."""
+    f = F.split(F.trim("text"), r"\s+")
+    return lines.where(F.col("text").rlike(r"^[A-Z]+\s+\S") & ~F.col("text").rlike(r"^(PFX|SFX|REP)\s")).select(f[0].alias("option"), F.slice(f, F.lit(2), F.size(f) - 1).alias("values"))
+
+
+def parse_replacements(lines: DataFrame) -> DataFrame:
+    """rule_no (from 0, in order), pattern, replacement of REP lines (line_no, text); underscores stand for spaces."""
+    f = F.split(F.trim("text"), r"\s+")
+    rows = lines.where(F.col("text").rlike(r"^REP\s+\S+\s+\S+\s*$")).select("line_no", f[1].alias("pattern"), F.replace(f[2], F.lit("_"), F.lit(" ")).alias("replacement"))
+    return rows.withColumn("rule_no", F.row_number().over(Window.orderBy("line_no")) - 1).select("rule_no", "pattern", "replacement")  # a few dozen rules
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """rater_id, source, corrected, rating of ratings_*.jsonl files."""
     rows = spark.read.schema("source string, corrected string, rating string").option("pathGlobFilter", "ratings_*.jsonl").json(path)

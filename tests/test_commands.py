@@ -3,6 +3,7 @@
 import json
 
 from corpusloom import __main__ as C
+from corpusloom.operators import sql_functions
 
 GOOD = "ئەم ڕستەیە بۆ تاقیکردنەوەی پڕۆگرامەکەی من دەچێت ژمارە"
 
@@ -29,5 +30,8 @@ def test_commands(spark, tmp_path, capsys):
     assert "| 1 | 0 | 0 | 1.0 | 1.0 | 1.0 | 0.0 | 0.0 |" in capsys.readouterr().out
     C.main(["manifest", str(lines), f"{tmp_path}/m"])
     assert "| 1 |" in capsys.readouterr().out
-    C.register(spark)
+    for n in (7, 7):  # again: nothing is new
+        C.main(["collect", str(lines), f"{tmp_path}/c"])
+        assert f"| {n} |" in capsys.readouterr().out
+    sql_functions.register(spark)
     assert spark.sql("select m2_edits('a b', 'a c') as e").first().e[0].correction == "c"
