@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, groupby
@@ -14,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import let
 
 SPAN = "array<struct<start:int,end:int,src:string,tgt:string,type:string>>"
 
@@ -277,29 +277,31 @@ def rater_pairs(ratings: DataFrame) -> DataFrame:
     return out.select(*by, "n", F.round("po", 4).alias("agreement"), F.round(F.when(F.col("pe") > 1 - 1e-10, 0.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 4).alias("kappa"))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """array<string>: n-grams, words joined by U+0001."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x01"))
-    return let(tokens, lambda t: F.when(F.size(t) >= n, one(t)).otherwise(F.array().cast("array<string>")))
+def _gleu(sources: pd.Series, hypotheses: pd.Series, references: pd.Series, most: int) -> pd.Series:
+    """GLEU of each row's tokens: the counts of its n-grams stay in the row."""
+    out = []
+    for s, h, r in zip(sources, hypotheses, references, strict=True):
+        if h is None or r is None or not len(h) or not len(r):
+            out.append(0.0)
+            continue
+        logs = []
+        for n in range(1, min(most, len(h)) + 1):
+            gs, gh, gr = (Counter(zip(*(t[k:] for k in range(n)))) for t in (list(() if s is None else s), list(h), list(r)))
+            right = sum(min(c, gr[g]) for g, c in gh.items())
+            wrong = sum(min(c, max(gs[g] - gr[g], 0)) for g, c in gh.items())
+            logs.append(math.log(min((max(right - wrong, 0) + 1) / (len(h) - n + 2), (right + 1) / (max(len(r) - n + 1, 0) + 1))))
+        out.append((math.exp(1 - len(r) / len(h)) if len(h) < len(r) else 1.0) * math.exp(sum(logs) / len(logs)))
+    return pd.Series(out, dtype="float64")
 
 
 def sentence_gleu(df: DataFrame, *key: str, most: int = 4) -> DataFrame:
-    """key, gleu of columns source, hypothesis, reference (arrays of tokens)."""
-    def tagged(who: str, n: int) -> Column:
-        g = ngrams(F.col(who), n)
-        return F.transform(g, lambda x: F.struct(x.alias("g"), F.lit(n).alias("n"), F.lit(who[0]).alias("who")))
-
-    grams = [tagged(who, n) for who in ("source", "hypothesis", "reference") for n in range(1, most + 1)]
-    rows = df.select(*key, F.explode(F.concat(*grams)).alias("x")).select(*key, "x.n", "x.who", "x.g")
-    one = rows.groupBy(*key, "n", "g").agg(*(F.count_if(F.col("who") == w).alias(w) for w in "shr"))
-    tp, fp = F.least("h", "r"), F.least(F.col("h"), F.greatest(F.col("s") - F.col("r"), F.lit(0)))
-    by = one.groupBy(*key, "n").agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0")
-    score = F.least((F.greatest(F.col("tp") - F.col("fp"), F.lit(0)) + 1) / (F.col("h") + 1), (F.col("tp") + 1) / (F.col("r") + 1))
-    mean = by.groupBy(*key).agg(F.exp(F.avg(F.log(score))).alias("mean"))
-    nh, nr = F.size("hypothesis"), F.size("reference")
-    out = df.join(mean, list(key), "left")
-    brevity = F.when(nh < nr, F.exp(1 - nr / F.greatest(nh, F.lit(1)))).otherwise(1.0)
-    return out.select(*key, F.when((nh == 0) | (nr == 0), 0.0).otherwise(brevity * F.coalesce("mean", F.lit(0.0))).alias("gleu"))
+    """key, gleu of columns source, hypothesis, reference (arrays of tokens). N-grams are counted row by row, on Arrow batches, so nothing
+    is shuffled; an empty or null hypothesis or reference gives 0."""
+
+    def score(sources: pd.Series, hypotheses: pd.Series, references: pd.Series) -> pd.Series:
+        return _gleu(sources, hypotheses, references, most)
+
+    return df.select(*key, F.pandas_udf(score, "double")("source", "hypothesis", "reference").alias("gleu"))
 
 
 def char_error_rate(df: DataFrame) -> DataFrame:

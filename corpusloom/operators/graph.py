@@ -19,6 +19,8 @@ from corpusloom.operators import morphology as M
 from corpusloom.sources.writers import scratch_folder
 
 _FRONT = "^(?:" + "|".join(G.PREFIXES) + ")(.+)$"
+#: Features of tokens that edges or their violations ask for.
+KEPT = ("pos", "person", "number", "tense", "aspect", "case", "definiteness", "transitivity")
 KINDS = ("pronoun", "bare", "subject_noun", "boundary", "verb", "existential", "host")
 
 
@@ -58,12 +60,12 @@ def verb_classes(features: DataFrame) -> DataFrame:
         "boundary": F.col("pos").isin("PUNCT", "SCONJ") | t.isin(*G.SUBORDINATING) | ((t == G.AND) & (F.col("pos") == "CCONJ")) | (tense == "infinitive"),
         "existential": t.isin(*G.EXISTENTIAL_FORMS) | _has_stem(t, G.EXISTENTIAL_STEMS), "host": verb | _begins(t, G.VERB_PREFIXES),
     }
-    return rows.withColumns(kinds).drop("_trans", "_intrans", "_ending", "_inferred")
+    return rows.withColumns(kinds).select("token", *KEPT, *KINDS, "law", "passive", "wistin", "vtense")
 
 
 def _save(df: DataFrame) -> DataFrame:
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -282,7 +284,7 @@ def agreement_edges(tokens: DataFrame, *key: str) -> DataFrame:
     return _save(reduce(DataFrame.unionByName, every).dropDuplicates([*key, "source", "target", "type"]))
 
 
-CHECKED = ("person", "number", "tense", "aspect", "case", "definiteness", "transitivity")
+CHECKED = tuple(f for f in KEPT if f != "pos")
 
 
 def violations(tokens: DataFrame, edges: DataFrame, *key: str) -> DataFrame:

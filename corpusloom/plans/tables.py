@@ -13,9 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its table is fewer files than there are cores: a small file is one task, whatever is done with its rows.
+    A table of many files is as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, lang, source, s: sentences of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
 
 
