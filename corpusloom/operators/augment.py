@@ -23,12 +23,12 @@ def random_deletion(text: Column, key: Column, p: float = 0.1, seed: int = 42) -
     return let(words(text), cut)
 
 
-def random_swap(text: Column, key: Column, seed: int = 42) -> Column:
-    """One pair of neighbouring words changes places; a single word stays as it is."""
+def random_swap(text: Column, key: Column, seed: int = 42, swaps: int = 1) -> Column:
+    """`swaps` times, one after the other, a pair of neighbouring words changes places; a single word stays as it is."""
 
-    def swap(w: Column) -> Column:
-        i = (_draw("swap", seed, key, F.lit(0)) % F.greatest(F.size(w) - 1, F.lit(1))).cast("int")
-        moved = F.transform(w, lambda x, k: F.when(k == i, F.get(w, i + 1)).when(k == i + 1, F.get(w, i)).otherwise(x))
-        return F.array_join(F.when(F.size(w) > 1, moved).otherwise(w), " ")
+    def swap(w: Column, k: Column) -> Column:
+        i = (_draw("swap", seed, key, k) % F.greatest(F.size(w) - 1, F.lit(1))).cast("int")
+        moved = F.transform(w, lambda x, j: F.when(j == i, F.get(w, i + 1)).when(j == i + 1, F.get(w, i)).otherwise(x))
+        return F.when(F.size(w) > 1, moved).otherwise(w)
 
-    return let(words(text), swap)
+    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(max(swaps, 1) - 1)), words(text), swap), " ") if swaps > 0 else F.array_join(words(text), " ")

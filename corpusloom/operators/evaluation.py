@@ -373,3 +373,10 @@ def majority_vote(df: DataFrame, key: str, candidate: str, pos: str) -> DataFram
     """key, winner: the most frequent candidate; of equals, the one that comes first."""
     counts = df.groupBy(key, candidate).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
     return counts.groupBy(key).agg(F.max_by(candidate, F.struct("n", (-F.col("first")).alias("f"))).alias("winner"))
+
+
+def best_score(df: DataFrame, key: str, candidate: str, score: str, pos: str) -> DataFrame:
+    """key, best: the candidate of the highest score, of equals the first; where no score is above 0, the first of all. A null score is 0."""
+    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+    best = F.max_by(candidate, F.struct(value.alias("s"), (-F.col(pos)).alias("p")))
+    return df.groupBy(key).agg(F.when(F.max(value) > 0, best).otherwise(F.min_by(candidate, pos)).alias("best"))

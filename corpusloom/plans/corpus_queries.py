@@ -240,8 +240,15 @@ def majority_vote(spark, sf):
 
 @query(f"with {PAIRS} select doc_id, pos, case when length(source) >= length(hypothesis) then source else hypothesis end as best from pairs")
 def best_score(spark, sf):
-    rows = pairs(spark, sf).select(*KEY, F.posexplode(F.array("source", "hypothesis")).alias("p", "c"))
-    return rows.groupBy(*KEY).agg(F.max_by("c", F.struct(F.length("c").alias("score"), (-F.col("p")).alias("p"))).alias("best"))
+    rows = pairs(spark, sf).select(F.struct(*KEY).alias("k"), F.posexplode(F.array("source", "hypothesis")).alias("p", "c")).withColumn("score", F.length("c"))
+    return E.best_score(rows, "k", "c", "score", "p").select("k.*", "best")
+
+
+@query(f"with {PAIRS} select doc_id, pos, case when greatest(length(hypothesis), length(reference)) <= 40 or length(hypothesis) >= length(reference) then hypothesis else reference end as best from pairs")
+def best_score_or_first(spark, sf):
+    """Scores that can be below 0: where none is above, the first candidate counts."""
+    rows = pairs(spark, sf).select(F.struct(*KEY).alias("k"), F.posexplode(F.array("hypothesis", "reference")).alias("p", "c")).withColumn("score", F.length("c") - 40)
+    return E.best_score(rows, "k", "c", "score", "p").select("k.*", "best")
 
 
 # Sentences whose only edit is the first word: counts that SQL can give.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import filters as S
 from corpusloom.functions import profile as P
 from corpusloom.functions import text as T
+from corpusloom.operators import flow as W
 from corpusloom.operators.augment import random_deletion, random_swap
 from corpusloom.operators.unicode import nfc
 from corpusloom.plans.tables import AR, SENTS, script_sentences, sentences, table
@@ -244,6 +245,11 @@ def detect_filter(spark, sf):
     return script_sentences(spark, sf).where((F.length(s) > 20) & (F.length(s) < 500) & S.detect(s)["is_sorani"]).select(*KEY, s.alias("out"))
 
 
+@query(f"with {_detect_sql()} select case when not (length(s) > 20 and length(s) < 500) then 'length' when conf >= 0.55 then 'kept' else 'not_sorani' end as reason, count(*) as n from g group by 1")
+def detect_filter_counts(spark, sf):
+    return W.drop_reasons(W.language_filtered(script_sentences(spark, sf), "s"))
+
+
 _NAMES = ["morphology_thesis.txt", "historical_kurdistan.txt", "random_file_12345.txt", "law_journal.txt", "AI_notes.txt", "poetry_and_novel.txt", "data_market_math.txt", "سیاسی.txt"]
 
 

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.filters import infer_category
+from corpusloom.functions.filters import detect, infer_category
 from corpusloom.functions.profile import CATEGORIES, DIRECTORY_CATEGORY
-from corpusloom.functions.text import strip, wiki_markup
+from corpusloom.functions.text import sentences, strip, wiki_markup
 
 ERRORS = "array<struct<type:string,original:string,error:string,start:int,end:int,description:string>>"
 PAIR = f"original string, corrupted string, source string, target string, errors {ERRORS}, source_id string, category string"
@@ -37,6 +37,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(file.alias("file"), F.element_at(F.split(file, "/"), -2).alias("category"), F.regexp_replace("value", "^\\ufeff", "").alias("text"))
 
 
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """file, category, pos, sentence of all *.txt files below path."""
+    return read_documents(spark, path).select("file", "category", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+
+
 def parse_pairs(lines: DataFrame, column: str = "text") -> DataFrame:
     """PAIR's fields, raw, and bad: true for lines that are not JSON objects with a source and a target."""
     p = F.from_json(column, PAIR)
@@ -81,10 +86,10 @@ def parse_m2(lines: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("edits", F.transform("edits", lambda e: e.dropFields("line_no")))
 
 
-def format_m2(sentences: DataFrame) -> DataFrame:
+def format_m2(rows: DataFrame) -> DataFrame:
     """sent_id, block: the text of each sentence in M2."""
     line = lambda e: F.concat(F.lit("A "), e["start"].cast("string"), F.lit(" "), e["end"].cast("string"), F.lit("|||"), e["error_type"], F.lit("|||"), e["correction"], F.lit("|||REQUIRED|||-NONE-|||"), e["annotator"].cast("string"))
-    return sentences.select("sent_id", F.concat_ws("\n", F.concat(F.lit("S "), "source"), F.transform("edits", line), F.lit("")).alias("block"))
+    return rows.select("sent_id", F.concat_ws("\n", F.concat(F.lit("S "), "source"), F.transform("edits", line), F.lit("")).alias("block"))
 
 
 def parse_dictionary(lines: DataFrame) -> DataFrame:
@@ -136,6 +141,13 @@ def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", wiki_markup(F.coalesce("revision.text._VALUE", F.lit(""))).alias("text"))
 
 
+def wiki_sentences(spark: SparkSession, path: str, least: int = 20, most: int = 500, language: bool = True) -> DataFrame:
+    """title, pos, sentence of a MediaWiki dump: of more than least and less than most characters and, with language, in Central Kurdish."""
+    rows = read_wiki_dump(spark, path).select("title", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = rows.where((F.length("sentence") > least) & (F.length("sentence") < most))
+    return rows.where(detect(F.col("sentence"))["is_sorani"]) if language else rows
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, size_bytes of all files below path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
