@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import graph_profile as G
 from corpusloom.functions import verb_profile as V
 from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, MARKS, ORTHOGRAPHY, PARTICIPLES, PREPOSITIONS, inject
+from corpusloom.operators import noun_errors as N
 from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, VERB_BEGINNINGS, connectors, whitespace, word_order
 from corpusloom.plans.tables import AR, script_sentences
 
@@ -109,3 +111,33 @@ SQL["inject_word_order"] = f"""with {AR}, t as (select doc_id, pos, list_filter(
   select doc_id, pos, case when verb then array_to_string(ws[1:1] || ws[-1:] || ws[2:-2], ' ')
       when len(ws) >= 4 then array_to_string(ws[1:i-1] || [ws[i+1], ws[i]] || ws[i+2:], ' ') else array_to_string(ws, ' ') end as corrupted,
     cast(verb or (len(ws) >= 4 and ws[i] <> ws[i+1]) as bigint) as n_errors from u"""
+
+
+_NOUNS = ("کتێبی باش هات", "کوڕی مامۆستا هات", "کتێبەکە باش", "پیاوەکان هاتن", "ئاوەکان", "ئەم کتێبە", "ئەو پیاوەکە", "قوتابییان هاتن", "ئاو هات", "هەولێر جوان", "کتێبی کوڕی گەورە", "ماڵی تۆ ی")
+
+
+def inject_noun_adjective_agreement(spark, sf):
+    """Each sentence follows a noun phrase."""
+    pick = F.element_at(F.array(*map(F.lit, _NOUNS)), (F.pmod("doc_id", F.lit(len(_NOUNS))) + 1).cast("int"))
+    return _sentence_query(_sentences(spark, sf).withColumn("s", F.concat_ws(" ", pick, "s")), N.noun_adjective, 1.0)
+
+
+def _choice(forms) -> str:
+    return f"([{', '.join(f"'{x}'" for x in forms)}])[d % {len(forms)} + 1]"
+
+
+Q["inject_noun_adjective_agreement"] = inject_noun_adjective_agreement
+SQL["inject_noun_adjective_agreement"] = f"""with {AR}, t as (select doc_id, pos, string_split(([{', '.join(f"'{x}'" for x in _NOUNS)}])[doc_id % {len(_NOUNS)} + 1] || ' ' || {_FOLLOWED}, ' ') as ws from ar),
+  w0 as (select doc_id, pos, unnest(ws) as t, generate_subscripts(ws, 1) - 1 as i from t), w1 as (select *, coalesce(lead(t) over (partition by doc_id, pos order by i), '') as nt from w0),
+  w2 as (select *, ends_with(t, 'ی') and length(t) >= 2 and nt <> '' as lk, {_drawn('noun_adjective_agreement', 'i')} as d, nt in ({', '.join(f"'{x}'" for x in N.ADJECTIVES)}) as known from w1),
+  w3 as (select *, lk and (i - coalesce(max(case when not lk then i end) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), -1)) % 2 = 1 and (known or length(nt) >= 3) as linked from w2),
+  w4 as (select *, linked or coalesce(lag(linked) over o, false) as covered, lead(linked) over o as nl from w3 window o as (partition by doc_id, pos order by i)),
+  w5 as (select *, not covered and regexp_matches(t, '^.{{2,}}(?:{N.SINGULAR}|{N.PLURAL})$') as definite, not covered and not linked and not coalesce(nl, false) and not regexp_matches(nt, '^.{{2,}}(?:{N.SINGULAR}|{N.PLURAL})$') and t in ('ئەم', 'ئەو') and regexp_matches(nt, '^.{{2,}}ە$') as shown from w4),
+  w6 as (select *, not covered and not shown and not coalesce(lag(shown) over (partition by doc_id, pos order by i), false) and not definite as alone from w5),
+  w7 as (select *, case when linked then case when known and d % 100 < 35 then t || ' ' || nt || 'ان' when d // 1000 % 10 < 4 then left(t, length(t) - 1) || ' ' || nt when d // 1000 % 10 < 7 then left(t, length(t) - 1) || 'ەکەی ' || nt else left(t, length(t) - 1) || 'یی ' || nt end
+      when definite then case when ends_with(t, '{N.SINGULAR}') then left(t, length(t) - 3) || '{N.PLURAL}' when left(t, length(t) - 4) not in ({', '.join(f"'{x}'" for x in G.MASS_NOUNS)}) then left(t, length(t) - 4) || '{N.SINGULAR}' end
+      when shown then t || ' ' || left(nt, length(nt) - 1) || {_choice(N.NOT_SHOWN)} when alone and regexp_matches(t, '^.+یان$') and length(t) >= 4 then left(t, length(t) - 3) || 'ان'
+      when alone and t in ({', '.join(f"'{x}'" for x in G.MASS_NOUNS)}) then t || {_choice(N.PLURALS)} when alone and t in ({', '.join(f"'{x}'" for x in G.PROPER_NOUNS)}) then t || {_choice(N.NOT_PROPER)} end as new from w6),
+  w8 as (select *, coalesce(lag(new is not null and (linked or shown)) over (partition by doc_id, pos order by i), false) as gone from w7),
+  u as (select doc_id, pos, string_agg(coalesce(new, t), ' ' order by i) as s, count(new) as n from w8 where not gone group by doc_id, pos)
+  select doc_id, pos, case when n > 0 then {_TIDY.format('s')} else s end as corrupted, n as n_errors from u"""
