@@ -1,4 +1,4 @@
-"""Synthetic errors of noun phrases as a column function: links, definiteness, demonstratives, plurals, mass and proper nouns."""
+"""Synthetic errors of noun phrases and of clitics as column functions: what a word becomes depends on its neighbours."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import graph_profile as G
+from corpusloom.functions import morph_profile as P
 from corpusloom.functions.text import let
 from corpusloom.operators.errors import _draw, tidied
 from corpusloom.operators.sentence_errors import _below, _error, _result
@@ -74,3 +75,58 @@ def noun_adjective(text: Column, key: Column, rate: float = 0.15, seed: int = 42
         return let(F.struct(pairs.alias("pairs")), finish)
 
     return let(F.split(text, " "), build)
+
+
+# What stands for a clitic, and how often of a hundred; passives, their stems and clitics; words without clitics; what makes
+# a last ی a clitic: beginnings of a verb or a mark behind it, or a definite ending before it.
+SWAPS = {"م": {"ت": 45, "ی": 35, "مان": 20}, "ت": {"م": 45, "ی": 35, "تان": 20}, "ی": {"م": 35, "ت": 35, "یان": 30}, "مان": {"تان": 45, "یان": 35, "م": 20}, "تان": {"مان": 45, "یان": 35, "ت": 20}, "یان": {"مان": 40, "تان": 40, "ی": 20}}
+PASSIVES, REASSIGNED = ("ڕام", "ڕای"), {"ت": "یت", "ی": "ێت", "مان": "ین", "تان": "ن", "یان": "ن"}
+PASSIVE_STEMS = (
+    "خوارد نووسی کرد بینی گوت برد خست دا کوشت فرۆشت گرت نارد شکاند خوێند گێڕا دۆزی کڕی فێرکرد ڕشت هێنا تاشی پێچا چنی پاراست دیت ویست ناسی زانی توانی بەخشی هاوشت شوشت لایەند بەست بیست کێڵا پێوا سپارد ژمارد بژارد شارد سووتاند "
+    "وەستاند خزاند مراند تەقاند ڕژاند کەواند نواند فراند بەزاند پساند وەراند"
+).split()
+INVARIANT, VERBS_BEHIND, MARKS_BEHIND, DEFINITE_BEFORE = (*P.REFLEXIVES, "یەکتر", "یەکدی"), ("دە", "نا", "نە", "ب"), ".،؛؟!:)", ("ەکە", "ەکان")
+WORD = r"[\p{L}\p{N}_]+$"
+CLITIC_KIND = "clitic_form"
+
+
+def clitic_form(text: Column, key: Column, rate: float = 0.15, seed: int = 42) -> Column:
+    """struct<corrupted, errors> as of errors.inject(); single spaces separate words. A clitic at a word's end becomes another one, by fixed
+    weights; a passive's the one of the other set. A last ی counts where a verb or a mark follows, or nothing, or the noun is definite: else
+    it links the noun. The word behind is the next one, also where the same word stood before."""
+
+    def build(w: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def site(i: Column) -> Column:
+            tail = F.regexp_extract(at(i), WORD, 0)
+            clitic = F.regexp_extract(tail, f"^.+?({'|'.join(P.CLITICS)})$", 1)
+            stem = F.substring(tail, F.lit(1), F.length(tail) - F.length(clitic))
+            free = (at(i + 1) == "") | at(i + 1).rlike(f"^(?:{'|'.join(VERBS_BEHIND)}|[{MARKS_BEHIND}])") | stem.rlike(f"(?:{'|'.join(DEFINITE_BEFORE)})$")
+            fits = (clitic != "") & (F.length(stem) >= 2) & ~tail.isin(*INVARIANT) & ((clitic != "ی") | free)
+            d = _draw(f"{seed}:{CLITIC_KIND}:form", key, i) % 100
+
+            def other(forms: dict[str, int]) -> Column:
+                out, below = None, 0
+                for form, share in forms.items():
+                    below += share
+                    out = F.when(d < below, form) if out is None else out.when(d < below, form)
+                return out
+
+            swapped = F.coalesce(*(F.when(clitic == c, other(forms)) for c, forms in SWAPS.items()))
+            passive = F.coalesce(*(F.when(tail.endswith(m) & F.substring(tail, F.lit(1), F.length(tail) - len(m)).isin(*PASSIVE_STEMS), F.lit(True)) for m in PASSIVES), F.lit(False))
+            moved = F.coalesce(*(F.when(clitic == c, new) for c, new in REASSIGNED.items()))
+            chosen = fits & _below(_draw(f"{seed}:{CLITIC_KIND}", key, i), rate)
+            return F.struct(i.alias("i"), tail.alias("tail"), F.when(chosen, F.concat(stem, F.when(passive & moved.isNotNull(), moved).otherwise(swapped))).alias("new"))
+
+        def join(sites: Column) -> Column:
+            head = lambda s: F.substring(at(s["i"]), F.lit(1), F.length(at(s["i"])) - F.length(s["tail"]))
+            out = F.array_join(F.transform(sites, lambda s: F.when(s["new"].isNotNull(), F.concat(head(s), s["new"])).otherwise(at(s["i"]))), " ")
+            start = lambda s: F.aggregate(F.slice(w, F.lit(1), s["i"]), F.lit(0), lambda a, t: a + F.length(t) + 1) + F.length(head(s))
+            errors = F.transform(F.filter(sites, lambda s: s["new"].isNotNull()), lambda s: _error(CLITIC_KIND, s["tail"], s["new"], start(s)))
+            return _result(F.when(F.size(errors) > 0, tidied(out)).otherwise(text), errors)
+
+        return let(F.transform(places, site), join)
+
+    return let(F.split(text, " "), build)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import graph_profile as G
+from corpusloom.functions import morph_profile as P
 from corpusloom.functions import verb_profile as V
 from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, MARKS, ORTHOGRAPHY, PARTICIPLES, PREPOSITIONS, inject
 from corpusloom.operators import noun_errors as N
@@ -141,3 +142,33 @@ SQL["inject_noun_adjective_agreement"] = f"""with {AR}, t as (select doc_id, pos
   w8 as (select *, coalesce(lag(new is not null and (linked or shown)) over (partition by doc_id, pos order by i), false) as gone from w7),
   u as (select doc_id, pos, string_agg(coalesce(new, t), ' ' order by i) as s, count(new) as n from w8 where not gone group by doc_id, pos)
   select doc_id, pos, case when n > 0 then {_TIDY.format('s')} else s end as corrupted, n as n_errors from u"""
+
+
+_HOSTS = ("کتێبمان هات", "کتێبەکەی جوان", "کتێبی باش", "کتێبی دەچێت", "خۆمان هاتین", "نووسیڕای", "نووسیڕام هات", "(کتێبت )", "ئەمی")
+
+
+def inject_clitic_form(spark, sf):
+    """Each sentence follows a word with a clitic, or one that looks like it."""
+    pick = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.pmod("doc_id", F.lit(len(_HOSTS))) + 1).cast("int"))
+    return _sentence_query(_sentences(spark, sf).withColumn("s", F.concat_ws(" ", pick, "s")), N.clitic_form, 1.0)
+
+
+def _weighted(forms: dict[str, int]) -> str:
+    below, out = 0, []
+    for form, share in forms.items():
+        below += share
+        out.append(f"when d < {below} then '{form}'")
+    return f"case {' '.join(out)} end"
+
+
+_IN = lambda x, words: f"{x} in ({', '.join(f"'{y}'" for y in words)})"
+Q["inject_clitic_form"] = inject_clitic_form
+SQL["inject_clitic_form"] = f"""with {AR}, t as (select doc_id, pos, string_split(([{', '.join(f"'{x}'" for x in _HOSTS)}])[doc_id % {len(_HOSTS)} + 1] || ' ' || {_FOLLOWED}, ' ') as ws from ar),
+  w0 as (select doc_id, pos, unnest(ws) as t, generate_subscripts(ws, 1) - 1 as i from t),
+  w1 as (select *, coalesce(lead(t) over (partition by doc_id, pos order by i), '') as nt, regexp_extract(t, '{N.WORD}') as tail, {_drawn('clitic_form', 'i')} % 100 as d from w0),
+  w2 as (select *, regexp_extract(tail, '^.+?({'|'.join(P.CLITICS)})$', 1) as c from w1), w3 as (select *, left(tail, length(tail) - length(c)) as stem from w2),
+  w4 as (select *, c <> '' and length(stem) >= 2 and not {_IN('tail', N.INVARIANT)} and (c <> 'ی' or nt = '' or regexp_matches(nt, '^(?:{'|'.join(N.VERBS_BEHIND)}|[{N.MARKS_BEHIND}])') or regexp_matches(stem, '(?:{'|'.join(N.DEFINITE_BEFORE)})$')) as fits,
+    {' or '.join(f"(ends_with(tail, '{m}') and {_IN(f'left(tail, length(tail) - {len(m)})', N.PASSIVE_STEMS)})" for m in N.PASSIVES)} as passive from w3),
+  w5 as (select *, case when fits then stem || case {' '.join(f"when passive and c = '{a}' then '{b}'" for a, b in N.REASSIGNED.items())} {' '.join(f"when c = '{a}' then {_weighted(b)}" for a, b in N.SWAPS.items())} end end as new from w4),
+  u as (select doc_id, pos, string_agg(case when new is null then t else left(t, length(t) - length(tail)) || new end, ' ' order by i) as s, count(new) as n from w5 group by doc_id, pos)
+  select doc_id, pos, case when n > 0 then {_TIDY.format('s')} else s end as corrupted, n as n_errors from u"""

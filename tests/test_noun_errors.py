@@ -1,4 +1,4 @@
-"""Errors of noun phrases on golden phrases: what can become of each, and where."""
+"""Errors of noun phrases and clitics on golden phrases: what can become of each, and where."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +26,24 @@ def test_phrases(spark, rate):
         assert seen == {(s, a, b): forms for s, sites in CASES.items() for a, b, forms in sites}
 
 
-def test_null(spark):
-    e = spark.createDataFrame([(None,)], "s string").select(N.noun_adjective(F.col("s"), F.lit("k")).alias("e")).first().e
+CLITICS = {
+    "کتێبمان": [(0, 7, {"کتێبتان", "کتێبیان", "کتێبم"})], "کتێبم باش": [(0, 5, {"کتێبت", "کتێبی", "کتێبمان"})], "کتێبی باش": [], "کتێبی دەکە": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبی": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبەکەی باش": [(0, 8, {"کتێبەکەم", "کتێبەکەت", "کتێبەکەیان"})],
+    "کتێبی ، باش": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "خۆمان": [], "یەکتر": [], "امان": [], "من": [], "(کتێبت": [(1, 6, {"کتێبم", "کتێبی", "کتێبتان"})], "کتێبم.": [], "نووسیڕای": [(0, 8, {"نووسیڕاێت"})], "نووسیڕام": [(0, 8, {"نووسیڕات", "نووسیڕای", "نووسیڕامان"})], "": [],
+}
+
+
+def test_clitics(spark):
+    rows = spark.createDataFrame([(i, s, k) for i, s in enumerate(CLITICS) for k in range(60)], "i long, s string, k int")
+    seen = {}
+    for r in rows.select("s", N.clitic_form(F.col("s"), F.concat_ws(":", "i", "k"), 1.0).alias("e")).collect():
+        assert len(r.e.errors) == len(CLITICS[r.s]), r.s
+        for e in r.e.errors:
+            assert r.s[e.start : e.end] == e.original and e.type == N.CLITIC_KIND
+            seen.setdefault((r.s, e.start, e.end), set()).add(e.error)
+    assert seen == {(s, a, b): forms for s, sites in CLITICS.items() for a, b, forms in sites}
+
+
+@pytest.mark.parametrize("errors", [N.noun_adjective, N.clitic_form])
+def test_null(spark, errors):
+    e = spark.createDataFrame([(None,)], "s string").select(errors(F.col("s"), F.lit("k")).alias("e")).first().e
     assert e is None or not e.errors
