@@ -27,7 +27,7 @@ def test_phrases(spark, rate):
 
 
 CLITICS = {
-    "کتێبمان": [(0, 7, {"کتێبتان", "کتێبیان", "کتێبم"})], "کتێبم باش": [(0, 5, {"کتێبت", "کتێبی", "کتێبمان"})], "کتێبی باش": [], "کتێبی دەکە": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبی": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبەکەی باش": [(0, 8, {"کتێبەکەم", "کتێبەکەت", "کتێبەکەیان"})],
+    "کتێبمان": [(0, 7, {"کتێبتان", "کتێبیان", "کتێبم"})], "کتێبم باش": [(0, 5, {"کتێبت", "کتێبی", "کتێبمان"})], "کتێبی جوان": [], "کتێبی دەکە": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبی": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "کتێبەکەی باش": [(0, 8, {"کتێبەکەم", "کتێبەکەت", "کتێبەکەیان"})],
     "کتێبی ، باش": [(0, 5, {"کتێبم", "کتێبت", "کتێبیان"})], "خۆمان": [], "یەکتر": [], "امان": [], "من": [], "(کتێبت": [(1, 6, {"کتێبم", "کتێبی", "کتێبتان"})], "کتێبم.": [], "نووسیڕای": [(0, 8, {"نووسیڕاێت"})], "نووسیڕام": [(0, 8, {"نووسیڕات", "نووسیڕای", "نووسیڕامان"})], "": [],
 }
 
