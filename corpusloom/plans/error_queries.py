@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import graph_profile as G
 from corpusloom.functions import morph_profile as P
 from corpusloom.functions import verb_profile as V
+from corpusloom.operators import errors as E
 from corpusloom.operators.errors import CONTRACTED, FUSED, GENERATORS, MARKS, ORTHOGRAPHY, PARTICIPLES, PREPOSITIONS, inject
 from corpusloom.operators import noun_errors as N
 from corpusloom.operators.sentence_errors import CLOSERS, OPENERS, VERB_BEGINNINGS, connectors, whitespace, word_order
@@ -18,7 +19,7 @@ SQL: dict[str, str] = {}
 #: Tables are checked whole: with rate 1 and one form a word, SQL can give the corrupted text.
 _ONE = {"preposition_fusion": {k: v[0] for k, v in FUSED.items()}, "demonstrative_contraction": {k: v[0] for k, v in CONTRACTED.items()}, "participle_voice_swap": PARTICIPLES | {v: k for k, v in PARTICIPLES.items()}}
 #: Kinds whose forms SQL has as lists: at rate 1 only the form is drawn.
-_LISTED = ("spelling_confusion", "orthography", "punctuation")
+_LISTED = ("spelling_confusion", "orthography", "punctuation", "case_role_preposition", "dialectal_participle", "possessive_clitic", "morpheme_order")
 _VERBS = ("نادەچم", "نەبوو", "دەچمەوە", "کردنەوە")
 _WORDS = sorted({w for t in (FUSED, CONTRACTED, PARTICIPLES, PREPOSITIONS, _VERBS) for w in t})
 
@@ -74,6 +75,18 @@ def _once(x: str, y: str, when: str = "true") -> str:
     return f"case when contains(w, '{x}') and {when} then regexp_replace(w, '{x}', '{y}') end"
 
 
+_STEM = "regexp_extract(w, '^(.+?)(ووە|وە)$', 1)"
+_BARE = f"left(w, length(w) - {len(E.COMPLETIVE)})"
+_AT = f"length(regexp_extract({_BARE}, '^([^{E.VOWELS}]*[{E.VOWELS}]+)[^{E.VOWELS}]', 1))"
+_PLACE = f"case when {_AT} < 2 then least(3, length({_BARE})) else {_AT} end"
+_MOVED = f"(left({_BARE}, {_PLACE}) || '{E.COMPLETIVE}' || substr({_BARE}, ({_PLACE}) + 1))"
+
+
+def _own(end: str) -> str:
+    stem = f"left(w, length(w) - {len(end)})"
+    return f"ends_with(w, '{end}') and regexp_matches({stem}, '^[؀-ۿ]{{3,}}$') and not regexp_matches({stem}, '^({'|'.join(E.VERB_PREFIXES)})')"
+
+
 _FREE = {"ئ": "left(w, 1) <> 'ئ'", "ی": "left(w, 1) <> 'ی'", "و": "not contains(w, 'وو') and not contains(w, 'ۆ')"}
 _FORM_LISTS = {
     "spelling_confusion": [_once(x, y) for (a, b), n in V.CONFUSED_WEIGHTS.items() for x, y in ((a, b), (b, a)) for _ in range(int(2 * n))],
@@ -83,6 +96,14 @@ _FORM_LISTS = {
         "case when left(w, 1) = 'ئ' then 'ی' || substr(w, 2) when left(w, 1) = 'ی' then 'ئ' || substr(w, 2) end",
         *(_once(x, y, _FREE.get(x, "true")) for a, b in ORTHOGRAPHY[2:] for x, y in ((a, b), (b, a))),
     ],
+    "case_role_preposition": [f"case w {' '.join(f"when '{k}' then '{v[i]}'" for k, v in PREPOSITIONS.items() if i < len(v))} end" for i in range(3)],
+    "dialectal_participle": [f"case when {_STEM} not in ('', {', '.join(f"'{x}'" for x in E.NOT_PARTICIPLES)}) then {_STEM} || '{x}' end" for x in ("یە", "گە")],
+    "possessive_clitic": [f"case {' '.join(f"when {_own(end)} then left(w, length(w) - {len(end)}) || '{E.POSSESSIVES[end][i]}'" for end in sorted(E.POSSESSIVES, key=len, reverse=True))} end" for i in range(3)],
+    "morpheme_order": [
+        "case " + " ".join(f"when starts_with(w, '{a}') then '{b}' || substr(w, {len(a) + 1})" for a, b in E.PREFIX_ORDER.items()) + " end",
+        f"case when ends_with(w, '{E.COMPLETIVE}') and length(w) > 5 and {_MOVED} <> w then {_MOVED} end",
+        f"case w {' '.join(f"when '{k}' then '{v[0]}'" for k, v in E.PARTICLES.items())} end",
+    ],
     "punctuation": [f"case w {' '.join(f"when '{m}' then '{v[i]}'" for m, v in MARKS.items())} end" for i in (0, 1)],
 }
 
