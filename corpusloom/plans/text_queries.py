@@ -175,7 +175,18 @@ def san_strip(spark, sf):
     return lines(spark, sf).select(*KEY, S.strip_artifacts(F.col("s")).alias("out"))
 
 
-@query()
+def _split_sql(most: int) -> str:
+    """Parts at clause ends, merged again from the left while they fit."""
+    clauses = r"string_split(regexp_replace(s, '([.،؛;:!?؟۔])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))"
+    parts = f"list_filter(list_transform({clauses}, lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+    both = "acc.now || ' ' || x.now"
+    step = f"case when {_count(both)} <= {most} then {{'done': acc.done, 'now': {both}}} else {{'done': list_append(acc.done, acc.now), 'now': x.now}} end"
+    merged = f"list_reduce(list_transform({parts}, lambda x: {{'done': []::varchar[], 'now': x}}), lambda acc, x: {step})"
+    return f"""with {_LINES}, m as (select doc_id, pos, case when {_count('s')} > {most} then (select list_append(r.done, r.now) from (select {merged} as r)) else [s] end as parts from lines)
+      select doc_id, pos, unnest(parts) as out, generate_subscripts(parts, 1) - 1 as part from m"""
+
+
+@query(_split_sql(40))
 def san_split_long(spark, sf):
     return lines(spark, sf).select(*KEY, F.posexplode(S.split_long(F.col("s"), 40)).alias("part", "out"))
 
