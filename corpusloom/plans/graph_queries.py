@@ -8,7 +8,7 @@ from corpusloom.functions import graph_profile as G
 from corpusloom.functions import morph_profile as P
 from corpusloom.operators import graph as A
 from corpusloom.plans import morphology_queries as Y
-from corpusloom.plans.tables import AR, script_sentences
+from corpusloom.plans.tables import script_sentences
 
 Q: dict = {}
 SQL: dict[str, str] = {}
