@@ -22,7 +22,7 @@ from corpusloom.operators import errors as E
 from corpusloom.operators import sentence_errors as SE
 from corpusloom.operators.sampling import numbered, oversample
 from corpusloom.operators.statistics import new_tokens
-from corpusloom.sources import writers
+from corpusloom.sources.writers import saved
 
 RESULT = "struct<corrupted:string,errors:array<struct<type:string,original:string,error:string,start:int,end:int>>>"
 
@@ -402,14 +402,6 @@ def with_invalid_words(pairs: DataFrame, known: DataFrame, original: str, corrup
     return pairs.join(counts.where("_n = _k").select(*key), list(key), "left_anti")
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """A table in the folder that executors share: computed once, and read again where an executor is lost."""
-    spark = df.sparkSession
-    path = writers.scratch_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50_000, ratio: float = 0.7, rate: float = 0.15, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
     """key, original, corrupted, errors, source_id, and all other columns: int(target x ratio) pairs with errors and the rest without.
 
@@ -418,7 +410,7 @@ def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50
     it is full. If a round, and one more at rate 1, adds nothing, the pairs that were found are repeated. With none found all pairs are
     clean: their quota is not raised then. Clean pairs are the first in another order. source_id names the sentence.
     """
-    base = _save(oversample(sentences, target, *key).withColumn("source_id", F.concat_ws(":", *key, "copy")))
+    base = saved(oversample(sentences, target, *key).withColumn("source_id", F.concat_ws(":", *key, "copy")))
     want = int(target * ratio)
 
     def attempt(rows: DataFrame, copies: int, at: float, r: int) -> DataFrame:
@@ -430,7 +422,7 @@ def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50
 
     rows, found, have, copies, at, r = base, [], 0, 1, rate, 0
     while have < want:
-        found.append(_save(attempt(rows, copies, at, r)))
+        found.append(saved(attempt(rows, copies, at, r)))
         new = found[-1].count()
         have += new
         if not new and at == 1.0:
@@ -438,7 +430,7 @@ def generate_corpus(sentences: DataFrame, text: str, *key: str, target: int = 50
         at = rate if new else 1.0
         if r == 0 and have < want:  # sentences with an error at rate 1, or found with one already
             can = attempt(base, 1, 1.0, 1).select("source_id").unionByName(found[0].select("source_id")).distinct()
-            rows = _save(base.join(can, "source_id", "left_semi").select(*base.columns))
+            rows = saved(base.join(can, "source_id", "left_semi").select(*base.columns))
         copies = min(-(-copies * (want - have) // new) + 1, 1000) if new else copies
         r += 1
     order = lambda name, *c: F.md5(F.concat_ws(":", F.lit(f"{seed}:{name}"), *c))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import graph_profile as G
 from corpusloom.functions import morph_profile as P
 from corpusloom.operators import morphology as M
-from corpusloom.sources.writers import scratch_folder
+from corpusloom.sources.writers import saved
 
 _FRONT = "^(?:" + "|".join(G.PREFIXES) + ")(.+)$"
 #: Features of tokens that edges or their violations ask for.
@@ -63,12 +63,6 @@ def verb_classes(features: DataFrame) -> DataFrame:
     return rows.withColumns(kinds).select("token", *KEPT, *KINDS, "law", "passive", "wistin", "vtense")
 
 
-def _save(df: DataFrame) -> DataFrame:
-    path = scratch_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: What is known of a token's neighbours and of verbs and candidates around it.
 _VERB = ("i", "law", "passive", "wistin", "vtense", "before")
 
@@ -81,7 +75,7 @@ def graph_tokens(sentences: DataFrame, text: str, *key: str) -> DataFrame:
     rows = rows.withColumn("upto", F.count_if("boundary").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.col("upto") - F.col("boundary").cast("int"))
     verb = F.when(F.col("verb"), F.struct(*_VERB))
-    return _save(rows.withColumns({
+    return saved(rows.withColumns({
         "previous": F.lag(F.struct("token", "pos")).over(order), "next": F.lead(F.struct("token", "pos")).over(order), "n": F.count("*").over(whole),
         "ahead": F.first(verb, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "behind": F.last(verb, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
     }))
@@ -278,10 +272,10 @@ def clause_edges(tokens: DataFrame, *key: str) -> DataFrame:
 
 def agreement_edges(tokens: DataFrame, *key: str) -> DataFrame:
     """key, source, target, type, features, law: all edges of graph_tokens(), as a table, each once."""
-    spans = _save(subject_spans(tokens, *key))
-    laws = _save(law_edges(tokens, spans, *key))
+    spans = saved(subject_spans(tokens, *key))
+    laws = saved(law_edges(tokens, spans, *key))
     every = (laws, object_edges(tokens, spans, laws, *key), phrase_edges(tokens, *key), clitic_edges(tokens, *key), clause_edges(tokens, *key))
-    return _save(reduce(DataFrame.unionByName, every).dropDuplicates([*key, "source", "target", "type"]))
+    return saved(reduce(DataFrame.unionByName, every).dropDuplicates([*key, "source", "target", "type"]))
 
 
 CHECKED = tuple(f for f in KEPT if f != "pos")

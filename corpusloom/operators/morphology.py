@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import morph_profile as P
 from corpusloom.functions.text import tokens
-from corpusloom.sources.writers import scratch_folder
+from corpusloom.sources.writers import saved
 
 #: All of a token's features; an empty string is none.
 TEXT = ("lemma", "pos", "person", "number", "tense", "aspect", "case", "definiteness", "transitivity", "clitic_person", "clitic_number", "compound_prefix", "voice")
@@ -242,16 +242,9 @@ def clitic_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lemma", _or("lemma", token)).drop("_cl", "rest")
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """A table in the folder that executors share."""
-    path = scratch_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_classes(distinct: DataFrame, closed: DataFrame) -> DataFrame:
     """verb_features() of the tokens that closed classes leave, as a table: what is asked of later steps does not go through the slots."""
-    return _save(verb_features(distinct.join(closed.select("token"), "token", "left_anti")))
+    return saved(verb_features(distinct.join(closed.select("token"), "token", "left_anti")))
 
 
 def token_features(distinct: DataFrame) -> DataFrame:
@@ -277,7 +270,7 @@ def per_token(rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFr
     to the most frequent tokens, of which there are FREQUENT at most, is broadcast; other tokens are joined by a shuffle, in which no key
     is frequent."""
     counts = rows.groupBy("token").agg(F.count("*").alias("_n"))
-    made = _save(make(counts.select("token")).join(counts, "token").withColumn("_made", F.lit(True)))
+    made = saved(make(counts.select("token")).join(counts, "token").withColumn("_made", F.lit(True)))
     n = made.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     often, seldom = (made.where(c).drop("_n") for c in (F.col("_n") * FREQUENT >= max(n, 1), F.col("_n") * FREQUENT < max(n, 1)))
     marked = rows.join(F.broadcast(often), "token", "left")

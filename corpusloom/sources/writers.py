@@ -115,3 +115,10 @@ def scratch_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         at = f"file://{at}"
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in a folder that executors share: computed once, and read again where an executor is lost."""
+    path = scratch_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
