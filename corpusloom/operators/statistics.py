@@ -56,8 +56,8 @@ def with_default(rows: DataFrame, values: DataFrame, key: str, column: str, defa
 
 def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
     """One row for each combination of values, numbered in the order of nested loops."""
-    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_{name} long, {name} {'double' if any(isinstance(v, float) for v in values) else 'long' if all(isinstance(v, int) for v in values) else 'string'}") for name, values in parameters.items()]
-    rows = reduce(lambda a, b: a.crossJoin(b), frames)  # a handful of values each
+    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_{name} long, {name} {'double' if any(isinstance(v, float) for v in values) else 'long' if all(isinstance(v, int) for v in values) else 'string'}").coalesce(1) for name, values in parameters.items()]
+    rows = reduce(lambda a, b: a.crossJoin(b), frames)  # a handful of values each, in one task: partitions would multiply
     number = F.lit(0).cast("long")
     for name, values in parameters.items():
         number = number * len(values) + F.col(f"_{name}")
