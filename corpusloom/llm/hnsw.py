@@ -23,9 +23,13 @@ from corpusloom.llm.common import components, scratch
 
 THRESHOLD, RECALL, AUDITS = 0.95, 0.99, 512
 #: Shards at least, rows of a shard and of a block of queries at most (on average).
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 16_384
+SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 50_000, 65_536
+#: Blocks of queries at least. A graph goes to every block, so that few large blocks move less than many small ones.
+BLOCKS = 4
 LINKS, BUILD_BEAM, BATCH = 16, 64, 128
 WIDTHS = (32, 64, 128, 256, 512)
+#: The widest beam: queries that need more are compared with the whole shard, in pieces of a fixed size.
+WIDEST = 4096
 #: Times as many vectors are audited where those audited have no link. Similarities that an exact comparison holds at once.
 MORE_AUDITS, HELD = 8, 4_000_000
 
@@ -47,6 +51,20 @@ class Graph:
             self._insert(np.arange(done, done + size), level)
             done += size
 
+    def __getstate__(self) -> dict:
+        """What a search needs, small: the vectors are set again from those sent beside it, upper layers keep the rows that they have."""
+        layers = [None if n is None else (rows := np.flatnonzero(n[:, 0] >= 0), n[rows]) for n in self.near]
+        return {"n": len(self.v), "top": self.top, "entry": self.entry, "layers": layers}
+
+    def __setstate__(self, state: dict) -> None:
+        self.top, self.entry, self.near = state["top"], state["entry"], []
+        for layer in state["layers"]:
+            near = None
+            if layer is not None:
+                near = np.full((state["n"], layer[1].shape[1]), -1, dtype=np.int32)
+                near[layer[0]] = layer[1]
+            self.near.append(near)
+
     def _insert(self, new: np.ndarray, level: np.ndarray) -> None:
         q = self.v[new]
         within = q @ q.T
@@ -132,6 +150,10 @@ class Graph:
                 at = self._beam(q[todo], at, 1, l)[0][:, 0]
             w = width
             while len(todo):
+                if w > WIDEST:
+                    for k, found in exact(self.v, q[todo], threshold):
+                        yield int(todo[k]), found
+                    break
                 ids, sims = self._beam(q[todo], at, w, 0)
                 full = (sims[:, -1] >= threshold - 1e-4) & (w < len(self.v))
                 for k in np.flatnonzero(~full):
@@ -184,7 +206,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = scratch(valid.select("class", "unit", "dim").dropDuplicates(["class"]).join(copies.select("class", "copies"), "class"), "vectors-classes")
     n = classes.count()
     shards = max(shards, -(-n // SHARD_ROWS))
-    blocks = max(2, -(-n // BLOCK_ROWS))
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         units = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
@@ -194,13 +215,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sharded = classes.withColumn("shard", F.col("dim") * F.lit(shards).cast("long") + F.pmod("class", F.lit(shards)))
     graphs = scratch(sharded.groupBy("shard").applyInArrow(build, "shard long, graph binary"), "vectors-graphs")
 
-    def queried(asking: DataFrame, width: int | None) -> DataFrame:
-        """a, b, copies_a, copies_b of verified links, in both directions as they were found; width None: of all links."""
+    def queried(asking: DataFrame, width: int | None, rows: int, least: int = 1) -> DataFrame:
+        """a, b, copies_a, copies_b of verified links, in both directions as they were found; width None: of all links. rows: about
+        how many ask, in blocks, of which there are `least` at least."""
+        blocks = max(least, -(-rows // BLOCK_ROWS))
 
         def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             out: list[list] = [[], [], [], []]
             if left.num_rows and right.num_rows:
                 graph, units, names, copies = pickle.loads(right.column("graph")[0].as_py())
+                graph.v = units.astype(np.float32)
                 q = np.frombuffer(b"".join(left.column("unit").to_pylist()), dtype=np.float64).reshape(left.num_rows, -1)
                 own, own_copies = left.column("class").to_numpy(), left.column("copies").to_numpy()
                 for k, found in exact(units, q, threshold) if width is None else graph.search(q, threshold, width):
@@ -236,15 +260,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     while not n_true and drawn < n:  # at the end all vectors are drawn: then nothing links
         drawn = min(MORE_AUDITS * drawn, n)
         audits = classes.where(F.pmod(F.xxhash64("class", F.lit(7)), F.lit(1 << 30)) < -(-(drawn << 30) // n))
-        true = scratch(queried(audits, None).select("a", "b").distinct(), "vectors-true")
+        true = scratch(queried(audits, None, drawn, BLOCKS).select("a", "b").distinct(), "vectors-true")
         n_true = true.count()
     width: int | None = None
     for w in WIDTHS:
-        if not n_true or queried(audits, w).select("a", "b").distinct().join(true, ["a", "b"], "left_semi").count() >= recall * n_true:
+        if not n_true or queried(audits, w, drawn).select("a", "b").distinct().join(true, ["a", "b"], "left_semi").count() >= recall * n_true:
             width = w
             break
 
-    found = queried(classes, width)
+    found = queried(classes, width, n, BLOCKS)
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"), F.when(F.col("a") < F.col("b"), F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_b"))
     pairs = scratch(found.distinct(), "vectors-pairs")
     links = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("class"), F.col("copies_a").alias("n")))).alias("x")).groupBy("x.class").agg(F.sum("x.n").alias("links"))

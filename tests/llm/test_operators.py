@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -445,3 +446,30 @@ def test_jaccard_recall(spark):
     true = sum(len(a & b) >= 0.8 * len(a | b) for g in range(60) for i, a in enumerate(sets[12 * g : 12 * g + 12]) for b in sets[12 * g : 12 * g + i])
     got = chosen_path.jaccard_join(docs, limit=8).agg({"n_links": "sum"}).first()[0] / 2
     assert true > 1000 and got <= true and got >= 0.999 * true
+
+
+def test_graph_is_small_and_searches_as_before():
+    """A graph that is sent takes no vectors and no empty layers with it."""
+    units = np.random.default_rng(3).normal(size=(3000, 16))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    graph = hnsw.Graph(units)
+    want = {k: sorted(found.tolist()) for k, found in graph.search(units[:200], 0.8, 32)}
+    data = pickle.dumps(graph, protocol=5)
+    assert len(data) < 3000 * (4 * graph.cap[0] + 40)
+    sent = pickle.loads(data)
+    sent.v = units.astype(np.float32)
+    assert {k: sorted(found.tolist()) for k, found in sent.search(units[:200], 0.8, 32)} == want
+
+
+def test_wide_beams_become_exact(monkeypatch):
+    """Of a large group of near vectors all are found, without a beam as wide as the group."""
+    r = np.random.default_rng(4)
+    units = np.concatenate([np.ones((900, 8)) + r.normal(scale=0.01, size=(900, 8)), r.normal(size=(300, 8))])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    monkeypatch.setattr(hnsw, "WIDEST", 128)
+    graph, widths = hnsw.Graph(units), []
+    beam = graph._beam
+    monkeypatch.setattr(graph, "_beam", lambda q, at, width, l: widths.append(width) or beam(q, at, width, l))
+    got = {k: set(found.tolist()) for k, found in graph.search(units[:50], 0.95, 32)}
+    assert max(widths) <= 128 and set(got) == set(range(50))
+    assert all(set(np.flatnonzero(units @ units[k] >= 0.95)) <= got[k] for k in range(50))
