@@ -31,6 +31,24 @@ def test_flow(spark):
     assert sum(r[1] is None for r in got.values()) == sum(r.n for r in W.drop_reasons(W.normalization_flow(df, "line", "i", categories=True)).collect() if r.reason == "kept")
 
 
+def test_flow_runs_its_steps_once(spark):
+    """What comes after the parts reads them as a table: no step is in the plan again, neither for duplicates nor for what is left over."""
+    df = spark.createDataFrame([(0, GOOD), (1, GOOD), (2, None), (3, None), (4, "")], "i long, line string")
+    rows = W.normalization_flow(df, "line", "i")
+    assert "EvalPython" not in rows._jdf.queryExecution().toString()
+    got = [(r.i, r.part, r.reason) for r in rows.orderBy("i").collect()]
+    assert got[:2] == [(0, 0, None), (1, 0, "duplicate")] and got[-1] == (4, 0, "empty_after_strip")
+
+
+@pytest.mark.parametrize("characters", ["[؀-ۿﭐ-﷿]", "[a-zA-Z]", r"\p{Nd}", "ە"])
+def test_characters_of_a_class_by_runs(spark, characters):
+    """Runs are removed at once: there are as many characters as single matches."""
+    texts = ["", "abc دەە 12٣ x", "ەەەە", "a1b2", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(S.count(F.col("t"), characters).alias("n"), F.regexp_count("t", F.lit(characters)).alias("m")).collect()
+    assert all(r.n == r.m for r in got)
+
+
 def test_near_duplicates_by_file(spark):
     """Within a file the first of near copies stays; the same line in another file is not touched."""
     near = GOOD.replace("بۆ", "بە")
