@@ -1,5 +1,7 @@
 """Normalization, tokens and filters on fixed examples."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,18 @@ def test_near_pairs_and_greedy(spark):
     want = {(a, b) for a in range(4) for b in range(a + 1, 4) if grams[a] | grams[b] and len(grams[a] & grams[b]) >= 0.9 * len(grams[a] | grams[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == want == {(0, 1)}
     assert {r.id for r in D.greedy_kept(df, "id", pairs).collect()} == {0, 2, 3}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_near_pairs_are_all_pairs(spark, monkeypatch, threshold):
+    """Sketches and few known frequent members lose no pair, and sets travel as longs."""
+    monkeypatch.setattr(D, "FREQUENT_GRAMS", 5)
+    r = random.Random(2)
+    base = ["".join(r.choice("abcدە😀 ") for _ in range(r.randint(3, 120))) for _ in range(25)]
+    texts = base + [t[:k] + "x" + t[k + 1 :] for t in base for k in (1, len(t) // 2)] + ["", "ab", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    sets = [{t[i : i + 3] for t in [" ".join((x or "").split())] for i in range(len(t) - 2)} for x in texts]
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and len(x & y) / len(x | y) >= threshold}
+    pairs = D.near_pairs(df, "id", "s", threshold)
+    assert {(p.a, p.b) for p in pairs.collect()} == want and len(want) > 10
+    assert "bit_count" in pairs._jdf.queryExecution().optimizedPlan().toString()
