@@ -10,6 +10,7 @@ from corpusloom.operators import errors, noun_errors, sentence_errors
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import morphology as M
 from corpusloom.operators import statistics as S
+from corpusloom.sources import writers
 
 
 def plain_distance(a: str, b: str) -> int:
@@ -102,3 +103,13 @@ def test_next_of_in_one_long_sentence(spark):
     found = rows.select("i", M.next_of(F.when(F.col("i") % 100_000 == 99_999, F.col("i")), "k").alias("n"))
     assert [tuple(x) for x in found.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()] == [(None, 50_001), (99_999, 99_999)]
     assert time.time() - began < 20
+
+
+def test_large_tables_are_not_broadcast_for_their_small_files(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(writers.BROADCAST_ROWS + 1).selectExpr("id", "'ABCD' as x")
+    large, small = writers.saved(rows), writers.saved(rows.limit(10))
+    assert "Broadcast" in plan(rows.join(small, "id")) and "Broadcast" not in plan(rows.repartition(3).join(large, "id"))
+    made = large.where("id >= 0").groupBy("id").agg(F.max("x").alias("y"))
+    assert "Broadcast" not in plan(large.join(made, "id", "left")) and "Broadcast" in plan(large.join(F.broadcast(made), "id"))
+    assert large.join(made, "id").count() == writers.BROADCAST_ROWS + 1 and writers.saved(rows.where("id < 0")).count() == 0
