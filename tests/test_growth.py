@@ -1,8 +1,11 @@
 """Work that grows with the input: long sentences, far-off edits, many parameters."""
 
+import math
 import random
 import time
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,29 @@ def test_large_tables_are_not_broadcast_for_their_small_files(spark):
     made = large.where("id >= 0").groupBy("id").agg(F.max("x").alias("y"))
     assert "Broadcast" not in plan(large.join(made, "id", "left")) and "Broadcast" in plan(large.join(F.broadcast(made), "id"))
     assert large.join(made, "id").count() == writers.BROADCAST_ROWS + 1 and writers.saved(rows.where("id < 0")).count() == 0
+
+
+def gleu_by_definition(s: list, h: list, r: list, most: int = 4) -> float:
+    logs = []
+    for n in range(1, min(most, len(h)) + 1):
+        gs, gh, gr = (Counter(zip(*(t[k:] for k in range(n)))) for t in (s, h, r))
+        right = sum(min(c, gr[g]) for g, c in gh.items())
+        wrong = sum(min(c, max(gs[g] - gr[g], 0)) for g, c in gh.items())
+        logs.append(math.log(min((max(right - wrong, 0) + 1) / (len(h) - n + 2), (right + 1) / (max(len(r) - n + 1, 0) + 1))))
+    return (math.exp(1 - len(r) / len(h)) if len(h) < len(r) else 1.0) * math.exp(sum(logs) / len(logs))
+
+
+def test_gleu_counts_around_differences_only(monkeypatch):
+    r, rows = random.Random(3), []
+    text = lambda n: r.choices("abc", k=n)
+    for _ in range(4000):
+        a = text(r.randint(1, 9))
+        b = [*a[: (k := r.randint(0, len(a)))], *text(r.randint(0, 2)), *a[k + r.randint(0, 2) :]]
+        rows.append((r.choice([a, b, text(3), []]), r.choice([a, b]) or ["a"], a))
+    got = E._gleu(*(pd.Series(list(c)) for c in zip(*rows, strict=True)), 4)
+    assert got.tolist() == [gleu_by_definition(*x) for x in rows]
+    counted = []
+    monkeypatch.setattr(E, "_grams", lambda t, n, first, last, f=E._grams: counted.append(len(x := f(t, n, first, last))) or x)
+    long = [str(i) for i in range(1000)]
+    E._gleu(pd.Series([["x", *long]]), pd.Series([["x", *long]]), pd.Series([long]), 4)
+    assert sum(counted) < 50
