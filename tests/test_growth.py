@@ -10,11 +10,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import profile as P
+from corpusloom.functions.filters import detect
 from corpusloom.operators import errors, noun_errors, sentence_errors
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import generation as G
 from corpusloom.operators import morphology as M
 from corpusloom.operators import statistics as S
+from corpusloom.operators.sampling import oversample
 from corpusloom.sources import writers
 
 
@@ -161,3 +164,38 @@ def test_rules_look_at_a_frequent_word_once(monkeypatch):
 def test_words_have_their_places():
     for text in ("", " ", "a", "  ab a\tab b\n", "a‍b  b\x1cc"):
         assert G._spans(text) == [(m.start(), m.end(), m[0].replace("‍", "")) for m in re.finditer(r"\S+", text)]
+
+
+def test_oversample_reads_once(spark):
+    """Rows that are not among the first `target` are neither numbered nor computed again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(ids: pd.Series) -> pd.Series:
+        read.add(len(ids))
+        return ids
+
+    rows = spark.range(5000).select(F.pandas_udf(seen, "long")("id").alias("id"))
+    assert [(r.id, r.copy) for r in oversample(rows, 10, "id").orderBy("id").collect()] == [(i, 0) for i in range(10)]
+    assert read.value == 5000
+
+
+def test_language_of_long_words(spark):
+    """A word is looked at once, not once for each of its letters."""
+    row = spark.createDataFrame([("ا" * 300_000 + " دەچم",)], "s string")
+    began = time.time()
+    got = row.select(detect(F.col("s")).alias("d")).first().d
+    assert got.morphology_score == 0.25 and time.time() - began < 20
+
+
+def test_language_of_odd_texts(spark):
+    """Against the same by regular expressions of Python, word for word."""
+    r = random.Random(4)
+    words = ["دەچم", "بی", "بیر", "ەکان", "کتێبەکان", "ێک", "کتێبێکی", "EZ", "hûn", "في", "را", "ڕۆژ", "\u200d", "بە\u200dx", "x"]
+    texts = ["", " ", "\x1c", "\x85a\u3000"] + ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\u3000", "\x85", "\x1f", ""]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", detect(F.col("s")).alias("d")).collect()
+    for i, d in got:
+        t = texts[i].strip(P.WHITE)
+        verbs = len(re.findall(r"(?:^|(?<=[ \t\n\x0b\f\r]))(?:دە|ئە|نا|بی?)[^ \t\n\x0b\f\r]{2,}", t))
+        ends = lambda e: bool(re.search(rf"[^ \t\n\x0b\f\r](?:{e})(?=[ \t\n\x0b\f\r]|\Z)", t))  # noqa: B023, E731
+        schwa = t.count("ە") / (len(t) - t.count(" ")) > 0.06 if t else False
+        assert d.morphology_score == round(min(1, (0.4 if verbs > 1 else 0.25 * verbs) + 0.3 * ends("ەکە|ەکان") + 0.15 * ends("ێک|ێکی") + 0.15 * schwa), 4), t
