@@ -9,6 +9,7 @@ from corpusloom.functions import verb_profile as V
 from corpusloom.operators import generation as G
 from corpusloom.operators.errors import PREPOSITIONS
 from corpusloom.plans.tables import AR, script_sentences, table
+from corpusloom.sources.writers import saved
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -122,7 +123,7 @@ def gen_quota(spark, sf):
 def gen_validated(spark, sf):
     """With the words of the documents as known ones, no corrupted pair has known new words only."""
     rows = _all_phrases(spark, sf)
-    known = rows.select(F.explode(F.split("s", " ")).alias("word")).where("word <> ''").distinct()
+    known = saved(rows.select(F.explode(F.split("s", " ")).alias("word")).where("word <> ''").distinct())
     out = G.generate_corpus(rows, "s", *KEY, target=5000, known=known).where(F.size("errors") > 0)
     return out.join(G.with_invalid_words(out, known, "original", "corrupted", "source_id").select("source_id"), "source_id", "left_anti").agg(F.count("*").alias("n"))
 
