@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize, words
+from corpusloom.sources.writers import saved
 
 
 def error_statistics(records: DataFrame, errors: str = "errors") -> DataFrame:
@@ -31,12 +32,33 @@ def new_tokens(original: Column, corrupted: Column) -> Column:
     return F.array_except(words(corrupted), words(original))
 
 
+#: Words that invalid_share() judges in place at most, and of how many rows one is looked at to find them. Both only save time.
+FREQUENT_WORDS, ROWS_A_LOOK = 5_000, 64
+
+
 def invalid_share(df: DataFrame, text: str, known: DataFrame, *key: str) -> DataFrame:
-    """key, share: the share of a text's words that table known (word) lacks; 0 without words. Distinct words are joined."""
-    tokens = df.select(*key, F.explode(words(F.col(text))).alias("word"))
-    found = tokens.join(known.select("word").distinct().withColumn("_k", F.lit(1)), "word", "left")
-    shares = found.groupBy(*key).agg((F.count_if(F.col("_k").isNull()) / F.count("*")).alias("share"))
-    return df.select(*key).join(shares, list(key), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    """key, share: the share of a text's words that table known (word) lacks; 0 without words. A row for each key.
+
+    The words that are frequent in rows picked by a hash are judged first, and what they count in a text is found in place. All others
+    are joined, so no word has a great part of the rows, and each text's counts go with one row at least.
+    """
+    valid = saved(known.select("word").distinct())
+    looked_at = df.where(F.pmod(F.xxhash64(*key), F.lit(ROWS_A_LOOK)) == 0).select(F.explode(words(F.col(text))).alias("word"))
+    frequent = looked_at.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+    judged = frequent.join(valid.withColumn("_k", F.lit(True)), "word", "left").select("word", "_k").collect()
+    one_of = lambda w, found: w.isin(found) if found else F.lit(False)
+    bad = lambda w: one_of(w, [r["word"] for r in judged if not r["_k"]])
+    rows = df.select(*key, words(F.col(text)).alias("_w"))
+    rows = rows.select(*key, F.size("_w").alias("_n"), F.size(F.filter("_w", bad)).alias("_bad"), F.filter("_w", lambda w: ~one_of(w, [r["word"] for r in judged])).alias("_rest"))
+    rows = rows.select(*key, F.monotonically_increasing_id().alias("_id"), "_n", "_bad", F.posexplode_outer("_rest").alias("_i", "word"))
+    first = F.coalesce("_i", F.lit(0)) == 0
+    # No word has white space: texts without other words are dealt out by such names, instead of all to one task.
+    rows = rows.select(*key, F.when(first, F.col("_n")).otherwise(0).alias("_n"), F.when(first, F.col("_bad")).otherwise(0).alias("_bad"), F.col("word").isNotNull().alias("_real"), F.coalesce("word", F.concat(F.lit(" "), F.pmod("_id", F.lit(4096)))).alias("word"))
+    found = rows.join(valid.withColumn("_k", F.lit(1)), "word", "left").select(*key, "_n", (F.col("_bad") + (F.col("_real") & F.col("_k").isNull()).cast("int")).alias("_bad"))
+    # A given number of partitions is not merged into fewer, whose tables of keys are larger.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = found.repartition(parts, *(F.col(k) for k in key)).groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"))
+    return shares.select(*key, F.when(F.col("_n") > 0, F.col("_bad") / F.col("_n")).otherwise(0.0).alias("share"))
 
 
 def audit_normalization(df: DataFrame, *columns: str, examples: int = 5, order: str = "doc_id") -> DataFrame:

@@ -199,3 +199,14 @@ def test_language_of_odd_texts(spark):
         ends = lambda e: bool(re.search(rf"[^ \t\n\x0b\f\r](?:{e})(?=[ \t\n\x0b\f\r]|\Z)", t))  # noqa: B023, E731
         schwa = t.count("ە") / (len(t) - t.count(" ")) > 0.06 if t else False
         assert d.morphology_score == round(min(1, (0.4 if verbs > 1 else 0.25 * verbs) + 0.3 * ends("ەکە|ەکان") + 0.15 * ends("ێک|ێکی") + 0.15 * schwa), 4), t
+
+
+def test_share_of_frequent_words(spark):
+    """Frequent words, known or not, are judged in place: of 20,000 rows of them next to nothing is shuffled by word."""
+    rows = spark.range(20_000).selectExpr("id", "case when id % 1000 = 0 then 'rare' || id when id = 7 then '' else 'often never often' end as s")
+    known = spark.createDataFrame([("often",), ("rare3000",), ("often",)], "word string")
+    got = S.invalid_share(rows, "s", known, "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan or " IN (" in plan or "= often" in plan
+    by_id = {r.id: r.share for r in got.collect()}
+    assert len(by_id) == 20_000 and by_id[1] == pytest.approx(1 / 3) and by_id[7] == 0 and by_id[3000] == 0 and by_id[2000] == 1
