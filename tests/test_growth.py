@@ -210,3 +210,16 @@ def test_share_of_frequent_words(spark):
     assert "INSET" in plan or " IN (" in plan or "= often" in plan
     by_id = {r.id: r.share for r in got.collect()}
     assert len(by_id) == 20_000 and by_id[1] == pytest.approx(1 / 3) and by_id[7] == 0 and by_id[3000] == 0 and by_id[2000] == 1
+
+
+def test_bootstrap_broadcasts_no_rows(spark):
+    """Resampled rows are merged: as a hash table they take far more memory in the driver than in files. Draws are not lists of all rows."""
+    from corpusloom.operators import evaluation as E
+
+    counts = spark.range(300).selectExpr("id as i", "cast(id % 3 = 0 as int) as tp", "0 as fp", "cast(id % 3 = 1 as int) as fn")
+    out = E.bootstrap(counts, 20)
+    (r,) = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "sequence(" not in plan and 0 < r.low < r.high < 1
+    (none,) = E.bootstrap(counts.where("i < 0"), 20).collect()
+    assert none.low is None and none.high is None
