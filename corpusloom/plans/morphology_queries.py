@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import morph_profile as P
 from corpusloom.functions import profile
+from corpusloom.operators import context as C
 from corpusloom.operators import morphology as M
 from corpusloom.plans.tables import AR, script_sentences
 
@@ -187,9 +188,8 @@ def morph_clitic(spark, sf):
   from told group by doc_id, sent""")
 def morph_context(spark, sf):
     """All tokens of a sentence, with their part of speech, case and number in context."""
-    rows = M.analyzed(sentences(spark, sf).select("doc_id", F.col("pos").alias("at"), "s"), "s", "doc_id", "at")
-    tags = F.array_sort(F.collect_list(F.struct("i", F.concat_ws("/", "pos", "case", "number").alias("t"))))
-    return rows.groupBy("doc_id", "at").agg(F.array_join(F.transform(tags, lambda x: x["t"]), " ").alias("tags")).withColumnRenamed("at", "pos")
+    rows = sentences(spark, sf).select("doc_id", "pos", "s")
+    return C.tags_in_context(rows, "s", "doc_id", "pos")
 
 
 def _vector_sql() -> str:
