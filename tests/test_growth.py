@@ -223,3 +223,26 @@ def test_bootstrap_broadcasts_no_rows(spark):
     assert "BroadcastHashJoin" not in plan and "sequence(" not in plan and 0 < r.low < r.high < 1
     (none,) = E.bootstrap(counts.where("i < 0"), 20).collect()
     assert none.low is None and none.high is None
+
+
+def test_paired_bootstrap_counts_edits_once(spark):
+    """Counts are made once for the sums and the resamples; each key's draws are those of its own generator."""
+    import numpy as np
+
+    from corpusloom.operators import evaluation as E
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(k: int) -> int:
+        made.add(1)
+        return abs(k) % 3
+
+    keys = [-5, -(2**63), 2**62 + 3, 7, 2**63 - 9, *range(100, 140)]
+    counts = spark.createDataFrame([(k,) for k in keys], "k long").select("k", F.udf(count, "int")("k").alias("a_tp"), *(F.lit(n).alias(c) for n, c in enumerate(("a_fp", "a_fn", "b_tp", "b_fp", "b_fn"))))
+    (r,) = E.paired_bootstrap(counts, "k", draws=50).collect()
+    assert made.value == len(keys)
+    w = np.array([np.random.Generator(np.random.Philox(key=[42, k & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, 50) for k in keys])
+    v = np.array([[abs(k) % 3, 0, 1, 2, 3, 4] for k in keys])
+    f = lambda tp, fp, fn: 0.0 if not tp else 1.25 * (tp / (tp + fp)) * (tp / (tp + fn)) / (0.25 * tp / (tp + fp) + tp / (tp + fn))
+    deltas = [f(*x[:3]) - f(*x[3:]) for x in (w.T @ v).tolist()]
+    assert r.p == sum(d <= 0 for d in deltas) / 50
